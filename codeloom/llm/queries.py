@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from codeloom.llm.byte_bpe import encode_decode
 from codeloom.llm.common import fresh_path
 from codeloom.llm.decontaminate import contamination
+from codeloom.llm.embedding_dedup import near_vectors
+from codeloom.llm.language_id import identify
+from codeloom.llm.minhash_dedup import near_duplicates
 from codeloom.llm.token_counts import count_tokens
 from codeloom.llm.token_files import read_token_files, write_token_files
 from codeloom.llm.url_filter import Rule, filter_urls
@@ -44,6 +47,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -52,20 +59,31 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return read_token_files(spark, path, outputs=("n_tokens", "ids_crc32"))
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_warc": op2_warc,
         "op3_decontamination": op3_decontamination,
+        "op4_language_id": op4_language_id,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_url_filter": op6_url_filter,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_token_files": op8_token_files,
+        "op10_minhash_dedup": op10_minhash_dedup,
     }
 
 
