@@ -14,6 +14,7 @@ from codeloom.llm.decontaminate import contamination
 from codeloom.llm.embedding_dedup import near_vectors
 from codeloom.llm.language_id import identify
 from codeloom.llm.minhash_dedup import near_duplicates
+from codeloom.llm.suffix_dedup import remove_repeats
 from codeloom.llm.token_counts import count_tokens
 from codeloom.llm.token_files import read_token_files, write_token_files
 from codeloom.llm.url_filter import Rule, filter_urls
@@ -69,6 +70,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, outputs=("n_tokens", "ids_crc32"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_url_filter": op6_url_filter,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_token_files": op8_token_files,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_minhash_dedup": op10_minhash_dedup,
     }
 
