@@ -233,3 +233,20 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     known = rows.join(named, ["k1", "k2"]).select("id", "class_id")
     out = known.union(docs.where("text is null").select("id", F.col("id").alias("class_id")))
     return out.select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def one_of_each(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df without the near-duplicates that near_duplicates() does not keep, and with one row of each id; rows without id stay."""
+    found = near_duplicates(df, threshold, id_col, text_col)
+    out = without_ids(df, found.where(~F.col("kept")).select(id_col), id_col)
+    repeated = df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    if repeated.limit(1).count():
+        single = out.join(repeated, id_col, "left_semi").groupBy(id_col).agg(F.max(F.struct(F.col(text_col), *[c for c in df.columns if c not in (id_col, text_col)])).alias("r")).select(id_col, "r.*")
+        out = out.join(repeated, id_col, "left_anti").unionByName(single.select(df.columns))
+    return out
+
+
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """df without the rows of ids: by broadcast if they are few, else by a shuffle."""
+    ids = materialize(ids.where(F.col(id_col).isNotNull()).distinct(), "ids")
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, "left_anti")
