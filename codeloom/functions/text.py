@@ -175,7 +175,7 @@ def forward_slashes(path: Column) -> Column:
 
 def parse_list(text: Column) -> Column:
     """SCL-26: entries between commas or line ends, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(text, "[,\n]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "[,\n]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def picked_numbers(text: Column, n: Column) -> Column:

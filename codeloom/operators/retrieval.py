@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -198,11 +199,21 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 50) -> DataFrame:
 
 
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
-    """RET-19: the default embedding where no model is at hand: signed counts of hashed tokens."""
-    tokens = bm25_tokens(F.coalesce(text, F.lit("")))
-    at = lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int")
-    sign = lambda t: F.when(F.pmod(F.shiftrightunsigned(F.xxhash64(t), 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(tokens, lambda t: at(t) == i), F.lit(0.0), lambda s, t: s + sign(t)))
+    """RET-19: the default embedding where no model is at hand: signed counts of hashed tokens.
+
+    Tokens are cut and hashed by Spark; an Arrow UDF adds up each text's hashes, which Spark's array functions would do once a dimension.
+    """
+
+    @F.pandas_udf("array<double>")
+    def added(hashes: pd.Series) -> pd.Series:
+        def one(h: np.ndarray) -> np.ndarray:
+            h = np.asarray(h, np.int64).view(np.uint64)
+            sign = 1.0 - 2.0 * ((h >> np.uint64(32)) & np.uint64(1)).astype(float)
+            return np.bincount((h % np.uint64(dim)).astype(np.int64), sign, dim)
+
+        return hashes.map(one)
+
+    return added(F.transform(bm25_tokens(F.coalesce(text, F.lit(""))), lambda t: F.xxhash64(t)))
 
 
 def scored_by_model(rows: DataFrame, text_col: str, model) -> DataFrame:
