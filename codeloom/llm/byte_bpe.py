@@ -9,8 +9,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -80,20 +80,21 @@ class ByteBpe:
         self.digits = [str(i) for i in range(len(ranks))]
         self.letters = dict(enumerate(byte_characters()))
         self.match = regex.compile(pattern).findall
+        self.code = "H" if len(ranks) <= 1 << 16 else "I"
         self.cache = ChunkCache(self.encode_chunks)
 
-    def encode_chunks(self, new: list[str]) -> list[tuple[int, ...]]:
+    def encode_chunks(self, new: list[str]) -> list[bytes]:
+        """Ids of each chunk, packed."""
         split = [[t.encode("utf-8", "replace") for t in self.match(c)] for c in new]
         todo = list({t for s in split for t in s} - self.whole.keys())
         found = self.model.encode([t.decode("latin-1").translate(self.letters) for t in todo], num_threads=1) if todo else []
-        ids = {t: tuple(x) for t, x in zip(todo, found, strict=True)}
+        ids = dict(zip(todo, found, strict=True))
         whole = self.whole
-        return [tuple(i for t in s for i in (ids[t] if t in ids else (whole[t],))) for s in split]
+        return [array(self.code, [i for t in s for i in (ids[t] if t in ids else (whole[t],))]).tobytes() for s in split]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        docs = [chunks(t) for t in texts]
-        get = self.cache.table(docs).__getitem__
-        return [list(chain.from_iterable(map(get, d))) for d in docs]
+        docs = self.cache.values([chunks(t) for t in texts])
+        return [memoryview(b"".join(d)).cast(self.code).tolist() for d in docs]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

@@ -9,8 +9,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Entries that a worker's cache of encoded chunks holds before it starts anew.
-CACHE_ENTRIES = 400_000
+#: Entries of one generation of a worker's cache of encoded chunks; it holds two.
+CACHE_ENTRIES = 1_000_000
 #: Characters handled together inside one Arrow batch; bounds a worker's memory whatever the batch holds.
 SLICE_CHARS = 4_000_000
 
@@ -53,13 +53,14 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 _CHUNKS = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space (by any engine's tables) other than the four characters at which _CHUNKS cuts.
-_ODD_SPACE = re.compile("[^\\S \n\t\r]|[᠎​]")
+_ODD_SPACE = re.compile("[^\\S \n\t\r]|[\u180e\u200b]")
+_ODD_ASCII = "\x0b\x0c\x1c\x1d\x1e\x1f"
 
 
 def chunks(text: str) -> list[str]:
     """Cuts text before white space that follows a non-space: byte-level BPE pre-tokens never cross such a place, so that
     encoding chunks one by one gives what the whole gives. A text with other kinds of white space is one chunk."""
-    if _ODD_SPACE.search(text):
+    if any(c in text for c in _ODD_ASCII) if text.isascii() else _ODD_SPACE.search(text):
         return [text]
     return _CHUNKS.findall(text)
 
@@ -78,23 +79,27 @@ def slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
 
 
 class ChunkCache:
-    """Chunk -> encoded value, filled by fill(list of new chunks) and bounded in entries."""
+    """Chunk -> encoded value, filled by fill(list of new chunks). What was used lately stays: a full generation makes way for a new one, which takes over what it meets again."""
 
     def __init__(self, fill: Callable[[list[str]], Iterable], entries: int = CACHE_ENTRIES, longest: int = 256):
-        self.fill, self.entries, self.longest, self.known = fill, entries, longest, {}
+        self.fill, self.entries, self.longest, self.known, self.old = fill, entries, longest, {}, {}
 
-    def table(self, docs: list[list[str]]) -> dict:
-        """A mapping that has every chunk of docs."""
+    def values(self, docs: list[list[str]]) -> list[Iterator]:
+        """The values of the chunks of each of docs."""
         if len(self.known) > self.entries:
-            self.known = {}
+            self.old, self.known = self.known, {}
         known = self.known
-        new = list({c for d in docs for c in d if c not in known})
-        if not new:
-            return known
-        found = zip(new, self.fill(new), strict=True)
-        if any(len(c) > self.longest for c in new):  # long chunks are not kept beyond this call
-            once = dict(found)
-            known.update((c, v) for c, v in once.items() if len(c) <= self.longest)
-            return known | {c: v for c, v in once.items() if len(c) > self.longest}
-        known.update(found)
-        return known
+        new = set().union(*docs).difference(known)
+        if new and self.old:
+            again = {c: self.old[c] for c in new.intersection(self.old)}
+            known.update(again)
+            new.difference_update(again)
+        if new:
+            chunks = list(new)
+            found = dict(zip(chunks, self.fill(chunks), strict=True))
+            if max(map(len, chunks)) > self.longest:  # long chunks are not kept beyond this call
+                known.update((c, x) for c, x in found.items() if len(c) <= self.longest)
+                known = known | found
+            else:
+                known.update(found)
+        return [map(known.__getitem__, d) for d in docs]

@@ -75,18 +75,17 @@ class Model:
         cache = ChunkCache(fill, entries=200_000)
 
         def predict(texts: list[str]) -> list[tuple[str, float]]:
-            if len(cache.known) > cache.entries or len(rows) > 2 * cache.entries:
-                cache.known = {}
+            if len(rows) > 2 * cache.entries:
+                cache.known, cache.old = {}, {}
                 del rows[1:]
-            docs = [words(t) for t in texts]
-            get = cache.table(docs).__getitem__
+            docs = [list(d) for d in cache.values([words(t) for t in texts])]
             matrix = np.array(rows)
             out = []
             for d in docs:
                 if not d or not self.langs:
                     out.append(("und", 0.0))
                     continue
-                total = matrix[list(map(get, d))].sum(axis=0)
+                total = matrix[d].sum(axis=0)
                 scores, n = total[:-1], total[-1]
                 z = (scores - scores.max()) * min(1.0, EVIDENCE / max(n, 1.0))
                 p = np.exp(z)

@@ -190,9 +190,7 @@ class RaggedBpe:
 
     def count(self, texts: list[str]) -> list[int]:
         marked = [(" " + t if self.dummy_prefix and t else t).replace(" ", SPACE) for t in texts]
-        docs = [self.cut.findall(t) for t in marked]
-        get = self.cache.table(docs).__getitem__
-        return [sum(map(get, d)) for d in docs]
+        return list(map(sum, self.cache.values([self.cut.findall(t) for t in marked])))
 
 
 @lru_cache(maxsize=2)

@@ -11,8 +11,8 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import ChunkCache, chunks, slices
 
-#: The sample that the dictionary is trained on: so many documents, the lowest by a hash, of at most so many bytes of text.
+#: The sample that the dictionary is trained on: about so many documents, the lowest by a hash, of at most so many bytes of text.
 SAMPLE_DOCS, SAMPLE_BYTES = 1000, 8192
-DICTIONARY_BYTES, LEVEL = 64 * 1024, 3
+DICTIONARY_BYTES, LEVEL = 64 * 1024, 1
 #: A block ends with the document that brings it to so many bytes of ids.
 BLOCK_BYTES = 1 << 20
 
@@ -38,18 +38,30 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
+        special = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.mark_id, self.mark = (special[0][0], special[0][1].content) if special else (None, None)
         self.cache = ChunkCache(self.encode_chunks)
 
-    def encode_chunks(self, new: list[str]) -> list[tuple[int, ...]]:
-        out = []
-        for i in range(0, len(new), 10_000):
-            out += [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(new[i : i + 10_000], add_special_tokens=False)]
-        return out
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        docs = [chunks(t) for t in texts]
-        get = self.cache.table(docs).__getitem__
-        return [list(chain.from_iterable(map(get, d))) for d in docs]
+    def encode_chunks(self, new: list[str]) -> list[bytes]:
+        """Ids of each chunk, packed. Many chunks go to the library as one text, apart by a special token, at which it cuts texts first."""
+        apart = [c for c in new if self.mark is None or self.mark in c]
+        joined = sorted(set(new).difference(apart))
+        found = {c: array(self.code, e.ids).tobytes() for c, e in zip(apart, self.tokenizer.encode_batch_fast(apart, add_special_tokens=False), strict=True)}
+        for i in range(0, len(joined), 10_000):
+            runs = [joined[k : k + 50] for k in range(i, min(i + 10_000, len(joined)), 50)]
+            for run, e in zip(runs, self.tokenizer.encode_batch_fast([self.mark.join(r) for r in runs], add_special_tokens=False), strict=True):
+                ids = array(self.code, e.ids)
+                raw, at = ids.tobytes(), 0
+                ends = (np.flatnonzero(np.frombuffer(raw, f"<u{self.width}") == self.mark_id) * self.width).tolist()
+                for c, end in zip(run, [*ends, len(raw)], strict=True):
+                    found[c] = raw[at:end]
+                    at = end + self.width
+        return [found[c] for c in new]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, little-endian, of self.width bytes each."""
+        return [b"".join(d) for d in self.cache.values([chunks(t) for t in texts])]
 
 
 @lru_cache(maxsize=2)
@@ -78,9 +90,10 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
     spark = df.sparkSession
     data = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     width = Encoder(tokenizer_path).width
-    kind, plain = f"<u{width}", end_id.to_bytes(width, "little")
-    rows = data.where(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("id", "text"), "id", "text").limit(SAMPLE_DOCS).collect()
-    samples = [np.array(ids, kind).tobytes() + plain for ids in encoder(tokenizer_path).encode([r.text for r in rows])]
+    plain = end_id.to_bytes(width, "little")
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    rows = data.where((place < SAMPLE_DOCS / max(1, df.count())) & (F.octet_length("text") <= SAMPLE_BYTES)).collect()
+    samples = [ids + plain for ids in encoder(tokenizer_path).encode([r.text for r in sorted(rows, key=lambda r: (r.id is not None, r.id, r.text))])]
     content = train_dictionary(samples)
     digest = hashlib.sha256(content).hexdigest()
     spark.createDataFrame([(digest, bytearray(content), width)], "sha256 string, content binary, width int").coalesce(1).write.parquet(f"{path}/dictionary")
@@ -105,14 +118,13 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
             at, keys = 0, b.column(0).to_pylist()
             for _, part in slices(b.column(1).to_pylist()):
                 for tokens in enc.encode(part):
-                    tokens.append(end_id)
-                    frame = compressor.compress(np.array(tokens, kind).tobytes())
+                    tokens += plain
                     ids.append(keys[at])
                     at += 1
-                    counts.append(len(tokens))
-                    body += frame
+                    counts.append(len(tokens) // width)
+                    body += compressor.compress(tokens)
                     offsets.append(len(body))
-                    raw += len(tokens) * width
+                    raw += len(tokens)
                     if raw >= BLOCK_BYTES:
                         yield block()
                         number, first = number + 1, first + sum(counts)
