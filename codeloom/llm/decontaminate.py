@@ -18,7 +18,6 @@ from codeloom.llm.common import materialize, slices
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _words = re.compile(WORD).findall
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 WINDOW = 10
 #: Items are handled in blocks of about so many bytes of text; one block's index is what a worker holds and what is broadcast.
 BLOCK_BYTES = 8 << 20
@@ -28,7 +27,7 @@ def words(text: str | None) -> list[str]:
     """Words of a text: A-Z lower-cased, then runs of digits, a-z and everything beyond ASCII."""
     if not text:
         return []
-    return _words(text.lower() if text.isascii() else text.translate(_LOWER))
+    return _words(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))  # bytes.lower() is A-Z only
 
 
 def windows(items: list[str], size: int) -> list[tuple[str, ...]]:
