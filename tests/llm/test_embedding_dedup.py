@@ -12,7 +12,7 @@ def brute(rows, threshold=0.93):
     for n, a in enumerate(ok):
         for b in ok[:n]:
             if rows[a][2] == rows[b][2] and len(rows[a][1]) == len(rows[b][1]):
-                x, y = np.array(rows[a][1], float), np.array(rows[b][1], float)
+                x, y = (np.array(rows[k][1], float) / max(map(abs, rows[k][1])) for k in (a, b))  # so that no square overflows
                 if x @ y / np.sqrt((x @ x) * (y @ y)) >= threshold:
                     links[a].add(b)
                     links[b].add(a)
