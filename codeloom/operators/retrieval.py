@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from codeloom.functions.text import bm25_tokens
 
@@ -224,4 +225,4 @@ def scored_by_model(rows: DataFrame, text_col: str, model) -> DataFrame:
             found = model(b[text_col].tolist())
             yield b.assign(rerank=pd.Series(found if found is not None else [None] * len(b), index=b.index, dtype="float64"))
 
-    return rows.mapInPandas(run, rows.schema.add("rerank", "double"))
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("rerank", DoubleType())]))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.queries import functions, graph, retrieval, service, sources
+from codeloom.queries import functions, graph, parsing, retrieval, service, sources
 
-_MODULES = (sources, functions, graph, retrieval, service)
+_MODULES = (sources, functions, parsing, graph, retrieval, service)
 
 
 def queries() -> dict:
