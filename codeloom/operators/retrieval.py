@@ -22,6 +22,8 @@ RERANKED = {"rerank": 0.60, "rrf": 0.20, "graph": 0.10, "symbol": 0.08, "struct"
 FALLBACK = {"rerank": 0.0, "rrf": 0.55, "graph": 0.20, "symbol": 0.20, "struct": 0.05}
 OVERLAP, RERANK_POOL, FETCH_FACTOR, FETCH_LEAST = 0.4, 50, 10, 100
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Queries that go against all points together.
+QUERY_BLOCK = 1000
 
 
 def fetch_k(top_k: int) -> int:
@@ -35,23 +37,46 @@ def top(ranked: DataFrame, k: int, *keys: str) -> DataFrame:
     return ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
 def dense_search(queries: DataFrame, points: DataFrame, k: int, digits: int = 4) -> DataFrame:
-    """RET-1, JOIN-13: the k points (id, vector) of greatest cosine for each query (query_id, vector).
+    """RET-1, JOIN-13: the k points (id, vector) of greatest cosine for each query (query_id, vector), as query_id, id, score, place.
 
-    A stated set of queries is compared with all points: the queries are rows of one array that each point's row is joined with.
+    A stated set of queries goes against all points in blocks of QUERY_BLOCK, which are what is collected and broadcast. Each
+    Arrow batch of points is one matrix product, of which the k best of each query are kept, so k rows a batch and query are
+    shuffled. Null and zero vectors find nothing and are not found; vectors must be of one length.
     """
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v)))
-    asked = queries.select(F.col("query_id"), unit(F.col("vector")).alias("q"))
-    every = points.select("id", unit(F.col("vector")).alias("p")).join(asked, F.lit(True))
-    return top(every.select("query_id", "id", F.round(dot(F.col("q"), F.col("p")), digits).alias("score")), k)
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    id_kind, query_kind = points.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {query_kind}, id {id_kind}, score double"
+
+    def block(b: int) -> DataFrame:
+        rows = [r for r in queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "vector").collect() if r.vector and any(r.vector)]
+        names = [r.query_id for r in rows]
+        asked = np.array([r.vector for r in rows], float).reshape(len(rows), -1)
+        shared = points.sparkSession.sparkContext.broadcast(asked / np.linalg.norm(asked, axis=1, keepdims=True) if rows else asked)
+
+        def run(batches: Iterator[pd.DataFrame]):
+            q = shared.value
+            for batch in batches:
+                batch = batch[batch["vector"].notna()]
+                if not len(batch) or not len(names):
+                    continue
+                v = np.stack(batch["vector"].to_list()).astype(float)
+                norms = np.linalg.norm(v, axis=1)
+                v, ids = v[norms > 0] / norms[norms > 0, None], batch["id"].to_numpy()[norms > 0]
+                by_id = np.argsort(ids, kind="stable")
+                v, ids = v[by_id], ids[by_id]
+                scores = np.round(q @ v.T, digits)
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # of equal scores the smaller id
+                yield pd.DataFrame({"query_id": np.repeat(np.array(names, object), best.shape[1]), "id": ids[best.ravel()], "score": np.take_along_axis(scores, best, 1).ravel()})
+
+        return points.select("id", "vector").mapInPandas(run, schema)
+
+    if not blocks:
+        return top(points.sparkSession.createDataFrame([], schema), k)
+    found = block(0)
+    for b in range(1, blocks):
+        found = found.unionByName(block(b))
+    return top(found, k)
 
 
 def sparse_search(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:

@@ -197,3 +197,7 @@ for _name, _run, _sql in (
     ("agg18_bounding_box", lambda s, d: A.bounding_box(shape(s, d, "methods"), "repo_id", "line_start", "line_end"), duck("SELECT repo_id, min(line_start) AS min_x, max(line_start) AS max_x, min(line_end) AS min_y, max(line_end) AS max_y FROM methods GROUP BY 1", "methods")),
 ):
     QUERIES[_name] = (_run, _sql)
+
+QUERIES["top7_impact_order"] = (lambda s, d: _impact(s, d).where("place <= 10").select("target", "place", "id"), duck(f"{_IMPACT} SELECT target, place, id FROM rows_ WHERE place <= 10", "targets", "methods", "ranks", "links", "edges"))
+QUERIES["fil12_named_callers"] = (lambda s, d: G.call_context(shape(s, d, "methods").withColumn("name", F.when(F.col("line_start") < 100, "").otherwise(F.col("name"))), shape(s, d, "edges")).select("id", F.size("callers").cast("long").alias("n")), duck("""+lab AS (SELECT id, {'name': CASE WHEN line_start < 100 THEN '' ELSE name END, 'class_name': class_name, 'file_path': file_path, 'signature': signature} AS o FROM methods),
+    up AS (SELECT e.dst AS id, list_sort(list(DISTINCT l.o))[1:3] AS l FROM edges e JOIN lab l ON l.id = e.src GROUP BY 1) SELECT m.id, coalesce(len(list_filter(up.l, lambda x: x.name <> '')), 0)::BIGINT AS n FROM methods m LEFT JOIN up ON up.id = m.id""", "methods", "edges"))

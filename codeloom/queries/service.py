@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as T
 from codeloom.operators import parse as PR
 from codeloom.plans import chat as C
+from codeloom.plans import models as M
 from codeloom.queries.shapes import duck, shape
 from codeloom.streaming import events as E
 
@@ -44,3 +45,16 @@ QUERIES["par11_annotations"] = (lambda s, d: shape(s, d, "methods").select("id",
 QUERIES["par16_distinct_calls"] = (lambda s, d: shape(s, d, "calls").groupBy("caller").agg(F.array_sort(F.collect_list(F.struct("pos", "ref"))).alias("c")).select("caller", F.array_join(F.slice(F.array_distinct(F.transform("c", lambda x: x["ref"])), 1, 8), ",").alias("calls")), duck("SELECT caller, array_to_string(list(ref ORDER BY pos, ref)[1:8], ',') AS calls FROM calls GROUP BY 1", "calls"))
 QUERIES["par21_token_count"] = (lambda s, d: shape(s, d, "documents").select("doc_id", PR.token_count(F.col("text")).alias("n")), "SELECT doc_id, len(regexp_extract_all(text, '[\\pL\\pN\\pM_]+|[^\\pL\\pN\\pM_\\s]'))::BIGINT AS n FROM documents")
 QUERIES["par22_symbol_ids"] = (lambda s, d: PR.with_ids(shape(s, d, "methods").select("repo_id", "file_path", "is_primary", F.row_number().over(PR.by_file()).alias("pos"), F.col("id").alias("text"))).groupBy("repo_id", "file_path").agg(F.countDistinct("symbol_id").alias("n_symbols"), F.count_if("is_primary").alias("n_primary")), duck("SELECT repo_id, file_path, count_if(is_primary)::BIGINT AS n_symbols, count_if(is_primary)::BIGINT AS n_primary FROM methods GROUP BY 1, 2", "methods"))
+
+
+def _asked(s, d):
+    """Conversations as queries: German and Spanish stand for languages that are expanded."""
+    return shape(s, d, "documents").select(F.col("doc_id").alias("query_id"), "text", F.when(F.col("lang") == "en", "en").otherwise("mixed").alias("language"), F.when(F.col("lang") == "fr", "impact").otherwise("call_chain").alias("intent"))
+
+
+QUERIES["llm1_expansions"] = (lambda s, d: M.expansions(_asked(s, d), lambda p: ["user é login x"] * len(p)), "SELECT doc_id AS query_id, CASE WHEN lang = 'en' THEN '' ELSE 'user login' END AS expansion FROM documents")
+QUERIES["llm2_hypotheses"] = (lambda s, d: M.hypotheses(_asked(s, d), lambda p: ["```java\nlogin(user, name)\n```"] * len(p)), "SELECT doc_id AS query_id, CASE WHEN lang = 'fr' THEN 'login(user, name)' ELSE '' END AS code FROM documents")
+QUERIES["llm3_picked_symbols"] = (lambda s, d: M.picked_symbols(C.symbol_list(shape(s, d, "methods")).select(F.col("file_path").alias("id"), F.lit("which?").alias("question"), "listing", F.size(F.split("listing", "\n")).alias("n")), lambda p: ["1, 3, 9999"] * len(p)).select("id", F.array_join("picked", ",").alias("picked")), duck("SELECT file_path AS id, CASE WHEN count(*) >= 3 THEN '1,3' ELSE '1' END AS picked FROM methods GROUP BY 1", "methods"))
+QUERIES["llm9_legacy_messages"] = (lambda s, d: M.legacy_messages(shape(s, d, "chats"), 3).select("conv_id", "turn"), duck("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM chats) WHERE k <= 3", "chats"))
+QUERIES["top10_longest_names"] = (lambda s, d: C.match_symbols(shape(s, d, "chats"), shape(s, d, "benchmark").select(F.substring("text", 1, 4).alias("name"))).groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.max(F.length("name")).cast("long").alias("longest")), duck("""+n AS (SELECT DISTINCT left(text, 4) AS name FROM benchmark), hit AS (SELECT conv_id, turn, name, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(name) DESC, name) AS k FROM chats JOIN n ON contains(lower(text), lower(name)))
+    SELECT conv_id, turn, count(*) AS n, max(length(name)) AS longest FROM hit WHERE k <= 5 GROUP BY 1, 2""", "chats"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codeloom.config import Settings
 from codeloom.operators import aggregates as A
 from codeloom.plans import chat as C
 from codeloom.queries.shapes import duck, shape
@@ -87,3 +88,11 @@ QUERIES["src22_log_append"] = (lambda spark, d: T.appended(shape(spark, d, "hist
 QUERIES["src27_repo_list"] = (lambda spark, d: shape(spark, d, "repos").select("id", "name", "root_path", "indexed"), duck("SELECT id, name, root_path, indexed FROM repos", "repos"))
 QUERIES["src24_markdown_names"] = (lambda spark, d: shape(spark, d, "files").select("page_id", T.markdown_name(F.col("path")).alias("name")), duck(f"SELECT page_id, regexp_replace({_NAME}, '\\.[^.]+$', '') || '.md' AS name FROM files", "files"))
 QUERIES["llm7_needs_narrowing"] = (lambda spark, d: shape(spark, d, "documents").select("doc_id", C.needs_narrowing(F.col("text"), F.when(F.col("lang") == "de", "impact").otherwise("chat")).alias("narrow")), "SELECT doc_id, length(text) // 3 > 6000 AND lang <> 'de' AS narrow FROM documents")
+QUERIES["src9_allowed_roots"] = (lambda spark, d: shape(spark, d, "repos").select("id", T.in_roots(F.col("root_path"), ["src/building", "src/mach"]).alias("allowed")), duck("SELECT id, root_path = 'src/building' AS allowed FROM repos", "repos"))
+QUERIES["src26_absolute_paths"] = (lambda spark, d: shape(spark, d, "repos").select("id", T.is_absolute(F.concat(F.when(F.col("indexed") == 0, "/").otherwise(""), "root_path")).alias("absolute")), duck("SELECT id, indexed = 0 AS absolute FROM repos", "repos"))
+QUERIES["src14_query_runner"] = (lambda spark, d: T.run_query(spark, "SELECT repo_id, count(*) AS n FROM {m} GROUP BY repo_id", m=shape(spark, d, "methods")), duck("SELECT repo_id, count(*) AS n FROM methods GROUP BY repo_id", "methods"))
+QUERIES["src13_node_writes"] = (lambda spark, d: T.stored(shape(spark, d, "methods").select("id", "name", "repo_id"), "methods", "repo_id").select("id", "name", "repo_id"), duck("SELECT id, name, repo_id FROM methods", "methods"))
+QUERIES["src15_collection"] = (lambda spark, d: T.stored(shape(spark, d, "embeddings"), "points", "label").groupBy("label").agg(F.count("*").alias("n")), "SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
+QUERIES["src16_vector_writes"] = (lambda spark, d: T.stored(shape(spark, d, "embeddings"), "points", "label").select("vec_id", "label", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total")), "SELECT vec_id, label, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
+QUERIES["src23_history_append"] = (lambda spark, d: T.appended(shape(spark, d, "history").select("id", "query"), shape(spark, d, "nation").select(F.col("n_name").alias("query"))).groupBy("query").agg(F.count("*").alias("n"), F.max("id").alias("last")), duck("SELECT query, count(*) AS n, max(id) AS last FROM (SELECT id, query FROM history UNION ALL SELECT (SELECT max(id) FROM history) + row_number() OVER (ORDER BY n_name), n_name FROM nation) GROUP BY 1", "history"))
+QUERIES["src25_settings"] = (lambda spark, d: spark.createDataFrame([(s.dimensions, s.top_k, s.impact_depth) for s in [Settings()]], "dimensions int, top_k int, impact_depth int"), "SELECT 64::INT AS dimensions, 10::INT AS top_k, 3::INT AS impact_depth")

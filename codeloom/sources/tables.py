@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.text import forward_slashes
 from codeloom.operators.graph import node_type
 from codeloom.sources.files import decoded, file_name
+from codeloom.sources.work import work_dir
 
 
 def filtered(df: DataFrame, **equal) -> DataFrame:
@@ -115,3 +117,28 @@ def encodings(raw: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "encoding": [e for _, e in found], "n_chars": [len(t) for t, _ in found]})
 
     return raw.select("doc_id", "raw").mapInPandas(run, "doc_id bigint, encoding string, n_chars bigint")
+
+
+def run_query(spark, sql: str, **shapes: DataFrame) -> DataFrame:
+    """SRC-14: SQL over DataFrames, which it names in braces."""
+    return spark.sql(sql, **shapes)
+
+
+def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
+    """SRC-13, SRC-15, SRC-16: df written as a table in the work folder, partitioned by columns, and read again; Spark retries tasks and commits as a whole."""
+    path = f"{work_dir(df.sparkSession)}/codeloom-tables/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partitions).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_roots(path: Column, roots: list[str]) -> Column:
+    """SRC-9 as a column: whether a path is one of the roots or below one; without roots everything is."""
+    out = F.lit(not roots)
+    for r in roots:
+        out = out | (path == r.rstrip("/")) | path.startswith(r.rstrip("/") + "/")
+    return out
+
+
+def is_absolute(path: Column) -> Column:
+    """SRC-26 as a column"""
+    return path.startswith("/") | path.rlike(r"^[A-Za-z]:[\\/]")
