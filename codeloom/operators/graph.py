@@ -76,28 +76,31 @@ def in_degree(methods: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(methods: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, keep: int = 5) -> DataFrame:
     """AGG-16: id and pagerank after rounds of `1 - damping + damping * sum(rank / out-degree)`; what reaches a method without calls is dropped.
 
-    One join and one aggregate a round; every keep-th round is written, so that lineage stays short. Edges and their out-degrees
-    are written once, partitioned by their start, with repeated edges counted as often as they occur.
+    One join and one aggregate a round; every keep-th round and the last are written, so that lineage stays short. Edges and their
+    out-degrees are written once and kept partitioned by their start, so that a round shuffles ranks and sums, never edges; a
+    lost executor's part of them is made again from what was written. Repeated edges count as often as they occur.
     """
     calls = edges.where(F.col("edge_type") == CALLS).select("src", "dst")
-    weighted = checkpointed(calls.join(calls.groupBy("src").agg(F.count("*").alias("out")), "src"), "pagerank-edges")
+    weighted = checkpointed(calls.join(calls.groupBy("src").agg(F.count("*").alias("out")), "src"), "pagerank-edges").repartition("src").persist()
     ids = checkpointed(methods.select("id").distinct(), "pagerank-ids")
     ranks = ids.withColumn("rank", F.lit(1.0 - damping))
     for k in range(rounds):
         given = weighted.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("given"))
         ranks = ids.join(given, "id", "left").select("id", (F.lit(1.0 - damping) + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
-        if k % keep == keep - 1:
+        if k % keep == keep - 1 or k == rounds - 1:
             ranks = checkpointed(ranks, "pagerank")
+    weighted.unpersist()
     return ranks.withColumnRenamed("rank", "pagerank")
 
 
 def reach(starts: DataFrame, edges: DataFrame, depth: int, backwards: bool = True) -> DataFrame:
     """Nodes that CALLS edges connect with each start (start, node) in 1 to depth steps: start, node, hop (the fewest steps).
 
-    Breadth first: each round joins the last round's nodes with the edges and drops what is known.
+    Breadth first: each round joins the last round's nodes with the edges, which stay partitioned by the end they are met at, and
+    drops what is known; each round's nodes are written.
     """
     calls = edges.where(F.col("edge_type") == CALLS)
-    step = calls.select(F.col("dst" if backwards else "src").alias("node"), F.col("src" if backwards else "dst").alias("next")).distinct()
+    step = calls.select(F.col("dst" if backwards else "src").alias("node"), F.col("src" if backwards else "dst").alias("next")).distinct().repartition("node").persist()
     known, front = None, starts.select("start", "node").distinct()
     for hop in range(1, depth + 1):
         found = front.join(step, "node").select("start", F.col("next").alias("node")).distinct()
@@ -107,6 +110,7 @@ def reach(starts: DataFrame, edges: DataFrame, depth: int, backwards: bool = Tru
         level = found.withColumn("hop", F.lit(hop))
         known = level if known is None else known.unionByName(level)
         front = found
+    step.unpersist()
     return known
 
 
