@@ -37,12 +37,13 @@ def top(ranked: DataFrame, k: int, *keys: str) -> DataFrame:
     return ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def dense_search(queries: DataFrame, points: DataFrame, k: int, digits: int = 4) -> DataFrame:
+def dense_search(queries: DataFrame, points: DataFrame, k: int, digits: int = 4, cut: bool = True) -> DataFrame:
     """RET-1, JOIN-13: the k points (id, vector) of greatest cosine for each query (query_id, vector), as query_id, id, score, place.
 
     A stated set of queries goes against all points in blocks of QUERY_BLOCK, which are what is collected and broadcast. Each
     Arrow batch of points is one matrix product, of which the k best of each query are kept, so k rows a batch and query are
-    shuffled. Null and zero vectors find nothing and are not found; vectors must be of one length.
+    shuffled. Null and zero vectors find nothing and are not found; vectors must be of one length. Without cut the caller
+    takes the k best, of several rankings at once for one.
     """
     blocks = -(-queries.count() // QUERY_BLOCK)
     id_kind, query_kind = points.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
@@ -72,18 +73,20 @@ def dense_search(queries: DataFrame, points: DataFrame, k: int, digits: int = 4)
         return points.select("id", "vector").mapInPandas(run, schema)
 
     if not blocks:
-        return top(points.sparkSession.createDataFrame([], schema), k)
+        found = points.sparkSession.createDataFrame([], schema)
+        return top(found, k) if cut else found
     found = block(0)
     for b in range(1, blocks):
         found = found.unionByName(block(b))
-    return top(found, k)
+    return top(found, k) if cut else found
 
 
-def sparse_search(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
+def sparse_search(queries: DataFrame, points: DataFrame, k: int, cut: bool = True) -> DataFrame:
     """RET-2, JOIN-14: the k points (id, weights: map) of greatest dot product over shared tokens; queries and points without tokens find nothing."""
     q = queries.select("query_id", F.explode("weights").alias("token", "wq"))
     p = points.select("id", F.explode("weights").alias("token", "wp"))
-    return top(q.join(p, "token").groupBy("query_id", "id").agg(F.round(F.sum(F.col("wq") * F.col("wp")), 4).alias("score")), k)
+    found = q.join(p, "token").groupBy("query_id", "id").agg(F.round(F.sum(F.col("wq") * F.col("wp")), 4).alias("score"))
+    return top(found, k) if cut else found
 
 
 def rrf(ranked: DataFrame, k: int = RRF_K) -> DataFrame:

@@ -26,9 +26,10 @@ def search(queries: DataFrame, index: DataFrame, nodes: DataFrame | None, top_k:
     """RET-13: the top_k chunks of each query of intents() over index_of() a repository; nodes (id, name, pagerank, in_degree) bring graph scores, model a reranker."""
     k = R.fetch_k(top_k)
     asked = index_of(queries)
-    dense = R.dense_search(asked, index, k).withColumn("channel", F.lit("dense"))
-    sparse = R.sparse_search(asked, index, k).withColumn("channel", F.lit("sparse"))
-    fused = R.rrf(dense.unionByName(sparse).select("query_id", "channel", "id", "score")).withColumnRenamed("score", "rrf")
+    dense = R.dense_search(asked, index, k, cut=False).withColumn("channel", F.lit("dense"))
+    sparse = R.sparse_search(asked, index, k, cut=False).withColumn("channel", F.lit("sparse"))
+    best = R.top(dense.unionByName(sparse), k, "query_id", "channel")
+    fused = R.rrf(best.select("query_id", "channel", "id", "score")).withColumnRenamed("score", "rrf")
     payload = index.drop("vector", "weights").withColumns({c: F.lit("") for c in ("symbol", "class_name", "symbol_id") if c not in index.columns})
     rows = fused.join(payload, "id").join(queries.select("query_id", "idents", "tokens", F.col("text").alias("asked")), "query_id")
     if nodes is not None:

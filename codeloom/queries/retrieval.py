@@ -47,14 +47,14 @@ QUERIES["join14_shared_tokens"] = (lambda s, d: P.shared_tokens(*_sparse(s, d)),
 
 def _bm25(s, d):
     queries = shape(s, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
-    return R.bm25(queries, shape(s, d, "chunks").select("id", "text"), 10).select("query_id", "id", F.round("score", 3).alias("score"))
+    return R.bm25(queries, shape(s, d, "chunks").select("id", "text"), 10).select("query_id", "id", "score")
 
 
-QUERIES["ret16_bm25"] = (lambda s, d: _bm25(s, d).groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.round(F.sum("score"), 2).alias("total")), f"""WITH {_POST}, n AS (SELECT id, count(*) AS n_tokens FROM p GROUP BY 1), t AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n_docs, (SELECT count(*) FROM p)::DOUBLE / (SELECT count(*) FROM documents) AS average),
+QUERIES["ret16_bm25"] = (lambda s, d: _bm25(s, d).groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.round(F.sum("score") * 10000).cast("long").alias("total")), f"""WITH {_POST}, n AS (SELECT id, count(*) AS n_tokens FROM p GROUP BY 1), t AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n_docs, (SELECT count(*) FROM p)::DOUBLE / (SELECT count(*) FROM documents) AS average),
     i AS (SELECT token, ln((n_docs - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM p, t GROUP BY token, n_docs), w AS (SELECT token, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM i) ELSE raw END AS idf FROM i),
     s AS (SELECT query_id, id, sum(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * n_tokens / average))) AS raw FROM q JOIN p USING (token) JOIN w USING (token) JOIN n USING (id), t GROUP BY 1, 2),
-    r AS (SELECT query_id, id, round(round(raw / max(raw) OVER (PARTITION BY query_id), 4), 3) AS score, raw FROM s), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM r WHERE raw > 0)
-    SELECT query_id, count(*) AS n, max(score) AS best, round(sum(score), 2) AS total FROM z WHERE k <= 10 GROUP BY 1""")
+    r AS (SELECT query_id, id, round(raw / max(raw) OVER (PARTITION BY query_id), 4) AS score, raw FROM s), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM r WHERE raw > 0)
+    SELECT query_id, count(*) AS n, max(score) AS best, round(sum(score) * 10000)::BIGINT AS total FROM z WHERE k <= 10 GROUP BY 1""")
 QUERIES["src18_postings"] = (lambda s, d: R.postings(shape(s, d, "chunks").select("id", "text")).groupBy("token").agg(F.count("*").alias("df"), F.max("n_tokens").cast("long").alias("longest")), f"WITH {_POST}, n AS (SELECT id, count(*) AS n_tokens FROM p GROUP BY 1) SELECT token, count(*) AS df, max(n_tokens) AS longest FROM p JOIN n USING (id) GROUP BY 1")
 _RRF = "pl AS (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, id) AS place FROM ranked), f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + place)), 6) AS score FROM pl GROUP BY 1, 2)"
 QUERIES["ret4_rrf"] = (lambda s, d: R.rrf(shape(s, d, "ranked")), duck(f"+{_RRF} SELECT query_id, id, score FROM f", "ranked"))
