@@ -81,7 +81,7 @@ class ByteBpe:
         self.letters = dict(enumerate(byte_characters()))
         self.match = regex.compile(pattern).findall
         self.code = "H" if len(ranks) <= 1 << 16 else "I"
-        self.cache = ChunkCache(self.encode_chunks)
+        self.cache = ChunkCache(self.encode_chunks, entries=150_000)
 
     def encode_chunks(self, new: list[str]) -> list[bytes]:
         """Ids of each chunk, packed."""

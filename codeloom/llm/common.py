@@ -10,9 +10,9 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 #: Entries of one generation of a worker's cache of encoded chunks; it holds two.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 800_000
 #: Characters handled together inside one Arrow batch; bounds a worker's memory whatever the batch holds.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 _own_dirs: dict[str, str] = {}
 
@@ -38,13 +38,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Removes a work folder by Hadoop's file system API, on whichever store it lies."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -79,19 +72,28 @@ def slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
 
 
 class ChunkCache:
-    """Chunk -> encoded value, filled by fill(list of new chunks). What was used lately stays: a full generation makes way for a new one, which takes over what it meets again."""
+    """Chunk -> encoded value, filled by fill(list of new chunks). What was used lately stays: a full generation makes way for a new one, which takes over what it meets again.
+
+    Worker processes outlive their tasks: a cache that comes into use empties the one that another operator left behind.
+    """
+
+    latest: ChunkCache | None = None
 
     def __init__(self, fill: Callable[[list[str]], Iterable], entries: int = CACHE_ENTRIES, longest: int = 256):
         self.fill, self.entries, self.longest, self.known, self.old = fill, entries, longest, {}, {}
 
     def values(self, docs: list[list[str]]) -> list[Iterator]:
         """The values of the chunks of each of docs."""
+        if ChunkCache.latest is not self:
+            if ChunkCache.latest is not None:
+                ChunkCache.latest.known, ChunkCache.latest.old = {}, {}
+            ChunkCache.latest = self
         if len(self.known) > self.entries:
             self.old, self.known = self.known, {}
         known = self.known
         new = set().union(*docs).difference(known)
         if new and self.old:
-            again = {c: self.old[c] for c in new.intersection(self.old)}
+            again = {c: self.old[c] for c in new if c in self.old}
             known.update(again)
             new.difference_update(again)
         if new:

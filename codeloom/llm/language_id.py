@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import ChunkCache, slices
@@ -20,7 +20,7 @@ from codeloom.llm.common import ChunkCache, slices
 #: The model is fitted on the labelled documents of each language that are lowest by a hash, about so many a language.
 SAMPLE_DOCS = 1500
 #: Words and n-grams that the sample has fewer times are left out; so many of the most frequent stay for a language.
-LEAST, MOST = 2, 40_000
+LEAST, MOST = 2, 20_000
 LONGEST = 5
 ALPHA = 0.1
 #: Words that count as independent evidence: longer texts' log likelihoods are scaled down to so many.
@@ -40,52 +40,44 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """tables[0]: word -> log frequencies by language; tables[n]: the same of n-grams. langs is sorted."""
+    """tables[0]: words, tables[n]: n-grams; of each its number and the log frequencies of that number by language. langs is sorted."""
 
     langs: list[str]
-    tables: list[dict[str, np.ndarray]]
+    tables: list[tuple[dict[str, int], np.ndarray]]
 
     def word_scores(self, word: str) -> np.ndarray | None:
         """One log frequency for each language; None if not even a character is known."""
-        found = self.tables[0].get(word)
-        if found is not None:
-            return found
+        known, scores = self.tables[0]
+        at = known.get(word)
+        if at is not None:
+            return scores[at]
         for n in range(LONGEST, 0, -1):
-            known = self.tables[n]
+            known, scores = self.tables[n]
             hits = [known[g] for g in grams(word, n) if g in known]
             if hits:
-                return np.mean(hits, axis=0)
+                return scores[hits].mean(axis=0)
         return None
 
     def predictor(self):
-        """texts -> (language or und, score) with a cache of words' scores."""
-        rows = [np.zeros(len(self.langs) + 1)]
+        """texts -> (language or und, score) with a cache of words' scores, each packed with a 1 for a word that counts."""
+        width = len(self.langs) + 1
+        nothing = np.zeros(width, np.float32).tobytes()
+        one = np.ones(1, np.float32)
 
-        def fill(new: list[str]) -> list[int]:
-            out = []
-            for w in new:
-                s = self.word_scores(w)
-                if s is None:
-                    out.append(0)
-                else:
-                    rows.append(np.append(s, 1.0))
-                    out.append(len(rows) - 1)
-            return out
+        def fill(new: list[str]) -> list[bytes]:
+            found = map(self.word_scores, new)
+            return [nothing if s is None else np.concatenate((s, one)).astype(np.float32).tobytes() for s in found]
 
-        cache = ChunkCache(fill, entries=200_000)
+        cache = ChunkCache(fill, entries=100_000)
 
         def predict(texts: list[str]) -> list[tuple[str, float]]:
-            if len(rows) > 2 * cache.entries:
-                cache.known, cache.old = {}, {}
-                del rows[1:]
-            docs = [list(d) for d in cache.values([words(t) for t in texts])]
-            matrix = np.array(rows)
+            docs = [words(t) for t in texts]
             out = []
-            for d in docs:
+            for d, packed in zip(docs, cache.values(docs) if self.langs else docs, strict=True):
                 if not d or not self.langs:
                     out.append(("und", 0.0))
                     continue
-                total = matrix[d].sum(axis=0)
+                total = np.frombuffer(b"".join(packed), np.float32).reshape(-1, width).sum(axis=0, dtype=np.float64)
                 scores, n = total[:-1], total[-1]
                 z = (scores - scores.max()) * min(1.0, EVIDENCE / max(n, 1.0))
                 p = np.exp(z)
@@ -112,7 +104,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(totals)
     if not langs:
-        return Model([], [{} for _ in range(LONGEST + 1)])
+        return Model([], [({}, np.zeros((0, 0), np.float32)) for _ in range(LONGEST + 1)])
     place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample_docs / totals[k]))])
     sample = rows.where(place < share[F.col("lang")]).select("lang", "text")
@@ -132,8 +124,6 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             k = len(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array([n] * k, pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "n", "gram", "m"])
 
-    from pyspark.sql import Window
-
     counted = sample.mapInArrow(run, "lang string, n int, gram string, m bigint").groupBy("lang", "n", "gram").agg(F.sum("m").alias("m")).where(F.col("m") >= LEAST)
     order = Window.partitionBy("lang", "n").orderBy(F.desc("m"), "gram")
     kept = counted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= MOST)
@@ -144,7 +134,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     for grams_of in found:
         sums = np.array([sum(m.get(k, 0) for m in grams_of.values()) for k in langs], float)
         base = np.log(sums + ALPHA * max(1, len(grams_of)))
-        tables.append({g: np.log(np.array([m.get(k, 0) for k in langs]) + ALPHA) - base for g, m in grams_of.items()})
+        scores = np.array([[m.get(k, 0) for k in langs] for m in grams_of.values()], float).reshape(-1, len(langs))
+        tables.append(({g: i for i, g in enumerate(grams_of)}, (np.log(scores + ALPHA) - base).astype(np.float32)))
     return Model(langs, tables)
 
 

@@ -12,6 +12,7 @@ join their components; a pair that shares several bands is compared in the first
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -52,7 +53,7 @@ class Shingler:
 
     def __init__(self, size: int = SHINGLE):
         self.size = size
-        self.cache = ChunkCache(lambda new: [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in new])
+        self.cache = ChunkCache(lambda new: [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in new], entries=100_000)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         docs = [words(t) for t in texts]
@@ -84,6 +85,12 @@ class Shingler:
         return d[at], h[at], np.diff(np.append(at, len(h)))
 
 
+@lru_cache(maxsize=1)
+def worker_shingler() -> Shingler:
+    """One for each worker process."""
+    return Shingler()
+
+
 def _uniform(bits: np.ndarray, shift: int) -> np.ndarray:
     """24 of the bits as a number between 0 and 1, both excluded."""
     return ((bits >> np.uint64(shift)) & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(2**-24) + np.float32(2**-25)
@@ -119,7 +126,7 @@ def idf_table(docs: DataFrame) -> np.ndarray:
     """Inverse document frequency of each hashed feature, over all rows of docs (text); those of a feature's shingles are summed."""
 
     def count(batches: Iterator[pa.RecordBatch]):
-        shingler, total, n = Shingler(), np.zeros(FEATURES, np.int32), 0
+        shingler, total, n = worker_shingler(), np.zeros(FEATURES, np.int32), 0
         for b in batches:
             n += b.num_rows
             for _, part in slices(b.column(0).to_pylist()):
@@ -206,7 +213,7 @@ def _compare(groups: DataFrame, idf, threshold: float) -> DataFrame:
             yield rest
 
     def run(batches: Iterator[pa.RecordBatch]):
-        shingler, table = Shingler(), idf.value
+        shingler, table = worker_shingler(), idf.value
         for t in whole_groups(batches):
             if t.num_rows < 2:
                 continue
@@ -228,7 +235,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
     """id, k1 and k2 (which stand for the text) and bands (null without words) of every row of docs (id, text) with text."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        shingler, table = Shingler(), idf.value
+        shingler, table = worker_shingler(), idf.value
         for b in batches:
             for start, part in slices(b.column(3).to_pylist()):
                 d, h, m = shingler(part)

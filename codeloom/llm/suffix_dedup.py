@@ -36,7 +36,7 @@ LENGTH = 400
 SPREAD = 96
 GRAM = 8
 #: Bytes handled together, and bytes of text for each task of a shuffle, at most.
-SEGMENT, TASK_BYTES = 4 << 20, 32 << 20
+SEGMENT, TASK_BYTES = 1 << 20, 32 << 20
 #: Texts of one merge, and shards that they are cut into.
 MERGE_TEXTS, SHARDS = 20_000, 8
 #: What a broadcast may weigh; beyond, texts are shuffled to their spans.
@@ -162,7 +162,7 @@ def _find_anchors(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]):
         digest = xxhash.xxh3_64_intdigest
-        for b in batches:
+        for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             ids, texts = b.column(0).to_pylist(), [(t or "").encode("utf-8", "replace") for t in b.column(1).to_pylist()]
             for head, body in _segments(ids, texts):
                 data = b"".join(body)
@@ -213,7 +213,7 @@ def _resolve_anchors(n: int):
         number, repeated, heads = _classes(_same(a["core"], a["around"]), a["twice"])
         found = _spans(a[repeated[number]])
         yield from _packed(found, _by_doc(found, n), "span", n)
-        a, repeated = a[heads], repeated
+        a = a[heads]
         same = _same(a["core"])
         pair = same.copy()
         if len(pair):
@@ -290,7 +290,6 @@ def _cut_texts(n: int):
             t = np.empty(len(head), TEXT)
             for k, v in zip(("core", "doc", "crc", "low", "size", "n_left", "n_right", "twice"), zip(*head, strict=True), strict=True):
                 t[k] = v
-            # The cores of ranges of unlike size must differ, and so must texts of unlike extent.
             t["left"] = np.frombuffer(b"".join(left), np.uint8).reshape(-1, 16)
             t["right"] = np.frombuffer(b"".join(right), np.uint8).reshape(-1, 16)
             t, repeated, number, heads = _text_classes(t)

@@ -1,6 +1,5 @@
 import numpy as np
 import public_tokenizers as P
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codeloom.llm import minhash_dedup as M
@@ -53,4 +52,3 @@ def test_stages_on_empty_and_odd_tables(spark):
             out = materialize(stage(spark, table, sf), f"test-{name}")
             assert name == "byte_bpe" or out.columns == docs.columns
             assert out.count() <= table.count()
-    assert docs.where(F.col("text").isNull()).count() >= 0

@@ -55,7 +55,7 @@ def test_rest_of_rows(frame):
     docs = [(1, "one " + passage + " two"), (2, passage + " three"), (3, None), (4, "é" + "z" * 10)]
     kept = S.remove_repeats(frame(docs), keep_columns=True)
     assert kept.columns == ["doc_id", "text", "n_tokens"]
-    assert {r.doc_id: r.text for r in kept.collect()} == {1: "one  two", 2: " three", 3: None, 4: "ézzzzzzzzzz"} or {r.doc_id: r.text for r in kept.collect()}[3] is None
+    assert {r.doc_id: r.text for r in kept.collect()} == {1: "one wo", 2: "hree", 3: None, 4: "ézzzzzzzzzz"}  # " t" is shared too
 
 
 def test_merged_transforms_are_in_suffix_order():
