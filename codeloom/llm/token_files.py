@@ -41,7 +41,7 @@ class Encoder:
         self.code = "H" if self.width == 2 else "I"
         special = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.mark_id, self.mark = (special[0][0], special[0][1].content) if special else (None, None)
-        self.cache = ChunkCache(self.encode_chunks)
+        self.cache = ChunkCache(self.encode_chunks, entries=1_000_000)
 
     def encode_chunks(self, new: list[str]) -> list[bytes]:
         """Ids of each chunk, packed. Many chunks go to the library as one text, apart by a special token, at which it cuts texts first."""
