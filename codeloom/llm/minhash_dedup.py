@@ -1,7 +1,8 @@
 """Near-duplicate documents by improved consistent weighted sampling.
 
-A document is the set of its shingles (five words), each weighing its count times its inverse document frequency; document
-frequencies are kept for FEATURES hashed features, over all documents. A sample of the sets is consistent: two documents
+A document is the set of its shingles (five words), each weighing its count times its inverse document frequency. Document
+frequencies are those of the 64-bit shingles over all documents: documents go in chunks, each chunk sends its shingles, cut into
+ranges, to the tasks that count a range, and gets back their frequencies in the same order. A sample of the sets is consistent: two documents
 draw the same one with the probability of their weighted Jaccard similarity. ROWS samples make a band; documents that share
 a band are candidates, and candidates are verified by the exact weighted Jaccard similarity of their whole texts.
 
@@ -11,6 +12,7 @@ join their components; a pair that shares several bands is compared in the first
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -28,9 +30,10 @@ from codeloom.llm.decontaminate import words
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
-FEATURES = 1 << 20
-#: Features of one row of the table of document frequencies.
-STRIP = 1 << 14
+#: Every 64-bit shingle is a feature of its own.
+FEATURES = 1 << 64
+#: Documents of a chunk, about, and the least number of ranges that chunks send their shingles to (a power of two).
+CHUNK, RANGES = 1 << 10, 1 << 10
 #: Ids whose texts are looked up go by broadcast up to so many, by a shuffle beyond.
 BROADCAST_IDS = 500_000
 #: Classes of one bucket that are compared in one group.
@@ -122,34 +125,132 @@ def samples(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, n: in
     return out
 
 
-def idf_table(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequency of each hashed feature, over all rows of docs (text); those of a feature's shingles are summed."""
+def idf(df: np.ndarray, n: int) -> np.ndarray:
+    """Inverse document frequency of shingles that df of n documents have."""
+    return (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
-    def count(batches: Iterator[pa.RecordBatch]):
-        shingler, total, n = worker_shingler(), np.zeros(FEATURES, np.int32), 0
+
+def _blobs(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary values that hold the numbers of x from each cut to the next."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _numbers(blobs: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all binary values in a row, and how many each holds."""
+    if not len(blobs):
+        return np.empty(0, dtype), np.zeros(0, np.int64)
+    cuts = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64)
+    size = np.dtype(dtype).itemsize
+    return np.frombuffer(blobs.buffers()[2], np.uint8)[cuts[0] : cuts[-1]].copy().view(dtype), np.diff(cuts) // size
+
+
+def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs of equal values."""
+    cuts = np.flatnonzero(x[1:] != x[:-1]) + 1
+    yield from zip([0, *cuts], [*cuts, len(x)], strict=True) if len(x) else ()
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs (id, text) with k1 and k2, which stand for the text."""
+    return docs.select("id", *[F.xxhash64(F.lit(i), "text").alias(f"k{i}") for i in (1, 2)], "text")
+
+
+def in_chunks(docs: DataFrame, n_docs: int) -> DataFrame:
+    """The rows of keyed() with text and their chunk, the rows of a chunk in one partition."""
+    chunk = F.pmod(F.xxhash64("id", "k1"), F.lit(max(-(-n_docs // CHUNK), 1)))
+    return docs.where("text is not null").select(chunk.cast("bigint").alias("chunk"), "id", "k1", "k2", "text").repartition("chunk")
+
+
+def frequencies(rows: DataFrame, n_docs: int) -> DataFrame:
+    """chunk, range, low and high: how many documents have each shingle of each chunk of in_chunks(), by the range's sorted shingles.
+
+    low holds a byte for each shingle; for 255 or more it is 255, and high has the number.
+    """
+    bits = (max(RANGES, n_docs // (16 * CHUNK)) - 1).bit_length()
+    # The high bits of sorted shingles compress, if they lie apart from the low ones.
+    parts = {"a": (np.uint64(48), np.uint16), "b": (np.uint64(16), np.uint32), "c": (np.uint64(0), np.uint16)}
+
+    def of_chunk(chunk: int, found: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(found), return_counts=True)
+        ranges = (h >> np.uint64(64 - bits)).astype(np.int32)
+        starts = np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])) if len(h) else np.zeros(0, np.int64)
+        cuts = np.append(starts, len(h))
+        blobs = [_blobs((h >> shift).astype(kind), cuts) for shift, kind in parts.values()]
+        return pa.RecordBatch.from_arrays([pa.array(ranges[starts]), pa.array(np.full(len(starts), chunk, np.int64)), *blobs, _blobs(n.astype(np.uint32), cuts)], names=["range", "chunk", *parts, "n"])
+
+    def send(batches: Iterator[pa.RecordBatch]):
+        shingler, now, found = worker_shingler(), None, []
         for b in batches:
-            n += b.num_rows
-            for _, part in slices(b.column(0).to_pylist()):
-                _, h, _ = shingler(part)
-                total += np.bincount((h & np.uint64(FEATURES - 1)).astype(np.int64), minlength=FEATURES).astype(np.int32)
-        if n:
-            strips = total.reshape(-1, STRIP)
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(strips))], pa.int32()), pa.array([np.int64(n).tobytes(), *(s.tobytes() for s in strips)], pa.binary())], names=["strip", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]):
-        sums: dict[int, np.ndarray] = {}
+            chunks = b.column(0).to_numpy()
+            for x, y in _runs(chunks):
+                if found and chunks[x] != now:
+                    yield of_chunk(now, found)
+                    found = []
+                now = chunks[x]
+                found.extend(shingler(part)[1] for _, part in slices(b.column(4).slice(x, y - x).to_pylist()))
+        if found:
+            yield of_chunk(now, found)
+
+    def count(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        h = np.zeros(len(_numbers(whole.column(4), np.uint16)[0]), np.uint64)
+        for c, (shift, kind) in zip((2, 3, 4), parts.values(), strict=True):
+            h |= _numbers(whole.column(c), kind)[0].astype(np.uint64) << shift
+        n, sizes = _numbers(whole.column(5), np.uint32)
+        own, at = np.unique(h, return_inverse=True)
+        df = np.bincount(at, weights=n, minlength=len(own)).astype(np.uint32)[at]
+        cuts, many = np.append(0, np.cumsum(sizes)), df >= 255
+        return pa.RecordBatch.from_arrays([whole.column(1), whole.column(0), _blobs(np.minimum(df, 255).astype(np.uint8), cuts), _blobs(df[many], np.append(0, np.cumsum(many))[cuts])], names=["chunk", "range", "low", "high"])
+
+    def answer(batches: Iterator[pa.RecordBatch]):
+        now, rows = None, []
         for b in batches:
-            for k, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = np.frombuffer(raw.as_buffer(), np.int64 if k < 0 else np.int32)
-                sums[k] = sums[k] + x if k in sums else x.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["strip", "counts"])
-
-    schema = "strip int, counts binary"
-    # FEATURES counts in all, whatever the number of documents.
-    rows = {r.strip: np.frombuffer(r.counts, np.int64) for r in docs.select("text").mapInArrow(count, schema).repartition("strip").mapInArrow(add, schema).collect()}
-    n = int(rows[-1][0]) if rows else 0
-    df = np.concatenate([rows[k] for k in range(FEATURES // STRIP)]) if rows else np.zeros(FEATURES)
-    return (np.maximum(np.log((1 + n) / (1 + df)), 0) + 1).astype(np.float32)
+            ranges = b.column(0).to_numpy()
+            for x, y in _runs(ranges):
+                if rows and ranges[x] != now:
+                    yield count(rows)
+                    rows = []
+                now = ranges[x]
+                rows.append(b.slice(x, y - x))
+        if rows:
+            yield count(rows)
+
+    sent = rows.sortWithinPartitions("chunk").mapInArrow(send, "range int, chunk bigint, a binary, b binary, c binary, n binary")
+    return sent.repartition("range").sortWithinPartitions("range").mapInArrow(answer, "chunk bigint, range int, low binary, high binary")
+
+
+def _of_chunk(texts: list[str], shingler: Shingler, counts: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
+    """For each slice of a chunk's texts its start and shingles; all shingles; the document frequencies of all."""
+    found = [(start, shingler(part)) for start, part in slices(texts)]
+    h = np.concatenate([x[1] for _, x in found])
+    own, at = np.unique(h, return_inverse=True)
+    t = counts.sort_by("range").combine_chunks()
+    low, high = (np.concatenate([np.empty(0, kind), *(_numbers(c, kind)[0] for c in t.column(name).chunks)]) for name, kind in (("low", np.uint8), ("high", np.uint32)))
+    if len(low) != len(own):
+        raise ValueError("a chunk's frequencies are not those of its shingles")
+    df = low.astype(np.uint32)
+    df[low == 255] = high
+    return found, h, df[at]
+
+
+class idf_table:  # noqa: N801
+    """Inverse document frequencies of the shingles of all rows of docs (text) on the driver, by shingle; for small tables."""
+
+    def __init__(self, docs: DataFrame):
+        self.n = docs.count()
+        rows = in_chunks(keyed(docs.select(F.monotonically_increasing_id().alias("id"), "text")), self.n)
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            _, h, df = _of_chunk(left.column("text").to_pylist(), worker_shingler(), right)
+            own, at = np.unique(h, return_index=True)
+            return pa.table({"h": pa.array([own.tobytes()], pa.binary()), "df": pa.array([df[at].tobytes()], pa.binary())})
+
+        found = rows.groupBy("chunk").cogroup(frequencies(rows, self.n).groupBy("chunk")).applyInArrow(run, "h binary, df binary").collect()
+        self.known, first = np.unique(np.frombuffer(b"".join(r.h for r in found), np.uint64), return_index=True)
+        self.df = np.frombuffer(b"".join(r.df for r in found), np.uint32)[first]
+
+    def __getitem__(self, shingles: np.ndarray) -> np.ndarray:
+        return idf(self.df[np.searchsorted(self.known, shingles.astype(np.uint64))], self.n)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -188,14 +289,16 @@ def _links(d: np.ndarray, h: np.ndarray, w: np.ndarray, bands: np.ndarray, band:
     return out
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of the documents named by ids, one for each id."""
+def _texts(docs: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts (of keyed docs) and document frequencies (of signatures) of ids (id, k1, k2), one row for each."""
+    key = ["id", "k1", "k2"]
     few = ids.count() <= BROADCAST_IDS
-    return materialize(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
+    one = lambda t, c: t.join(F.broadcast(ids) if few else ids, key, "left_semi").groupBy(key).agg(F.max(c).alias(c))
+    return materialize(one(docs, "text").join(one(rows, "df"), key), "texts")
 
 
-def _compare(groups: DataFrame, idf, threshold: float) -> DataFrame:
-    """Links (a, b) within each group of rows (group, band, key, two, own, rep, bands, text)."""
+def _compare(groups: DataFrame, n_docs: int, threshold: float) -> DataFrame:
+    """Links (a, b) within each group of rows (group, band, key, two, own, rep, bands, text, df)."""
 
     def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         rest = None
@@ -213,12 +316,12 @@ def _compare(groups: DataFrame, idf, threshold: float) -> DataFrame:
             yield rest
 
     def run(batches: Iterator[pa.RecordBatch]):
-        shingler, table = worker_shingler(), idf.value
+        shingler = worker_shingler()
         for t in whole_groups(batches):
             if t.num_rows < 2:
                 continue
             d, h, m = shingler(t.column("text").to_pylist())
-            w = m * table[(h & np.uint64(FEATURES - 1)).astype(np.int64)].astype(np.float64)
+            w = m * idf(np.frombuffer(b"".join(map(zlib.decompress, t.column("df").to_pylist())), np.uint32), n_docs).astype(np.float64)
             if len(np.unique(d)) < t.num_rows:
                 raise ValueError("a document with bands has no shingles")
             two = t.column("two")[0].as_py()
@@ -231,27 +334,27 @@ def _compare(groups: DataFrame, idf, threshold: float) -> DataFrame:
     return groups.repartition("group").sortWithinPartitions("group", "band", "key", "rep").mapInArrow(run, "a bigint, b bigint")
 
 
-def signatures(docs: DataFrame, idf) -> DataFrame:
-    """id, k1 and k2 (which stand for the text) and bands (null without words) of every row of docs (id, text) with text."""
+def signatures(docs: DataFrame, n_docs: int) -> DataFrame:
+    """id, k1, k2, bands (null without words) and df, the packed document frequencies of the shingles, of every row of keyed docs with text."""
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        shingler, table = worker_shingler(), idf.value
-        for b in batches:
-            for start, part in slices(b.column(3).to_pylist()):
-                d, h, m = shingler(part)
-                w = m * table[(h & np.uint64(FEATURES - 1)).astype(np.int64)]
-                own, starts = np.unique(d, return_index=True)
-                drawn = samples(h, w, starts, BANDS * ROWS).astype(np.uint64).reshape(len(own), BANDS, ROWS)
-                key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(own), 1))
-                for r in range(ROWS):
-                    key = mix(key * _P + drawn[:, :, r])
-                bands: list = [None] * len(part)
-                for i, k in zip(own.tolist(), key.view(np.int64).tolist(), strict=True):
-                    bands[i] = k
-                yield pa.RecordBatch.from_arrays([b.column(i).slice(start, len(part)) for i in range(3)] + [pa.array(bands, pa.list_(pa.int64()))], names=["id", "k1", "k2", "bands"])
-
-    keyed = docs.where("text is not null").select("id", F.xxhash64(F.lit(1), "text").alias("k1"), F.xxhash64(F.lit(2), "text").alias("k2"), "text")
-    return keyed.mapInArrow(run, "id bigint, k1 bigint, k2 bigint, bands array<bigint>")
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found, _, df = _of_chunk(left.column("text").to_pylist(), worker_shingler(), right)
+        bands: list = [None] * left.num_rows
+        packed: list = [None] * left.num_rows
+        for start, (d, h, m) in found:
+            n, df = df[: len(h)], df[len(h) :]
+            own, starts = np.unique(d, return_index=True)
+            drawn = samples(h, m * idf(n, n_docs), starts, BANDS * ROWS).astype(np.uint64).reshape(len(own), BANDS, ROWS)
+            key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(own), 1))
+            for r in range(ROWS):
+                key = mix(key * _P + drawn[:, :, r])
+            for i, k, x, y in zip((own + start).tolist(), key.view(np.int64).tolist(), starts.tolist(), [*starts[1:].tolist(), len(h)], strict=True):
+                bands[i], packed[i] = k, zlib.compress(n[x:y].tobytes(), 1)
+        return pa.table([*(left.column(c) for c in ("id", "k1", "k2")), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())], names=["id", "k1", "k2", "bands", "df"])
+
+    rows = in_chunks(docs, n_docs)
+    counts = frequencies(rows, n_docs)
+    return rows.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(run, "id bigint, k1 bigint, k2 bigint, bands array<bigint>, df binary")
 
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,25 +362,23 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
 
     Returns id_col, class_id (the smallest id of the group) and kept (id_col = class_id), a row for each input row. A null
     text links with nothing; texts without words link only with equal ones; texts of fewer than five words are one shingle.
-    Ids are integers; rows that repeat an id are one document, judged by the largest of their texts when candidates are
-    verified. Other columns are not read; an empty table gives an empty table. A pair at the threshold is missed by all bands once
+    Ids are integers; rows that repeat an id with several texts are judged by each of them. Other columns are not read; an empty table gives an empty table. A pair at the threshold is missed by all bands once
     in 1,300, one of similarity 0.9 once in 470,000; no pair below the threshold is linked.
     """
-    spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    idf = spark.sparkContext.broadcast(idf_table(docs))
-    rows = materialize(signatures(docs, idf), "signatures")
+    docs = keyed(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    n_docs = docs.count()
+    rows = materialize(signatures(docs, n_docs), "signatures")
     classes = materialize(rows.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    members = classes.where("bands is not null").select("rep", "bands", F.posexplode("bands").alias("band", "key"))
+    members = classes.where("bands is not null").select("rep", "k1", "k2", "bands", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = materialize(members.join(shared, ["band", "key"]), "buckets")
-    texts = _texts(docs, met.select(F.col("rep").alias("id")).distinct())
+    texts = _texts(docs, rows, met.select(F.col("rep").alias("id"), "k1", "k2").distinct())
     # A bucket larger than BLOCK is dealt into blocks, and each pair of them is a group of its own.
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = met.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("rep"), blocks).cast("int")})
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = dealt.select("rep", "bands", "band", "key", "own", (F.col("own") != F.col("other")).alias("two"), F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other")).alias("group"))
-    links = materialize(_compare(groups.join(texts.withColumnRenamed("id", "rep"), "rep"), idf, threshold), "links")
+    groups = dealt.select("rep", "k1", "k2", "bands", "band", "key", "own", (F.col("own") != F.col("other")).alias("two"), F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other")).alias("group"))
+    links = materialize(_compare(groups.join(texts.withColumnRenamed("id", "rep"), ["rep", "k1", "k2"]).drop("k1", "k2"), n_docs, threshold), "links")
     parts = components(links)
     named = materialize(classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id")), "named")
     known = rows.join(named, ["k1", "k2"]).select("id", "class_id")

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -81,3 +82,26 @@ def test_one_of_each(frame):
     docs = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x"), (4, None), (None, "x y z"), (1, "a b c d e f")]
     kept = M.one_of_each(frame(docs))
     assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(1, "a b c d e f"), (3, "x"), (4, None), (None, "x y z")]))
+
+
+def exact_frequencies(texts):
+    """Documents of each shingle, as words, by a plain count; the shingles are hashed one text at a time."""
+    count = Counter()
+    for t in texts:
+        count.update(set(M.Shingler()([t])[1].tolist()))
+    return count
+
+
+@pytest.mark.parametrize("ranges", [1 << 10, 2])
+def test_document_frequencies_are_exact(spark, frame, monkeypatch, ranges):
+    monkeypatch.setattr(M, "CHUNK", 16)
+    monkeypatch.setattr(M, "RANGES", ranges)
+    rng = random.Random(7)
+    # More shingles than 2^20 slots would hold apart, one that occurs twice in a document, and some of many documents.
+    docs = [(i, " ".join(["the same five words here the same five words here"] * (i % 3) + [str(rng.random()) for _ in range(9000)])) for i in range(150)]
+    want = exact_frequencies([t for _, t in docs])
+    table = M.idf_table(frame(docs))
+    h = np.array(list(want), np.uint64)
+    n = np.array(list(want.values()))
+    assert len(h) > 1_300_000 and n.max() == 100
+    assert np.allclose(table[h.astype(np.int64)], np.log(151 / (1 + n)) + 1)
