@@ -66,11 +66,12 @@ class Shingler:
         ends = np.cumsum(sizes)
         h = flat + np.uint64(1)
         for j in range(1, self.size):
-            h[: len(h) - j] *= _P
-            h[: len(h) - j] += flat[j:]
+            h[: max(len(h) - j, 0)] *= _P
+            h[: max(len(h) - j, 0)] += flat[j:]
         last = np.zeros(len(flat) + 1, bool)  # places too near to a document's end for a whole shingle
+        some = sizes > 0
         for j in range(1, self.size):
-            last[np.maximum(ends - j, ends - sizes)] = True
+            last[np.maximum(ends - j, ends - sizes)[some]] = True
         short = np.flatnonzero((sizes > 0) & (sizes < self.size))  # a document of fewer words is one shingle
         for i in short.tolist():
             at = int(ends[i] - sizes[i])

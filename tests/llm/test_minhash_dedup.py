@@ -105,3 +105,19 @@ def test_document_frequencies_are_exact(spark, frame, monkeypatch, ranges):
     n = np.array(list(want.values()))
     assert len(h) > 1_300_000 and n.max() == 100
     assert np.allclose(table[h.astype(np.int64)], np.log(151 / (1 + n)) + 1)
+
+
+def test_shingles_do_not_depend_on_the_text_before():
+    texts = ["", "one two three four five", "!!", "one two three four five six", None, "a b", "", "", "one two three four five six seven"]
+    d, h, m = M.Shingler()([t or "" for t in texts])
+    # Shingles by a plain slide over the words; a text of fewer than five words is one.
+    want = {i: len({tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))}) for i, t in enumerate(texts) if (w := (t or "").replace("!", "").split())}
+    assert {i: int((d == i).sum()) for i in set(d.tolist())} == want
+    sets = {i: set(h[d == i].tolist()) for i in want}
+    assert sets[1] < sets[3] < sets[8] and m.min() == 1
+    assert all(sets[i] == set(M.Shingler()([texts[i]])[1].tolist()) for i in want)
+
+
+def test_short_near_copy_after_an_empty_text(frame):
+    docs = [(1, ""), (2, "one two three four five"), (3, "!!"), (4, "One, two three FOUR five"), (5, "other words than the ones before")]
+    assert {k: v[0] for k, v in found(frame(docs).coalesce(1)).items()} == {1: 1, 2: 2, 3: 3, 4: 2, 5: 5}
