@@ -56,3 +56,20 @@ def test_paths_and_layers(spark):
 def test_empty(spark):
     m, e = spark.createDataFrame([], METHODS), spark.createDataFrame([], EDGES)
     assert G.pagerank(m, e).count() == 0 and G.class_graph(m, e).count() == 0 and G.call_chain(m, e).count() == 0
+
+
+def test_registered_queries_walk_as_deep_as_the_operators(spark, monkeypatch):
+    from codeloom.queries import graph as Q
+
+    ids = [str(i) for i in range(94, 101)]  # a chain of calls: 0 > 95 > 96 > ... > 100
+    chain = [("0", "95"), *zip(ids[1:], ids[2:], strict=False)]
+    edges = spark.createDataFrame([(a, b, "CALLS", 1.0, 1) for a, b in chain], "src string, dst string, edge_type string, confidence double, call_count long")
+    names = sorted({n for e in chain for n in e})
+    methods = spark.createDataFrame([(n, n, "", "f", "method", "s", 1, 2, True) for n in names], "id string, name string, class_name string, file_path string, chunk_type string, signature string, line_start int, line_end int, is_primary boolean")
+    tables = {"edges": edges, "all_edges": edges, "methods": methods, "ranks": methods.selectExpr("id", "1.0D AS pagerank")}
+    tables["targets"] = spark.createDataFrame([("0",), ("100",)], "target string")
+    monkeypatch.setattr(Q, "shape", lambda s, d, name: tables[name])
+    assert {(r.id, r.hop) for r in Q.join11(spark, "").where("target = '100'").collect()} == {("99", 1), ("98", 2), ("97", 3)}
+    assert {(r.id, r.depth) for r in Q.ret15(spark, "").where("target = '100'").collect()} == {("99", 1), ("98", 2), ("97", 3)}
+    assert [(r.path, r.path_length, r.found) for r in Q.join18(spark, "").where("from_id = '0'").collect()] == [("0>95>96>97>98>99>100", 6, True)]
+    assert {r.node: r.layer for r in Q.ret18(spark, "").where("centre = '0'").collect()} == {"0": 0, "95": 1, "96": 2, "97": 3, "98": 4, "99": 5, "100": 0}
