@@ -16,19 +16,23 @@ def points(spark, d):
     return shape(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
+def asked_ids(spark, d):
+    """Every vector whose id is divisible by 50 is a query."""
+    return shape(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("id"))
+
+
 def asked(spark, d):
-    """A query for each nation: the vector of that number."""
-    return points(spark, d).join(shape(spark, d, "targets").select(F.col("target").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), "vector")
+    return points(spark, d).join(asked_ids(spark, d), "id", "left_semi").select(F.col("id").alias("query_id"), "vector")
 
 
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
-_KNN = f"SELECT a.vec_id::VARCHAR AS query_id, b.vec_id::VARCHAR AS id, round({_COS}, {{}}) AS score FROM embeddings a JOIN embeddings b ON true WHERE a.vec_id < 25"
+_KNN = f"SELECT a.vec_id::VARCHAR AS query_id, b.vec_id::VARCHAR AS id, round({_COS}, {{}}) AS score FROM embeddings a JOIN embeddings b ON true WHERE a.vec_id % 50 = 0"
 
 QUERIES["ret1_dense_search"] = (lambda s, d: R.dense_search(asked(s, d), points(s, d), 10).select("query_id", "id", "score", F.col("place").cast("long").alias("place")), f"WITH k AS ({_KNN.format(4)}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM k) SELECT query_id, id, score, place FROM r WHERE place <= 10")
 QUERIES["join13_dense_pairs"] = (lambda s, d: R.dense_search(asked(s, d), points(s, d), R.fetch_k(10)).groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.min("score").alias("last")), f"WITH k AS ({_KNN.format(4)}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM k) SELECT query_id, count(*) AS n, max(score) AS best, min(score) AS last FROM r WHERE place <= 100 GROUP BY 1")
-QUERIES["ret14_similar_code"] = (lambda s, d: R.similar_code(points(s, d), 5, shape(s, d, "targets").select(F.col("target").alias("id"))).select("query_id", "id", "score"), f"WITH k AS ({_KNN.format(3)}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM k WHERE id <> query_id) SELECT query_id, id, score FROM r WHERE place <= 5")
-QUERIES["fil10_self_excluded"] = (lambda s, d: R.similar_code(points(s, d), 20, shape(s, d, "targets").select(F.col("target").alias("id"))).groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("id") == F.col("query_id")).alias("own")), "SELECT vec_id::VARCHAR AS query_id, 20::BIGINT AS n, 0::BIGINT AS own FROM embeddings WHERE vec_id < 25")
-QUERIES["top8_similar_capped"] = (lambda s, d: R.similar_code(points(s, d), 50, shape(s, d, "targets").select(F.col("target").alias("id"))).groupBy("query_id").agg(F.count("*").alias("n")), "SELECT vec_id::VARCHAR AS query_id, 20::BIGINT AS n FROM embeddings WHERE vec_id < 25")
+QUERIES["ret14_similar_code"] = (lambda s, d: R.similar_code(points(s, d), 5, asked_ids(s, d)).select("query_id", "id", "score"), f"WITH k AS ({_KNN.format(3)}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM k WHERE id <> query_id) SELECT query_id, id, score FROM r WHERE place <= 5")
+QUERIES["fil10_self_excluded"] = (lambda s, d: R.similar_code(points(s, d), 20, asked_ids(s, d)).groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("id") == F.col("query_id")).alias("own")), "SELECT vec_id::VARCHAR AS query_id, 20::BIGINT AS n, 0::BIGINT AS own FROM embeddings WHERE vec_id % 50 = 0")
+QUERIES["top8_similar_capped"] = (lambda s, d: R.similar_code(points(s, d), 50, asked_ids(s, d)).groupBy("query_id").agg(F.count("*").alias("n")), "SELECT vec_id::VARCHAR AS query_id, 20::BIGINT AS n FROM embeddings WHERE vec_id % 50 = 0")
 
 
 def _sparse(s, d):

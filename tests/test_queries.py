@@ -25,3 +25,10 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_every_fiftieth_vector_is_a_query(spark):
+    from codeloom.queries.retrieval import asked
+
+    ids = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()}
+    assert {int(r.query_id) for r in asked(spark, SF).collect()} == {i for i in ids if i % 50 == 0}
