@@ -17,10 +17,10 @@ TEMPLATES = {"summary": "Sum up {file_path} L{line_start}-L{line_end} ({language
 
 
 def _requests(s, d):
-    return shape(s, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", "bug").otherwise("other").alias("mode"), F.concat("source", F.lit(".java")).alias("file_path"), F.lit(1).alias("line_start"), F.lit(9).alias("line_end"), F.substring("text", 1, 200).alias("code"), F.lit("ctx").alias("call_context"))
+    return shape(s, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", "bug").otherwise("other").alias("mode"), F.concat("source", F.lit(".java")).alias("file_path"), F.lit(1).alias("line_start"), F.lit(9).alias("line_end"), F.col("text").alias("code"), F.lit("ctx").alias("call_context"))
 
 
-QUERIES["llm4_prompts"] = (lambda s, d: C.prompts(_requests(s, d), TEMPLATES), "SELECT doc_id AS id, CASE WHEN lang = 'en' THEN 'Find bugs in ' || source || '.java' || chr(10) || left(text, 200) ELSE 'Sum up ' || source || '.java L1-L9 (java)' || chr(10) || 'ctx' || chr(10) || left(text, 200) END AS prompt FROM documents")
+QUERIES["llm4_prompts"] = (lambda s, d: C.prompts(_requests(s, d), TEMPLATES), "WITH d AS (SELECT *, string_split(text, chr(10)) AS lines FROM documents), c AS (SELECT *, CASE WHEN length(text) >= 72003 THEN array_to_string(lines[1:len(list_filter(range(1, len(lines) + 1), lambda i: list_sum(list_transform(lines[1:i], lambda l: length(l) + 1)) <= 72000))], chr(10)) || chr(10) || chr(10) || '... [cut]' ELSE text END AS code FROM d) SELECT doc_id AS id, CASE WHEN lang = 'en' THEN 'Find bugs in ' || source || '.java' || chr(10) || code ELSE 'Sum up ' || source || '.java L1-L9 (java)' || chr(10) || 'ctx' || chr(10) || code END AS prompt FROM c")
 
 
 def _messages(s, d):

@@ -32,3 +32,10 @@ def test_every_fiftieth_vector_is_a_query(spark):
 
     ids = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()}
     assert {int(r.query_id) for r in asked(spark, SF).collect()} == {i for i in ids if i % 50 == 0}
+
+
+def test_prompts_hold_the_whole_text(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    prompts = {r.id: r.prompt for r in queries.queries()["llm4_prompts"](spark, SF).collect()}
+    assert max(map(len, texts.values())) > 200
+    assert all(prompts[i].endswith(t) for i, t in texts.items() if len(t) < 72000)
