@@ -22,13 +22,22 @@ def index_of(chunks: DataFrame, dim: int = 64) -> DataFrame:
     return chunks.withColumns({"vector": R.hashed_embedding(F.col("text"), dim), "weights": F.map_from_entries(F.transform(tokens, lambda t: F.struct(t, F.lit(1.0))))})
 
 
-def search(queries: DataFrame, index: DataFrame, nodes: DataFrame | None, top_k: int = 10, model=None) -> DataFrame:
-    """RET-13: the top_k chunks of each query of intents() over index_of() a repository; nodes (id, name, pagerank, in_degree) bring graph scores, model a reranker."""
+def by_generated_text(texts: DataFrame, index: DataFrame, k: int, cut: bool = True) -> DataFrame:
+    """RET-3: dense search by the text (query_id, text) that a model wrote for a query; blank texts find nothing."""
+    return R.dense_search(index_of(texts.where(F.trim("text") != "")), index, k, cut=cut)
+
+
+def search(queries: DataFrame, index: DataFrame, nodes: DataFrame | None, top_k: int = 10, model=None, hypotheses: DataFrame | None = None, expansions: DataFrame | None = None) -> DataFrame:
+    """RET-13: the top_k chunks of each query of intents() over index_of() a repository; nodes (id, name, pagerank, in_degree) bring graph scores, model a reranker, hypotheses (query_id, code) and expansions (query_id, expansion) a further ranked list each."""
     k = R.fetch_k(top_k)
     asked = index_of(queries)
     dense = R.dense_search(asked, index, k, cut=False).withColumn("channel", F.lit("dense"))
     sparse = R.sparse_search(asked, index, k, cut=False).withColumn("channel", F.lit("sparse"))
-    best = R.top(dense.unionByName(sparse), k, "query_id", "channel")
+    found = dense.unionByName(sparse)
+    for channel, texts, column in (("hyde", hypotheses, "code"), ("expanded", expansions, "expansion")):
+        if texts is not None:
+            found = found.unionByName(by_generated_text(texts.select("query_id", F.col(column).alias("text")), index, k, cut=False).withColumn("channel", F.lit(channel)))
+    best = R.top(found, k, "query_id", "channel")
     fused = R.rrf(best.select("query_id", "channel", "id", "score")).withColumnRenamed("score", "rrf")
     payload = index.drop("vector", "weights").withColumns({c: F.lit("") for c in ("symbol", "class_name", "symbol_id") if c not in index.columns})
     rows = fused.join(payload, "id").join(queries.select("query_id", "idents", "tokens", F.col("text").alias("asked")), "query_id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.operators import retrieval as R
+from codeloom.plans import models as M
 from codeloom.plans import search as P
 from codeloom.queries.shapes import duck, shape
 
@@ -62,7 +63,18 @@ QUERIES["ret16_bm25"] = (lambda s, d: _bm25(s, d).groupBy("query_id").agg(F.coun
 QUERIES["src18_postings"] = (lambda s, d: R.postings(shape(s, d, "chunks").select("id", "text")).groupBy("token").agg(F.count("*").alias("df"), F.max("n_tokens").cast("long").alias("longest")), f"WITH {_POST}, n AS (SELECT id, count(*) AS n_tokens FROM p GROUP BY 1) SELECT token, count(*) AS df, max(n_tokens) AS longest FROM p JOIN n USING (id) GROUP BY 1")
 _RRF = "pl AS (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, id) AS place FROM ranked), f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + place)), 6) AS score FROM pl GROUP BY 1, 2)"
 QUERIES["ret4_rrf"] = (lambda s, d: R.rrf(shape(s, d, "ranked")), duck(f"+{_RRF} SELECT query_id, id, score FROM f", "ranked"))
-QUERIES["ret3_hypothetical_channel"] = (lambda s, d: shape(s, d, "ranked").groupBy("query_id", "channel").agg(F.count("*").alias("n")).where("channel = 'hyde'").select("query_id", "n"), duck("SELECT query_id, count(*) AS n FROM ranked WHERE channel = 'hyde' GROUP BY 1", "ranked"))
+
+
+def _benchmark(s, d):
+    return P.intents(shape(s, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text"))
+
+
+def _hypotheses(s, d):
+    """A text for each query, all taken as semantic; the stand-in for a model gives back the prompt."""
+    return M.hypotheses(_benchmark(s, d).withColumn("intent", F.lit("semantic")), lambda p: list(p))
+
+
+QUERIES["ret3_hypothetical_channel"] = (lambda s, d: P.by_generated_text(_hypotheses(s, d).select("query_id", F.col("code").alias("text")), P.index_of(shape(s, d, "chunks")), R.fetch_k(10)).select("query_id", "id", "score"), None)
 QUERIES["top4_top_k"] = (lambda s, d: R.top(R.rrf(shape(s, d, "ranked")), 10).select("query_id", "id", "score", F.col("place").cast("long").alias("place")), duck(f"+{_RRF} SELECT query_id, id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM f) WHERE place <= 10", "ranked"))
 QUERIES["top9_rerank_pool"] = (lambda s, d: R.top(R.rrf(shape(s, d, "ranked")), R.RERANK_POOL).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("last")), duck(f"+{_RRF} SELECT query_id, count(*) AS n, min(score) AS last FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM f) WHERE place <= 50 GROUP BY 1", "ranked"))
 
@@ -127,6 +139,6 @@ QUERIES["top6_drop_overlaps"] = (lambda s, d: R.drop_overlaps(_ranked_chunks(s,
 QUERIES["join15_overlapping_pairs"] = (lambda s, d: P.overlapping_pairs(_ranked_chunks(s, d)), duck("SELECT a.language AS query_id, count(*) AS n FROM chunks a JOIN chunks b ON a.language = b.language AND a.file_path = b.file_path AND a.id < b.id AND a.line_start <= b.line_end AND b.line_start <= a.line_end AND (least(a.line_end, b.line_end) - greatest(a.line_start, b.line_start) + 1)::DOUBLE / greatest(least(a.line_end - a.line_start + 1, b.line_end - b.line_start + 1), 1) > 0.4 GROUP BY 1", "chunks"))
 QUERIES["ret11_deduplicate"] = (lambda s, d: R.deduplicate(_ranked_chunks(s, d)).select("query_id", "id", "score"), None)
 QUERIES["ret12_results"] = (lambda s, d: P.results(R.top(_scored(s, d).withColumn("score", F.col("rrf")), 10), shape(s, d, "methods"), shape(s, d, "edges")), duck(f"+{_ALL}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS place FROM sc) WHERE place <= 10) SELECT t.query_id, t.id, t.place, left(t.signature, 3000) AS snippet, count(DISTINCT a.src) AS n_callers, count(DISTINCT b.dst) AS n_callees FROM t LEFT JOIN edges a ON a.dst = t.id LEFT JOIN edges b ON b.src = t.id GROUP BY ALL", *_GNAMES))
-QUERIES["ret13_search"] = (lambda s, d: P.search(P.intents(shape(s, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")), P.index_of(shape(s, d, "chunks")), None, 10).select("query_id", "id", "score"), None)
+QUERIES["ret13_search"] = (lambda s, d: P.search(_benchmark(s, d), P.index_of(shape(s, d, "chunks")), _nodes(s, d), 10, hypotheses=_hypotheses(s, d)).select("query_id", "id", "score"), None)
 QUERIES["ret17_context_block"] = (lambda s, d: P.context_blocks(shape(s, d, "chunks").select(F.col("language").alias("query_id"), "id", (F.length("text") / 1e6).alias("score"), "file_path", "line_start", "line_end", "text"), 5, 700), duck("""+r AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY length(text) DESC, id) AS k FROM chunks) SELECT language AS query_id, string_agg('### ' || file_path || ':' || line_start || '-' || line_end || chr(10) || left(text, 2100), chr(10) || chr(10) ORDER BY k) AS block FROM r WHERE k <= 5 GROUP BY 1""", "chunks"))
 QUERIES["ret19_embedding"] = (lambda s, d: shape(s, d, "chunks").select("id", R.hashed_embedding(F.col("text"), 8).alias("v")).select("id", F.size("v").cast("long").alias("dim")), duck("SELECT id, 8::BIGINT AS dim FROM chunks", "chunks"))

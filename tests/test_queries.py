@@ -39,3 +39,15 @@ def test_prompts_hold_the_whole_text(spark):
     prompts = {r.id: r.prompt for r in queries.queries()["llm4_prompts"](spark, SF).collect()}
     assert max(map(len, texts.values())) > 200
     assert all(prompts[i].endswith(t) for i, t in texts.items() if len(t) < 72000)
+
+
+def test_hypotheses_bring_documents_of_their_own(spark):
+    from codeloom.plans import search as P
+
+    rows = [("a", "alpha beta", "f", "", 1, 2, "x"), ("b", "gamma delta", "g", "", 1, 2, "x")]
+    index = P.index_of(spark.createDataFrame(rows, "id string, text string, file_path string, symbol_id string, line_start int, line_end int, language string"))
+    texts = spark.createDataFrame([("q", "gamma delta"), ("r", " ")], "query_id string, text string")
+    assert [(r.query_id, r.id) for r in P.by_generated_text(texts, index, 1).collect()] == [("q", "b")]
+    asked = P.intents(spark.createDataFrame([("q", "alpha beta")], "query_id string, text string"))
+    score = lambda **more: {r.id: r.score for r in P.search(asked, index, None, 2, **more).collect()}
+    assert score(hypotheses=texts.selectExpr("query_id", "text AS code"))["b"] > score().get("b", 0)
