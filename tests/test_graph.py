@@ -73,3 +73,14 @@ def test_registered_queries_walk_as_deep_as_the_operators(spark, monkeypatch):
     assert {(r.id, r.depth) for r in Q.ret15(spark, "").where("target = '100'").collect()} == {("99", 1), ("98", 2), ("97", 3)}
     assert [(r.path, r.path_length, r.found) for r in Q.join18(spark, "").where("from_id = '0'").collect()] == [("0>95>96>97>98>99>100", 6, True)]
     assert {r.node: r.layer for r in Q.ret18(spark, "").where("centre = '0'").collect()} == {"0": 0, "95": 1, "96": 2, "97": 3, "98": 4, "99": 5, "100": 0}
+
+
+def test_more_centres_than_a_layout_takes_are_refused(spark):
+    import pytest
+
+    from codeloom.operators import graph as G
+
+    ids = spark.range(G.MOST_CENTRES + 1).selectExpr("CAST(id AS STRING) AS id")
+    edges = spark.createDataFrame([("0", "1", "CALLS")], "src string, dst string, edge_type string")
+    with pytest.raises(ValueError):
+        G.layers(ids, edges, ids.selectExpr("id AS centre"), 1)
