@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Entries of one generation of a worker's cache of encoded chunks; it holds two.
@@ -18,9 +22,11 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, by spark.checkpoint.dir; where that is unset (tests), a folder of our own."""
+    """The folder that driver and executors share, by spark.checkpoint.dir. Where that is unset, a folder of our own, which only a local master can share."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         key = spark.sparkContext.applicationId
         top = _own_dirs.setdefault(key, tempfile.mkdtemp(prefix="codeloom-"))
     return top.rstrip("/")
@@ -72,22 +78,13 @@ def slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
 
 
 class ChunkCache:
-    """Chunk -> encoded value, filled by fill(list of new chunks). What was used lately stays: a full generation makes way for a new one, which takes over what it meets again.
-
-    Worker processes outlive their tasks: a cache that comes into use empties the one that another operator left behind.
-    """
-
-    latest: ChunkCache | None = None
+    """Chunk -> encoded value, filled by fill(list of new chunks). What was used lately stays: a full generation makes way for a new one, which takes over what it meets again."""
 
     def __init__(self, fill: Callable[[list[str]], Iterable], entries: int = CACHE_ENTRIES, longest: int = 256):
         self.fill, self.entries, self.longest, self.known, self.old = fill, entries, longest, {}, {}
 
     def values(self, docs: list[list[str]]) -> list[Iterator]:
         """The values of the chunks of each of docs."""
-        if ChunkCache.latest is not self:
-            if ChunkCache.latest is not None:
-                ChunkCache.latest.known, ChunkCache.latest.old = {}, {}
-            ChunkCache.latest = self
         if len(self.known) > self.entries:
             self.old, self.known = self.known, {}
         known = self.known
@@ -105,3 +102,26 @@ class ChunkCache:
             else:
                 known.update(found)
         return [map(known.__getitem__, d) for d in docs]
+
+
+# --- what worker processes keep ---------------------------------------------------------------------
+
+_held: tuple[Any, Any] = (None, None)
+
+
+def worker_state(key: tuple, make: Callable[[], Any] = lambda: None) -> Any:
+    """What this process keeps for key (an operator and its parameters) from task to task, made on first use.
+
+    Worker processes outlive tasks and stages. A process keeps the state of one operator, the last that asked: a model and
+    its caches end when another operator begins, and their memory goes back to the machine.
+    """
+    global _held
+    if _held[0] != key:
+        _held = (None, None)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+        _held = (key, make())
+    return _held[1]

@@ -1,9 +1,12 @@
 """Near-duplicate vectors by cross-polytope hashing.
 
 Three rounds of random signs and fast Hadamard transforms rotate a vector; the axis that it then lies nearest to, with
-its sign, is one hash. A table joins HASHES hashes, and a vector is put into the buckets of its PROBES nearest axes of
+its sign, is one hash. A table joins some hashes, and a vector is put into the buckets of its PROBES nearest axes of
 each hash. Vectors that share a bucket are compared exactly. A bucket larger than BLOCK is dealt into blocks, and each pair
 of blocks is a group of its own, so that no task meets a hot bucket whole; groups give counts and spanning edges, not pairs.
+
+What is shuffled is a vector as it came and its hashes, a byte or two each, once for each of its buckets: 6 where a
+label has up to half a million vectors. Beyond, tables of more hashes keep buckets small, and more tables keep the recall.
 """
 
 from __future__ import annotations
@@ -12,16 +15,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize
+from codeloom.llm.common import materialize, worker_state
 from codeloom.llm.components import components
 
 THRESHOLD = 0.93
-TABLES, HASHES, PROBES = 6, 2, 2
+PROBES = 3
+#: (vectors of one label, tables, hashes of a table): the first line that has room for the largest label is taken. Recall at
+#: cosine 0.93 in 64 dimensions is above 0.999 in each.
+SIZES = [(500_000, 2, 1), (50_000_000, 3, 2), (1 << 62, 5, 3)]
 BLOCK = 1500
 SEED = 7
+#: Cosines so near to the threshold are computed anew, without rounding on the way to unit length.
+NEAR = 1e-9
 
 
 def hadamard(v: np.ndarray) -> np.ndarray:
@@ -35,16 +44,16 @@ def hadamard(v: np.ndarray) -> np.ndarray:
     return v
 
 
-def codes(unit: np.ndarray) -> np.ndarray:
-    """(rows, TABLES, HASHES, PROBES) numbers of the nearest axes, twice the axis plus one if negative, nearest first."""
+def codes(unit: np.ndarray, tables: int, hashes: int) -> np.ndarray:
+    """(rows, tables, hashes, PROBES) numbers of the nearest axes, twice the axis plus one if negative, nearest first."""
     n, dim = unit.shape
-    width = max(2, 1 << (dim - 1).bit_length())
+    width = max(4, 1 << (dim - 1).bit_length())  # so that there are PROBES axes
     wide = np.zeros((n, width))
     wide[:, :dim] = unit
-    signs = np.random.default_rng(SEED).choice([-1.0, 1.0], size=(TABLES, HASHES, 3, width))
-    out = np.empty((n, TABLES, HASHES, PROBES), np.int32)
-    for t in range(TABLES):
-        for k in range(HASHES):
+    signs = np.random.default_rng(SEED).choice([-1.0, 1.0], size=(tables, hashes, 3, width))
+    out = np.empty((n, tables, hashes, PROBES), np.int32)
+    for t in range(tables):
+        for k in range(hashes):
             v = wide
             for s in signs[t, k]:
                 v = hadamard(v * s) / np.sqrt(width)
@@ -53,6 +62,16 @@ def codes(unit: np.ndarray) -> np.ndarray:
     return out
 
 
+def units(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision; scaled by powers of two before, so that no square overflows and nothing is rounded."""
+    v = scaled(v)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def scaled(v: np.ndarray) -> np.ndarray:
+    return np.ldexp(v.astype(np.float64), -np.frexp(np.abs(v).max(axis=1, keepdims=True).astype(np.float64))[1])
+
+
 def owned(x: np.ndarray, y: np.ndarray, table: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     """Whether (table, bucket) is the first that rows of codes x and y share, so that each pair counts once."""
     same = x[:, :, :, :, None] == y[:, :, :, None, :]
@@ -76,134 +95,146 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _group(ids, weights, unit, code, table, bucket, left, right, threshold):
-    """Links of one group: (row, weight of the other) sums and spanning edges. left, right: rows to compare; equal for a whole bucket."""
-    whole = left is right
+def _linked(v: np.ndarray, unit: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a row of left and one of right whose cosine reaches threshold."""
+    cosine = unit[left] @ unit[right].T
+    x, y = np.nonzero(cosine >= threshold - NEAR)
+    close = np.flatnonzero(cosine[x, y] <= threshold + NEAR)
+    x, y, keep = left[x], right[y], np.ones(len(x), bool)
+    if len(close):
+        a, b = scaled(v[x[close]]), scaled(v[y[close]])
+        keep[close] = (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1)) >= threshold
+    return x[keep], y[keep]
+
+
+def _group(weights, v, code, table, bucket, left, right, threshold):
+    """Sums of the weights that each row of a group links with, and spanning edges. left, right: rows to compare; equal for a whole bucket."""
+    unit, whole = units(v), left is right
     a, b = [], []
     for i in range(0, len(left), 512):
-        x, y = np.nonzero(unit[left[i : i + 512]] @ unit[right].T >= threshold)
-        x = left[i : i + 512][x]
-        y = right[y]
+        x, y = _linked(v, unit, left[i : i + 512], right, threshold)
         keep = x < y if whole else slice(None)
         a.append(x[keep])
         b.append(y[keep])
     a, b = np.concatenate(a), np.concatenate(b)
     if not len(a):
         return None
-    links = np.zeros(len(ids), np.int64)
+    links = np.zeros(len(v), np.int64)
     for i in range(0, len(a), 100_000):
         p, q = a[i : i + 100_000], b[i : i + 100_000]
         mine = owned(code[p], code[q], table, bucket)
         np.add.at(links, p[mine], weights[q[mine]])
         np.add.at(links, q[mine], weights[p[mine]])
-    return links, _roots(len(ids), a, b)
+    return links, _roots(len(v), a, b)
 
 
 def near_vectors(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links vectors of equal label whose cosine (double precision) reaches threshold.
 
-    Returns id_col, n_links (other vectors linked directly), component_id (the smallest id reachable by links, itself
+    Returns id_col, n_links (other rows linked directly), component_id (the smallest id reachable by links, itself
     included) and kept (id_col = component_id), a row for each input row. Vectors that are null, empty, all zero or hold a
     null or a number that is not finite link with nothing, nor do those without label; vectors of different lengths do not
-    link. Equal vectors of a label are compared once, as a class, and count in each other's links. Ids are integers, taken to be unique.
-    Other columns are not read; an empty table gives an empty table. Buckets miss a pair of cosine 0.93 in 64 dimensions
-    about once in 8,000; none below the threshold is ever linked.
+    link. Every row is a vector of its own, also where rows repeat an id or have none; a null id is no smallest id (a row
+    that reaches null ids alone has component_id null and is kept). Equal vectors of a label are compared once, as a class,
+    and count in each other's links. Other columns are not read; an empty table gives an empty table. Buckets miss a pair of
+    cosine 0.93 in 64 dimensions about once in 2,000 (less often above); none below the threshold is ever linked.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    kind = df.schema[vector_col].dataType.elementType.simpleString()
+    number = np.dtype(np.float32 if kind == "float" else np.float64)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<float>" if kind == "float" else "array<double>").alias("v"))
     usable = F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    rows = rows.withColumns({"k1": F.when(F.col("usable"), F.xxhash64("label", "v")), "k2": F.when(F.col("usable"), F.xxhash64("v", F.lit(SEED), "label"))})
-    rows = materialize(rows, "vectors")
-    classes = rows.where("usable").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
-    reps = rows.where("usable").join(classes.select("k1", "k2", "id", "weight"), ["k1", "k2", "id"]).dropDuplicates(["k1", "k2"]).select("id", "label", "v", "weight")
+    rows = rows.select("id", "label", "v", "usable", *[F.when(F.col("usable"), F.xxhash64(F.lit(i), "label", "v")).alias(f"k{i}") for i in (1, 2)])
+    grouped = rows.where("usable").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("v").alias("v"))
+    classes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers of written rows: they stay
+    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    tables, hashes = next((t, h) for room, t, h in SIZES if most <= room)
 
     def hashed(batches: Iterator[pa.RecordBatch]):
+        worker_state(("embedding_dedup",))
         for b in batches:
-            ids, labels, weights = b.column(0), b.column(1), b.column(3)
-            sizes = np.diff(b.column(2).offsets.to_numpy())
-            flat = b.column(2).flatten().to_numpy()
+            sizes = np.diff(b.column(3).offsets.to_numpy())
+            flat = b.column(3).flatten().to_numpy(zero_copy_only=False)
+            starts = np.cumsum(sizes) - sizes
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                starts = np.cumsum(sizes) - sizes
-                v = flat[starts[at][:, None] + np.arange(size)]
-                v = v / np.abs(v).max(axis=1, keepdims=True)  # so that no square overflows
-                unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-                code = codes(unit)
+                v = flat[starts[at][:, None] + np.arange(size)].astype(number)
+                code = codes(units(v), tables, hashes)
+                small = code.astype("u1" if code.max() < 256 else "<u2" if code.max() < 1 << 16 else "<u4")
                 take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([ids.take(take), labels.take(take).cast(pa.string()), weights.take(take), pa.array([x.tobytes() for x in unit], pa.binary()), pa.array([x.tobytes() for x in code.astype("<i4")], pa.binary()), pa.array(code.reshape(len(code), -1).tolist(), pa.list_(pa.int32()))], names=["id", "label", "weight", "unit", "code", "flat"])
-
-    reps = materialize(reps.withColumn("label", F.col("label").cast("string")).select("id", "label", "v", "weight").mapInArrow(hashed, "id bigint, label string, weight bigint, unit binary, code binary, flat array<int>"), "hashed")
-    per = HASHES * PROBES
-    at = [(t, i, j) for t in range(TABLES) for i in range(PROBES) for j in range(PROBES)]
-    places = F.array(*[F.struct(F.lit(t).alias("t"), F.col("flat")[t * per + i].alias("x"), F.col("flat")[t * per + PROBES + j].alias("y")) for t, i, j in at])
-    keys = reps.withColumn("p", F.explode(places)).select("id", "label", "weight", "unit", "code", F.length("unit").alias("dim"), "p.t", "p.x", "p.y")
-    bucket = ["label", "dim", "t", "x", "y"]
-    hot = keys.groupBy(*bucket).count().where(F.col("count") > BLOCK).select(*bucket, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = keys.join(hot, bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("id", "weight", "unit", "code", *bucket, "own", F.xxhash64(*bucket, F.least("own", "other"), F.greatest("own", "other")).alias("group"), (F.col("own") != F.col("other")).alias("two"))
-    dealt = dealt.withColumn("side", F.col("own")).select("group", "t", "x", "y", "label", "dim", "two", "side", "id", "weight", "unit", "code")
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in (0, 1, 2)), pa.array([x.tobytes() for x in v], pa.binary()), pa.array([x.tobytes() for x in small], pa.binary()), pa.array(_buckets(code).tolist(), pa.list_(pa.int64()))], names=["node", "label", "weight", "v", "code", "buckets"])
+
+    every = materialize(classes.select("node", "label", "weight", "v").mapInArrow(hashed, "node bigint, label string, weight bigint, v binary, code binary, buckets array<bigint>"), "hashed")
+    # A place is a bucket of a label and length; its number mixes them into 64 bits, and rows that it brings together by chance are told apart by their group's label, length and codes.
+    keys = every.select("node", "label", "weight", "v", "code", F.explode("buckets").alias("bucket")).withColumn("place", F.xxhash64("label", F.length("v"), "bucket"))
+    if most > BLOCK:
+        hot = materialize(keys.groupBy("place").count().where(F.col("count") > BLOCK).select("place", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot")
+        if hot.limit(1).count():
+            dealt = keys.join(hot, "place", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            keys = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            keys = keys.withColumn("group", F.when(F.col("blocks") == 1, F.col("place")).otherwise(F.xxhash64("place", F.least("own", "other"), F.greatest("own", "other"))))
+            keys = keys.withColumn("side", F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")))
+    if "group" not in keys.columns:
+        keys = keys.withColumns({"group": F.col("place"), "side": F.lit(-1)})
 
     def linked(batches: Iterator[pa.RecordBatch]):
-        for g in _groups(batches):
-            ids, weights = g["id"], g["weight"]
-            unit = np.frombuffer(b"".join(g["unit"]), np.float64).reshape(len(ids), -1)
-            code = np.frombuffer(b"".join(g["code"]), "<i4").reshape(len(ids), TABLES, HASHES, PROBES)
-            everyone = np.arange(len(ids))
-            left, right = (everyone, everyone) if not g["two"] else (everyone[g["side"] == g["side"].min()], everyone[g["side"] != g["side"].min()])
-            if not len(left) or not len(right):
-                continue
-            found = _group(ids, weights, unit, code, g["t"], np.array([g["x"], g["y"]]), left, right, threshold)
+        worker_state(("embedding_dedup",))
+        for t in _groups(batches):
+            node, weights, side = (t.column(c).to_numpy() for c in ("node", "weight", "side"))
+            raw, n = t.column("code").to_pylist(), t.num_rows
+            v = np.frombuffer(b"".join(t.column("v").to_pylist()), number).reshape(n, -1)
+            size = len(raw[0]) // (tables * hashes * PROBES)
+            code = np.frombuffer(b"".join(raw), f"<u{size}").astype(np.int32).reshape(n, tables, hashes, PROBES)
+            everyone, bucket = np.arange(n), t.column("bucket")[0].as_py()
+            table, own = bucket_of(bucket, hashes)
+            left, right = (everyone, everyone) if side[0] < 0 else (everyone[side == side.min()], everyone[side != side.min()])
+            found = _group(weights, v, code, table, own, left, right, threshold) if len(left) and len(right) else None
             if found:
                 links, root = found
                 out = np.flatnonzero((links > 0) | (root != everyone))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(links[out]), pa.array(ids[root[out]])], names=["id", "links", "root"])
-
-    grouped = dealt.repartition("group").sortWithinPartitions("group", "label", "dim", "t", "x", "y", "id", "side")
-    found = materialize(grouped.mapInArrow(linked, "id bigint, links bigint, root bigint"), "links")
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    parts = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    per_class = classes.join(links, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+                yield pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(links[out]), pa.array(node[root[out]])], names=["node", "links", "root"])
+
+    grouped = keys.select("group", "label", "bucket", "side", "node", "weight", "v", "code").repartition("group").sortWithinPartitions("group", "label", "bucket", F.length("v"), "node")
+    found = materialize(grouped.mapInArrow(linked, "node bigint, links bigint, root bigint"), "links")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    parts = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    per_class = classes.select("k1", "k2", "id", "weight", "node").join(links, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = per_class.groupBy("component").agg(F.min("id").alias("component_id"))
+    per_class = materialize(per_class.join(least, "component").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"), "found")
     out = rows.select("id", "k1", "k2").join(per_class, ["k1", "k2"], "left")
-    out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Groups of at least two rows, from batches sorted by group. A hash of the group is checked by what it stands for."""
-    rest: pa.Table | None = None
+def _buckets(code: np.ndarray) -> np.ndarray:
+    """(rows, buckets) numbers of the buckets of codes: the table, then a code of each hash, 20 bits each."""
+    n, tables, hashes, probes = code.shape
+    at = np.arange(tables, dtype=np.int64)[None, :, None]
+    for k in range(hashes):
+        at = (at[:, :, :, None] << 20 | code[:, :, k].astype(np.int64)[:, :, None, :]).reshape(n, tables, -1)
+    return at.reshape(n, -1)
 
-    def cut(t: pa.Table, last: bool):
-        n = t.num_rows
-        cols = {k: t.column(k).to_numpy() for k in ("group", "t", "x", "y", "dim", "two", "side", "id", "weight")}
-        label = np.array(t.column("label").to_pylist(), object)
-        new = np.ones(n, bool)
-        new[1:] = False
-        for k in ("group", "t", "x", "y", "dim"):
-            new[1:] |= cols[k][1:] != cols[k][:-1]
-        new[1:] |= label[1:] != label[:-1]
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], n)
-        if not last:
-            starts, ends = starts[:-1], ends[:-1]
-        unit, code = t.column("unit").to_pylist(), t.column("code").to_pylist()
-        for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            yield {"t": cols["t"][s], "x": cols["x"][s], "y": cols["y"][s], "two": bool(cols["two"][s]), "side": cols["side"][s:e], "id": cols["id"][s:e], "weight": cols["weight"][s:e], "unit": unit[s:e], "code": code[s:e]}
 
+def bucket_of(number: int, hashes: int) -> tuple[int, np.ndarray]:
+    """The table and the codes of a bucket's number."""
+    return number >> 20 * hashes, np.array([number >> 20 * (hashes - 1 - k) & 0xFFFFF for k in range(hashes)])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Groups of at least two rows, from batches sorted by group, label, bucket and length of vector."""
+    rest: pa.Table | None = None
     for b in batches:
         t = pa.Table.from_batches([b])
         t = pa.concat_tables([rest, t]) if rest is not None else t
         if not t.num_rows:
             continue
-        rest = None
-        yield from cut(t, False)
-        group = t.column("group").to_numpy()
-        label = t.column("label")
-        s = t.num_rows - 1
-        key = lambda i: tuple(t.column(k)[i].as_py() for k in ("group", "t", "x", "y", "dim", "label"))
-        last = key(s)
-        while s > 0 and group[s - 1] == group[-1] and key(s - 1) == last:
-            s -= 1
-        rest = t.slice(s)
-    if rest is not None and rest.num_rows:
-        yield from cut(rest.combine_chunks(), True)
+        label = t.column("label").combine_chunks().dictionary_encode()
+        columns = [t.column("group").to_numpy(), t.column("bucket").to_numpy(), np.asarray((label.combine_chunks() if isinstance(label, pa.ChunkedArray) else label).indices), pc.binary_length(t.column("v")).to_numpy()]
+        cut = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        starts = [0, *cut.tolist()]
+        for x, y in zip(starts, cut.tolist(), strict=False):
+            if y - x > 1:
+                yield t.slice(x, y - x)
+        rest = t.slice(starts[-1])
+    if rest is not None and rest.num_rows > 1:
+        yield rest

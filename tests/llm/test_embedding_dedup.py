@@ -49,7 +49,41 @@ def test_op7(spark):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in Q.op7_embedding_dedup(spark, "/root/testdata/sf0.001").collect()} == brute(rows)
 
 
-def test_recall_at_the_threshold():
+def listed(rows, threshold=0.93):
+    """brute() for rows that repeat ids or have none: rows are told apart by number, and null is no smallest id."""
+    by = brute([(k, v, x) for k, (_, v, x) in enumerate(rows)], threshold)
+    members = {}
+    for k, (_, root, _) in by.items():
+        members.setdefault(root, []).append(rows[k][0])
+    least = {root: min((i for i in ids if i is not None), default=None) for root, ids in members.items()}
+    return sorted([(rows[k][0], n, least[root], rows[k][0] == least[root]) for k, (n, root, _) in by.items()], key=str)
+
+
+@pytest.mark.parametrize("block", [1500, 3])
+def test_repeated_and_missing_ids(spark, monkeypatch, block):
+    monkeypatch.setattr(E, "BLOCK", block)
+    a, b, c, d = [1.0, 0, 0, 0], [0.99, 0.1, 0, 0], [0.98, 0.15, 0, 0], [0, 0, 1.0, 0]
+    a, b, c, d = (list(map(float, x)) for x in (a, b, c, d))
+    rows = [(1, a, 1), (1, b, 1), (2, c, 1), (None, [0.97, 0.2, 0.0, 0.0], 1), (None, d, 1), (None, d, 1), (7, d, 2), (7, d, 2), (7, None, 2), (None, None, None), (3, [0.0, 0.0, 0.0, 1.0], 2)]
+    schema = "vec_id bigint, embedding array<double>, label int, node string, k1 string, bucket string, group string"
+    out = E.near_vectors(spark.createDataFrame([(*r, "x", "x", "x", "x") for r in rows], schema)).collect()
+    assert sorted([tuple(r) for r in out], key=str) == listed(rows)
+
+
+def test_cosine_exactly_at_the_threshold(spark):
+    rows = [(1, [1.0] + [0.0] * 7, 1), (2, [93.0, 36.0, 7.0, 2.0, 1.0, 1.0, 0.0, 0.0], 1), (3, [92.0, 36.0, 7.0, 2.0, 1.0, 1.0, 14.0, 0.0], 1)]
+    assert found(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA))[1][0] == 1 and brute(rows)[1][0] == 1
+
+
+@pytest.mark.parametrize("tables, hashes", [x[1:] for x in E.SIZES])
+def test_every_size_of_hashes(spark, monkeypatch, tables, hashes):
+    monkeypatch.setattr(E, "SIZES", [(1 << 62, tables, hashes)])
+    rows = groups(n=150, seed=5)
+    assert found(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)) == brute(rows)
+
+
+@pytest.mark.parametrize("tables, hashes", [x[1:] for x in E.SIZES])
+def test_recall_at_the_threshold(tables, hashes):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -57,6 +91,6 @@ def test_recall_at_the_threshold():
     z -= (z * x).sum(1)[:, None] * x
     z /= np.linalg.norm(z, axis=1)[:, None]
     y = 0.93 * x + np.sqrt(1 - 0.93**2) * z
-    a, b = E.codes(x), E.codes(y)
+    a, b = E.codes(x, tables, hashes), E.codes(y, tables, hashes)
     shared = (a[:, :, :, :, None] == b[:, :, :, None, :]).any((3, 4)).all(2).any(1)
     assert shared.mean() > 0.998
