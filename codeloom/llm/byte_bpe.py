@@ -10,14 +10,13 @@ import base64
 import hashlib
 import struct
 from array import array
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ChunkCache, chunks, slices
+from codeloom.llm.common import ChunkCache, chunks, slices, worker_state
 
 
 def byte_characters() -> list[str]:
@@ -100,10 +99,9 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
-    """One for each worker process and rank file."""
-    return ByteBpe(path, pattern)
+    """The one of this worker process."""
+    return worker_state(("byte_bpe", path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids_sha256", "decoded_sha256")) -> DataFrame:

@@ -7,6 +7,7 @@ n-grams (with word boundaries), the longest first: those of the first length of
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ChunkCache, slices
+from codeloom.llm.common import ChunkCache, slices, worker_state
 
 #: The model is fitted on the labelled documents of each language that are lowest by a hash, about so many a language.
 SAMPLE_DOCS = 1500
@@ -153,8 +154,10 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     keep = [i for i in range(len(base.columns)) if keep_columns or i != 1]
     schema = base.select([base.columns[i] for i in keep]).schema.add("lang_pred", "string").add("score", "double")
 
+    key = ("language_id", uuid.uuid4().hex)  # each model has a state of its own
+
     def run(batches):
-        of = shared.value.predictor()
+        of = worker_state(key, lambda: shared.value.predictor())
         for b in batches:
             for start, part in slices(b.column(text_at).to_pylist()):
                 found = of(part)

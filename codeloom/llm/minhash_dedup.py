@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -23,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ChunkCache, materialize, slices
+from codeloom.llm.common import ChunkCache, materialize, slices, worker_state
 from codeloom.llm.components import components
 from codeloom.llm.decontaminate import words
 
@@ -89,10 +88,9 @@ class Shingler:
         return d[at], h[at], np.diff(np.append(at, len(h)))
 
 
-@lru_cache(maxsize=1)
 def worker_shingler() -> Shingler:
-    """One for each worker process."""
-    return Shingler()
+    """The one of this worker process."""
+    return worker_state(("minhash_dedup",), Shingler)
 
 
 def _uniform(bits: np.ndarray, shift: int) -> np.ndarray:

@@ -9,14 +9,13 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ChunkCache, slices
+from codeloom.llm.common import ChunkCache, slices, worker_state
 
 NORMAL, USER_DEFINED, UNUSED, BYTE = 1, 4, 5, 6
 NEVER = np.int64(1) << 40
@@ -193,10 +192,9 @@ class RaggedBpe:
         return list(map(sum, self.cache.values([self.cut.findall(t) for t in marked])))
 
 
-@lru_cache(maxsize=2)
 def ragged_bpe(path: str) -> RaggedBpe:
-    """One for each worker process and model."""
-    return RaggedBpe(path)
+    """The one of this worker process."""
+    return worker_state(("token_counts", path), lambda: RaggedBpe(path))
 
 
 def count_tokens(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:

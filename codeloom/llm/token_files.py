@@ -12,7 +12,6 @@ import hashlib
 import os
 import zlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ChunkCache, chunks, slices
+from codeloom.llm.common import ChunkCache, chunks, slices, worker_state
 
 #: The sample that the dictionary is trained on: about so many documents, the lowest by a hash, of at most so many bytes of text.
 SAMPLE_DOCS, SAMPLE_BYTES = 1000, 8192
@@ -64,10 +63,9 @@ class Encoder:
         return [b"".join(d) for d in self.cache.values([chunks(t) for t in texts])]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One for each worker process and tokenizer file."""
-    return Encoder(path)
+    """The one of this worker process."""
+    return worker_state(("token_files", path), lambda: Encoder(path))
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
