@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize
+from codeloom.llm.common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,5 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(offered, "node", "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("offer", "component")).alias("component"))
         of = lower.select(F.col("node").alias("component"), F.col("component").alias("next"))
         jumped = lower.join(of, "component", "left").select("node", "was", F.least("component", F.coalesce("next", "component")).alias("component"))
-        labels = materialize(jumped.select("node", "component", (F.col("was") != F.col("component")).alias("changed")), "labels")
+        last, labels = labels, materialize(jumped.select("node", "component", (F.col("was") != F.col("component")).alias("changed")), "labels")
+        discard(last)
+    discard(both)
     return labels.select("node", "component")

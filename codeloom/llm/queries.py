@@ -14,7 +14,7 @@ from codeloom.llm.decontaminate import contamination
 from codeloom.llm.embedding_dedup import near_vectors
 from codeloom.llm.language_id import identify
 from codeloom.llm.minhash_dedup import near_duplicates
-from codeloom.llm.suffix_dedup import remove_repeats
+from codeloom.llm.suffix_dedup import PASSAGE_WORDS, remove_repeats
 from codeloom.llm.token_counts import count_tokens
 from codeloom.llm.token_files import read_token_files, write_token_files
 from codeloom.llm.url_filter import Rule, filter_urls
@@ -71,7 +71,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return remove_repeats(table(spark, sf_dir, "documents"), passage_words=PASSAGE_WORDS)
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,21 @@ def brute(docs):
     return sorted(out)
 
 
+def passages_of(docs, words=50):
+    """Runs of more than so many words that strings of SHORT bytes cover which occur twice, by row."""
+    data = [(t or "").encode() for _, t in docs]
+    count = Counter(x[i : i + S.SHORT] for x in data for i in range(len(x) - S.SHORT + 1))
+    out = []
+    for x in data:
+        gone = np.zeros(len(x), bool)
+        for i in range(len(x) - S.SHORT + 1):
+            if count[x[i : i + S.SHORT]] > 1:
+                gone[i : i + S.SHORT] = True
+        cuts = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(int), [0]))))
+        out.append(sum(len(x[a:b].split()) > words for a, b in zip(cuts[::2].tolist(), cuts[1::2].tolist(), strict=True)))
+    return out
+
+
 def rows(df):
     return sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in df.collect())
 
@@ -50,6 +65,35 @@ def test_op9(spark, texts):
     assert found == brute(texts) and sum(int(r.split(", ")[2]) for r in found) > 0
 
 
+def crowded(n=60, seed=8):
+    """One passage in many surroundings, and others beside it."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9)))
+    text = lambda k: " ".join(word() for _ in range(k))
+    hot, cold = text(110), [text(60) for _ in range(4)]
+    return [(None if i % 5 == 0 else i % 7, " ".join([text(rng.randint(0, 30)), hot if i % 3 else rng.choice(cold), text(rng.randint(0, 30)), *([rng.choice(cold)] if i % 4 == 0 else [])])) for i in range(n)] + [(3, "x" * 500), (3, "y" * 100), (None, hot), (None, hot)]
+
+
+@pytest.mark.parametrize("settings", [{}, {"CROWD": 1, "FLUSH": 2000}, {"HOT_BYTES": 1, "HOT_TEXTS": 1, "TASKS": 2}, {"HOT_BYTES": 1, "HOT_TEXTS": 10, "TEXTS": 40, "BUCKET_BYTES": 3000, "MERGE_TEXTS": 30, "BROADCAST_BYTES": 1}])
+def test_crowded_cores_and_passages(spark, monkeypatch, settings):
+    for k, v in settings.items():
+        monkeypatch.setattr(S, k, v)
+    docs = crowded() + passages(30)
+    df = spark.createDataFrame([(*d, "x", "x", "x") for d in docs], "doc_id bigint, text string, k1 string, n_bytes string, records string")
+    found = S.remove_repeats(df, passage_words=50).collect()
+    assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in found) == brute(docs)
+    assert sorted((r.n_bytes, r.n_passages) for r in found) == sorted((len(t.encode()), p) for (_, t), p in zip(docs, passages_of(docs), strict=True))
+    kept = S.remove_repeats(df, keep_columns=True, length=200)
+    assert kept.columns == df.columns and kept.count() == len(docs)
+
+
+def test_a_lower_length(frame, monkeypatch):
+    docs = passages(60, seed=9)
+    found = rows(S.remove_repeats(frame(docs), length=200))
+    monkeypatch.setattr(S, "LENGTH", 200)
+    assert found == brute(docs)
+
+
 def test_rest_of_rows(frame):
     passage = "p" * 150 + "é" * 150
     docs = [(1, "one " + passage + " two"), (2, passage + " three"), (3, None), (4, "é" + "z" * 10)]
