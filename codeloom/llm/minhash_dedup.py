@@ -6,8 +6,10 @@ ranges, to the tasks that count a range, and gets back their frequencies in the
 draw the same one with the probability of their weighted Jaccard similarity. ROWS samples make a band; documents that share
 a band are candidates, and candidates are verified by the exact weighted Jaccard similarity of their whole texts.
 
-Equal texts are one class from the start. The classes of a bucket are compared where they meet, and give only the links that
-join their components; a pair that shares several bands is compared in the first. Large buckets are dealt into blocks.
+Equal texts are one class from the start, known by a number. What is shuffled to find candidates are these numbers alone. In
+each bucket every class is compared with the bucket's first one, in blocks, once whatever the number of buckets that the two
+share; only classes that this does not link are compared with the others of their buckets. So a bucket of n near copies costs
+n comparisons and n texts, not their square. Texts go to where they are compared after that is settled.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ChunkCache, materialize, slices, worker_state
+from codeloom.llm.common import ChunkCache, discard, materialize, slices, worker_state
 from codeloom.llm.components import components
 from codeloom.llm.decontaminate import words
 
@@ -260,77 +262,119 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return low / high if high else 0.0
 
 
-def _links(d: np.ndarray, h: np.ndarray, w: np.ndarray, bands: np.ndarray, band: int, side: np.ndarray | None, threshold: float) -> list[tuple[int, int]]:
-    """Links that join the documents 0, 1, ... of a bucket (or, if side is given, of its two blocks) into their components.
+def _sets(t: pa.Table, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles (numbered from 0) and weights of the rows of t (text, df), and where each row's begin and the last ends."""
+    d, h, m = worker_shingler()(t.column("text").to_pylist())
+    w = m * idf(np.frombuffer(b"".join(map(zlib.decompress, t.column("df").to_pylist())), np.uint32), n_docs).astype(np.float64)
+    if len(np.unique(d)) < t.num_rows:
+        raise ValueError("a document with bands has no shingles")
+    return np.unique(h, return_inverse=True)[1], w, np.searchsorted(d, np.arange(t.num_rows + 1))
 
-    A pair that shares an earlier band is that bucket's to compare. Each document is compared at once with all before it that
-    are not in its component yet.
+
+def _similar(shingle: np.ndarray, w: np.ndarray, starts: np.ndarray, own: np.ndarray, i: int, before: int, threshold: float) -> np.ndarray:
+    """Whether the first `before` rows reach the threshold with row i. own: room for all shingles, all 0."""
+    a, b = starts[i], starts[i + 1]
+    own[shingle[a:b]] = w[a:b]
+    end = starts[before]
+    common = np.add.reduceat(np.minimum(w[:end], own[shingle[:end]]), starts[:before])
+    own[shingle[a:b]] = 0
+    total = np.add.reduceat(w[:end], starts[:before])
+    return common >= threshold * (total + w[a:b].sum() - common)
+
+
+def _links(sets: tuple, bands: np.ndarray, band: int, asks: np.ndarray, answers: np.ndarray, root: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links that join rows 0, 1, ... of a bucket into components, of pairs of a row that asks and one that answers.
+
+    root: a smallest member of what is known to be linked. A pair that shares an earlier band is that bucket's to compare.
     """
-    n = len(bands)
-    shingle = np.unique(h, return_inverse=True)[1]
-    starts = np.searchsorted(d, np.arange(n + 1))
-    total = np.add.reduceat(w, starts[:-1]) if len(w) else np.zeros(n)
-    own, root, out = np.zeros(int(shingle.max()) + 1 if len(h) else 0), np.arange(n), []
-    for i in range(1, n):
-        others = (root[:i] != root[i]) & ~(bands[:i, :band] == bands[i, :band]).any(1)
-        if side is not None:
-            others &= side[:i] != side[i]
-        if not others.any():
-            continue
-        a, b = starts[i], starts[i + 1]
-        own[shingle[a:b]] = w[a:b]
-        common = np.add.reduceat(np.minimum(w[:a], own[shingle[:a]]), starts[:i])
-        own[shingle[a:b]] = 0
-        for j in np.flatnonzero(others & (common >= threshold * (total[:i] + total[i] - common))).tolist():
-            if root[j] != root[i]:
-                out.append((j, i))
-                root[root == max(root[i], root[j])] = min(root[i], root[j])
+    shingle, w, starts = sets
+    own, out = np.zeros(int(shingle.max()) + 1), []
+    for i in range(1, len(bands)):
+        others = (root[:i] != root[i]) & ~(bands[:i, :band] == bands[i, :band]).any(1) & (asks[i] & answers[:i] | answers[i] & asks[:i])
+        if others.any():
+            for j in np.flatnonzero(others & _similar(shingle, w, starts, own, i, i, threshold)).tolist():
+                if root[j] != root[i]:
+                    out.append((j, i))
+                    root[root == max(root[i], root[j])] = min(root[i], root[j])
     return out
 
 
-def _texts(docs: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts (of keyed docs) and document frequencies (of signatures) of ids (id, k1, k2), one row for each."""
-    key = ["id", "k1", "k2"]
-    few = ids.count() <= BROADCAST_IDS
-    one = lambda t, c: t.join(F.broadcast(ids) if few else ids, key, "left_semi").groupBy(key).agg(F.max(c).alias(c))
-    return materialize(one(docs, "text").join(one(rows, "df"), key), "texts")
+def _few(ids: DataFrame) -> DataFrame:
+    """A table of ids that is broadcast if it has few rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _compare(groups: DataFrame, n_docs: int, threshold: float) -> DataFrame:
-    """Links (a, b) within each group of rows (group, band, key, two, own, rep, bands, text, df)."""
+def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text, df and bands of the classes named by nodes (node), one row for each."""
+    wanted = materialize(classes.join(nodes, "node").select("k1", "k2", "node", "df", "bands"), "wanted")
+    text = docs.join(_few(wanted.select("k1", "k2", "node")), ["k1", "k2"]).groupBy("node").agg(F.max("text").alias("text"))
+    return materialize(text.join(wanted.select("node", "df", "bands"), "node"), "texts")
 
-    def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        rest = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            t = pa.concat_tables([rest, t]) if rest is not None else t
-            if not t.num_rows:
-                continue
-            g = np.stack([t.column(c).to_numpy() for c in ("group", "band", "key")])
-            cut = np.flatnonzero((g[:, 1:] != g[:, :-1]).any(0)) + 1
-            for x, y in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True) if len(cut) else ():
-                yield t.slice(x, y - x)
-            rest = t.slice(int(cut[-1])) if len(cut) else t
-        if rest is not None:
-            yield rest
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Groups of rows of equal keys (numbers), from sorted batches."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        if not t.num_rows:
+            continue
+        g = np.stack([t.column(c).to_numpy() for c in keys])
+        cut = np.flatnonzero((g[:, 1:] != g[:, :-1]).any(0)) + 1
+        for x, y in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True) if len(cut) else ():
+            yield t.slice(x, y - x)
+        rest = t.slice(int(cut[-1])) if len(cut) else t
+    if rest is not None:
+        yield rest
+
+
+def _star_links(stars: DataFrame, texts: DataFrame, n_docs: int, threshold: float) -> DataFrame:
+    """Of the pairs (first, node) those that reach the threshold; a first with many partners meets them in blocks."""
+    blocks = stars.groupBy("first").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    partners = stars.join(blocks, "first").select("first", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node")
+    firsts = blocks.select("first", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("first").alias("node"))
+    met = partners.union(firsts).join(texts.select("node", "text", "df"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        shingler = worker_shingler()
-        for t in whole_groups(batches):
+        for t in _whole_groups(batches, "first", "block"):
+            node, first = t.column("node").to_numpy(), t.column("first")[0].as_py()
+            shingle, w, starts = _sets(t, n_docs)
+            own = np.zeros(int(shingle.max()) + 1)
+            hit = node[_similar(shingle, w, starts, own, int(np.flatnonzero(node == first)[0]), len(node), threshold)]
+            hit = hit[hit != first]
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), first)), pa.array(hit)], names=["first", "node"])
+
+    return met.select("first", "block", "node", "text", "df").repartition("first", "block").sortWithinPartitions("first", "block").mapInArrow(run, "first bigint, node bigint")
+
+
+def _other_links(met: DataFrame, linked: DataFrame, texts: DataFrame, n_docs: int, threshold: float) -> DataFrame:
+    """Links of what is not linked with its bucket's first, to the others of the bucket."""
+    rows = met.where("node <> first").join(linked.withColumn("linked", F.lit(True)), ["first", "node"], "left").withColumn("open", F.col("linked").isNull())
+    some = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum(F.col("open").cast("long")).alias("n_open")).where("n > 1 and n_open > 0")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    some = some.select("band", "key", blocks("n_open").alias("asking"), blocks("n").alias("answering"))
+    dealt = rows.select("band", "key", "node", "open").join(some, ["band", "key"])
+    dealt = dealt.withColumns({"x": F.when(F.col("open"), F.pmod(F.xxhash64("node"), F.col("asking")).cast("int")), "y": F.pmod(F.xxhash64("node"), F.col("answering")).cast("int")})
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    answers = F.transform(upto("asking"), lambda i: F.struct(i.alias("i"), F.col("y").alias("j")))
+    asks = F.transform(upto("answering"), lambda j: F.struct(F.col("x").alias("i"), j.alias("j")))
+    dealt = dealt.withColumn("at", F.explode(F.when(F.col("open"), F.array_union(asks, answers)).otherwise(answers)))
+    dealt = dealt.select("band", "key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "node", "open", F.coalesce(F.col("x") == F.col("at.i"), F.lit(False)).alias("asks"), (F.col("y") == F.col("at.j")).alias("answers"))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for t in _whole_groups(batches, "band", "key", "i", "j"):
             if t.num_rows < 2:
                 continue
-            d, h, m = shingler(t.column("text").to_pylist())
-            w = m * idf(np.frombuffer(b"".join(map(zlib.decompress, t.column("df").to_pylist())), np.uint32), n_docs).astype(np.float64)
-            if len(np.unique(d)) < t.num_rows:
-                raise ValueError("a document with bands has no shingles")
-            two = t.column("two")[0].as_py()
-            found = _links(d, h, w, np.array(t.column("bands").to_pylist(), np.int64), t.column("band")[0].as_py(), t.column("own").to_numpy() if two else None, threshold)
+            node, asks, answers, known = (t.column(c).to_numpy() for c in ("node", "asks", "answers", "open"))
+            root = np.where(known, np.arange(len(node)), np.argmin(known))  # what is linked with the first is linked
+            found = _links(_sets(t, n_docs), np.array(t.column("bands").to_pylist(), np.int64), t.column("band")[0].as_py(), asks, answers, root, threshold)
             if found:
-                ids = t.column("rep").to_numpy()
                 a, b = np.array(found).T
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-    return groups.repartition("group").sortWithinPartitions("group", "band", "key", "rep").mapInArrow(run, "a bigint, b bigint")
+    groups = dealt.join(texts, "node").select("band", "key", "i", "j", "node", "open", "asks", "answers", "bands", "text", "df")
+    return groups.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "node").mapInArrow(run, "a bigint, b bigint")
 
 
 def signatures(docs: DataFrame, n_docs: int) -> DataFrame:
@@ -347,7 +391,7 @@ def signatures(docs: DataFrame, n_docs: int) -> DataFrame:
             key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(own), 1))
             for r in range(ROWS):
                 key = mix(key * _P + drawn[:, :, r])
-            for i, k, x, y in zip((own + start).tolist(), key.view(np.int64).tolist(), starts.tolist(), [*starts[1:].tolist(), len(h)], strict=True):
+            for i, k, x, y in zip((own + start).tolist(), key.view(np.int64).tolist(), starts.tolist(), [*starts[1:].tolist(), len(h)][: len(starts)], strict=True):
                 bands[i], packed[i] = k, zlib.compress(n[x:y].tobytes(), 1)
         return pa.table([*(left.column(c) for c in ("id", "k1", "k2")), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())], names=["id", "k1", "k2", "bands", "df"])
 
@@ -356,47 +400,71 @@ def signatures(docs: DataFrame, n_docs: int) -> DataFrame:
     return rows.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(run, "id bigint, k1 bigint, k2 bigint, bands array<bigint>, df binary")
 
 
+def _named(df: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """id, k1, k2 of every row with text; and of every text (k1, k2) its group's number, smallest id, and whether this text stands for the group."""
+    docs = keyed(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    n_docs = docs.count()
+    rows = materialize(signatures(docs, n_docs), "signatures")
+    classes = rows.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("df").alias("df"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers of written rows: they stay
+    members = classes.where("bands is not null").select("node", F.posexplode("bands").alias("band", "key"))
+    shared = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1").drop("n")
+    met = materialize(members.join(shared, ["band", "key"]), "buckets")
+    texts = _texts(docs, classes, met.select("node").distinct())
+    linked = materialize(_star_links(met.where("node <> first").select("first", "node").distinct(), texts, n_docs, threshold), "stars")
+    others = materialize(_other_links(met, linked, texts, n_docs, threshold), "links")
+    parts = components(linked.select(F.col("first").alias("a"), F.col("node").alias("b")).union(others))
+    of = classes.select("k1", "k2", "id", "node").join(parts, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    # The text that stands for a group: of its smallest id, and of those by its number.
+    best = of.groupBy("group").agg(F.min("id").alias("class_id"), F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("best"))
+    named = materialize(of.join(best, "group").select("k1", "k2", "class_id", (F.col("best.node") == F.col("node")).alias("stands")), "named")
+    known = materialize(rows.select("id", "k1", "k2"), "rows")
+    discard(rows, classes, met, texts, linked, others)
+    return known, named
+
+
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups documents that are linked by equal texts or by a weighted Jaccard similarity of threshold or more.
 
     Returns id_col, class_id (the smallest id of the group) and kept (id_col = class_id), a row for each input row. A null
     text links with nothing; texts without words link only with equal ones; texts of fewer than five words are one shingle.
-    Ids are integers; rows that repeat an id with several texts are judged by each of them. Other columns are not read; an empty table gives an empty table. A pair at the threshold is missed by all bands once
-    in 1,300, one of similarity 0.9 once in 470,000; no pair below the threshold is linked.
+    Ids are integers or null. Every row is a document of its own, also where rows repeat an id or have none; a null id is
+    no smallest id. Other columns are not read; an empty table gives an empty table. A pair at the threshold is missed by all
+    bands once in 1,300, one of similarity 0.9 once in 470,000; no pair below the threshold is linked.
     """
-    docs = keyed(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-    n_docs = docs.count()
-    rows = materialize(signatures(docs, n_docs), "signatures")
-    classes = materialize(rows.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    members = classes.where("bands is not null").select("rep", "k1", "k2", "bands", F.posexplode("bands").alias("band", "key"))
-    shared = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialize(members.join(shared, ["band", "key"]), "buckets")
-    texts = _texts(docs, rows, met.select(F.col("rep").alias("id"), "k1", "k2").distinct())
-    # A bucket larger than BLOCK is dealt into blocks, and each pair of them is a group of its own.
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = met.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("rep"), blocks).cast("int")})
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = dealt.select("rep", "k1", "k2", "bands", "band", "key", "own", (F.col("own") != F.col("other")).alias("two"), F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other")).alias("group"))
-    links = materialize(_compare(groups.join(texts.withColumnRenamed("id", "rep"), ["rep", "k1", "k2"]).drop("k1", "k2"), n_docs, threshold), "links")
-    parts = components(links)
-    named = materialize(classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id")), "named")
-    known = rows.join(named, ["k1", "k2"]).select("id", "class_id")
-    out = known.union(docs.where("text is null").select("id", F.col("id").alias("class_id")))
+    known, named = _named(df, threshold, id_col, text_col)
+    out = known.join(named.select("k1", "k2", "class_id"), ["k1", "k2"]).select("id", "class_id")
+    null = df.where(F.col(text_col).isNull()).select(F.col(id_col).cast("long").alias("id"), F.col(id_col).cast("long").alias("class_id"))
+    out = out.union(null)
     return out.select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def one_of_each(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the near-duplicates that near_duplicates() does not keep, and with one row of each id; rows without id stay."""
-    found = near_duplicates(df, threshold, id_col, text_col)
-    out = without_ids(df, found.where(~F.col("kept")).select(id_col), id_col)
-    repeated = df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    """df with one row of each group of near_duplicates(), that of the smallest id, and with all rows without text.
+
+    Of rows that repeat the id and text that stay, one stays. Columns come back as they are, whatever their names.
+    """
+    known, named = _named(df, threshold, id_col, text_col)
+    keys = known.groupBy("id", "k1", "k2").agg(F.count("*").alias("n")).join(named, ["k1", "k2"])
+    keys = materialize(keys.select("id", "k1", "k2", "n", (F.col("stands") & F.col("id").eqNullSafe(F.col("class_id"))).alias("stays")), "keys")
+    names = [f"c{i}" for i in range(len(df.columns))]  # so that no column of df clashes
+    text = F.col(f"c{df.columns.index(text_col)}")
+    rows = df.toDF(*names).withColumn("id", F.col(f"c{df.columns.index(id_col)}").cast("long"))
+    rows = rows.withColumns({f"k{i}": F.when(text.isNotNull(), F.xxhash64(F.lit(i), text)) for i in (1, 2)})
+
+    def having(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = _few(keys.select(F.col("id").alias("i"), F.col("k1").alias("x"), F.col("k2").alias("y")))
+        return rows.join(keys, F.col("id").eqNullSafe(F.col("i")) & (F.col("k1") == F.col("x")) & (F.col("k2") == F.col("y")), how)
+
+    out = having(rows, keys.where("not stays"), "left_anti")
+    repeated = keys.where("stays and n > 1")
     if repeated.limit(1).count():
-        single = out.join(repeated, id_col, "left_semi").groupBy(id_col).agg(F.max(F.struct(F.col(text_col), *[c for c in df.columns if c not in (id_col, text_col)])).alias("r")).select(id_col, "r.*")
-        out = out.join(repeated, id_col, "left_anti").unionByName(single.select(df.columns))
-    return out
+        one = having(out, repeated, "left_semi").groupBy("id", "k1", "k2").agg(F.max(F.struct(*names)).alias("row")).select("row.*")
+        out = having(out, repeated, "left_anti").select(*names).union(one)
+    return out.select(*names).toDF(*df.columns)
 
 
 def without_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """df without the rows of ids: by broadcast if they are few, else by a shuffle."""
     ids = materialize(ids.where(F.col(id_col).isNotNull()).distinct(), "ids")
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, "left_anti")
+    return df.join(_few(ids), id_col, "left_anti")

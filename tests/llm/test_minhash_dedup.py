@@ -1,4 +1,6 @@
+import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -121,3 +123,64 @@ def test_shingles_do_not_depend_on_the_text_before():
 def test_short_near_copy_after_an_empty_text(frame):
     docs = [(1, ""), (2, "one two three four five"), (3, "!!"), (4, "One, two three FOUR five"), (5, "other words than the ones before")]
     assert {k: v[0] for k, v in found(frame(docs).coalesce(1)).items()} == {1: 1, 2: 2, 3: 3, 4: 2, 5: 5}
+
+
+def plain_classes(docs, threshold=0.8):
+    """Groups by all pairs, with shingles as tuples of words, frequencies by a plain count; (id, smallest id of the group) of each row."""
+    words = [None if t is None else re.findall("[^\x00-/:-@\\[-`{-\x7f]+", t.translate({c: c + 32 for c in range(65, 91)})) for _, t in docs]
+    sets = [Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else Counter() for w in words]
+    df = Counter(s for c in sets for s in c)
+    weigh = lambda c: {s: n * (math.log((1 + len(docs)) / (1 + df[s])) + 1) for s, n in c.items()}
+    sets = [weigh(c) for c in sets]
+    group = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if docs[i][1] is None or docs[j][1] is None or group[i] == group[j]:
+                continue
+            low = sum(min(w, b[s]) for s, w in a.items() if s in b)
+            high = sum(a.values()) + sum(b.values()) - low
+            if docs[i][1] == docs[j][1] or (high and low >= threshold * high):
+                group = [group[j] if g == group[i] else g for g in group]
+    ids = {}
+    for g, (i, _) in zip(group, docs, strict=True):
+        ids.setdefault(g, []).append(i)
+    least = {g: min((i for i in v if i is not None), default=None) for g, v in ids.items()}
+    return sorted(((i, least[g], i == least[g]) for g, (i, _) in zip(group, docs, strict=True)), key=str)
+
+
+@pytest.mark.parametrize("settings", [{}, {"BLOCK": 2, "BROADCAST_IDS": 0}])
+def test_repeated_and_missing_ids(spark, monkeypatch, settings):
+    for k, v in settings.items():
+        monkeypatch.setattr(M, k, v)
+    rng = random.Random(3)
+    long = [rng.choice("abcdefghijklmnop") * rng.randint(1, 6) for _ in range(300)]
+    near = long[:150] + ["other"] + long[151:]
+    docs = [(1, " ".join(long)), (1, "~~~ ~~~"), (2, " ".join(near)), (1, "zzz yyy xxx www vvv uuu"), (1, "zzz yyy xxx www vvv uuu"), (None, " ".join(long).upper()), (None, "!!"), (None, None), (7, None), (5, "~~~ ~~~"), (9, ""), (9, "")]
+    docs += [(None if i % 6 == 0 else i % 11, t) for i, t in near_copies(40, 5)]
+    df = spark.createDataFrame([(*d, "x", "x", "x", "x") for d in docs], "doc_id bigint, text string, class_id string, kept string, k1 string, node string")
+    assert sorted([tuple(r) for r in M.near_duplicates(df).collect()], key=str) == plain_classes(docs)
+    rest = M.one_of_each(df)
+    assert rest.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in rest.collect()]
+    groups = {(i, least) for i, least, _ in plain_classes([d for d in docs if d[1] is not None])}
+    assert {i for i, t in kept if t is not None} == {least for _, least in groups} and sum(t is None for _, t in kept) == 2
+    assert sorted(plain_classes(kept), key=str) == sorted([(i, i, True) for i, _ in kept], key=str)
+
+
+def test_recall_at_the_threshold():
+    rng = np.random.default_rng(4)
+    missed = 0
+    for _ in range(40):
+        h = rng.integers(0, 2**63, (50, 100)).astype(np.uint64)
+        w = rng.choice([1.0, 2.5, 9.0], (50, 10)).repeat(10, axis=1)  # ten of each weight, so that 8 of 10 shared are 0.8 of the weight
+        shared = np.tile(np.arange(10) < 8, 10)
+        own = np.tile(np.arange(10) < 9, 10)
+        a, b = own, shared | ~own  # both hold what is shared, and each a tenth of its own
+        draw = lambda at: M.samples(h[:, at].ravel(), w[:, at].ravel(), np.arange(50) * int(at.sum()), M.BANDS * M.ROWS).reshape(50, M.BANDS, M.ROWS)
+        missed += int((~(draw(a) == draw(b)).all(2).any(1)).sum())
+    assert missed / 2000 < 0.004  # 0.00077 is expected
+
+
+def test_no_text_has_words(frame):
+    assert found(frame([(1, "!!"), (2, ""), (3, "!!"), (4, "?"), (5, None)])) == {1: (1, True), 2: (2, True), 3: (1, False), 4: (4, True), 5: (5, True)}
