@@ -6,28 +6,27 @@ n-grams (with word boundaries), the longest first: those of the first length of
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import ChunkCache, slices, worker_state
 
-#: The model is fitted on the labelled documents of each language that are lowest by a hash, about so many a language.
+#: The model is fitted on the labelled documents of each language that are lowest by a hash, about so many a language. Of these it
+#: keeps every word and n-gram.
 SAMPLE_DOCS = 1500
-#: Words and n-grams that the sample has fewer times are left out; so many of the most frequent stay for a language.
-LEAST, MOST = 2, 20_000
 LONGEST = 5
 ALPHA = 0.1
 #: Words that count as independent evidence: longer texts' log likelihoods are scaled down to so many.
 EVIDENCE = 20
 
-_words = re.compile(r"[^\W\d_]+").findall
+_words = regex.compile(r"\p{L}+").findall
 
 
 def words(text: str) -> list[str]:
@@ -98,7 +97,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     """Learns from rows with text and language whose id is not null and not held out.
 
     The sample is bounded by sample_docs a language (chosen by a hash, about so many); counts are made by the executors, and
-    the driver receives MOST words and MOST n-grams of each length for a language at most.
+    the driver receives the words and n-grams of this sample, each once for a language.
     """
     named = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = named.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
@@ -125,11 +124,9 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             k = len(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array([n] * k, pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "n", "gram", "m"])
 
-    counted = sample.mapInArrow(run, "lang string, n int, gram string, m bigint").groupBy("lang", "n", "gram").agg(F.sum("m").alias("m")).where(F.col("m") >= LEAST)
-    order = Window.partitionBy("lang", "n").orderBy(F.desc("m"), "gram")
-    kept = counted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= MOST)
+    counted = sample.mapInArrow(run, "lang string, n int, gram string, m bigint").groupBy("lang", "n", "gram").agg(F.sum("m").alias("m"))
     found: list[dict[str, dict[str, int]]] = [{} for _ in range(LONGEST + 1)]
-    for r in kept.select("lang", "n", "gram", "m").toLocalIterator():
+    for r in counted.orderBy("n", "gram", "lang").toLocalIterator():
         found[r.n].setdefault(r.gram, {})[r.lang] = r.m
     tables = []
     for grams_of in found:
@@ -140,20 +137,21 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return Model(langs, tables)
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
-    """lang_pred and score of every whole text, one row for each input row, repeated rows included.
+def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Language and score, under the two names, of every whole text, one row for each input row, repeated rows included.
 
-    A null text, and one without letters, is `und` with score 0; so is every text under a model without languages. Of equal
-    scores the first language by name wins. With keep_columns all columns of df come back beside the two (which replace
-    columns of the same names); else id_col alone. An empty table gives an empty table. No shuffle; the model, which is
-    bounded by its parameters, is broadcast.
+    A null text, and one without letters (Unicode category L), is `und` with score 0; so is every text under a model without
+    languages. Of equal scores the first language by name wins. With keep_columns all columns of df come back beside the
+    two, whose names must then be new to it; else id_col alone. An empty table gives an empty table. No shuffle; the model,
+    which is bounded by its sample, is broadcast.
     """
+    if keep_columns and {n.lower() for n in names} & {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has a column of its own named {names[0]} or {names[1]}")
     shared = df.sparkSession.sparkContext.broadcast(model)
-    base = df.drop("lang_pred", "score") if keep_columns else df.select(F.col(id_col), F.col(text_col).alias("__text"))
+    base = df if keep_columns else df.select(F.col(id_col), F.col(text_col).alias("__text"))
     text_at = base.columns.index(text_col) if keep_columns else 1
     keep = [i for i in range(len(base.columns)) if keep_columns or i != 1]
-    schema = base.select([base.columns[i] for i in keep]).schema.add("lang_pred", "string").add("score", "double")
-
+    schema = base.select([base.columns[i] for i in keep]).schema.add(names[0], "string").add(names[1], "double")
     key = ("language_id", uuid.uuid4().hex)  # each model has a state of its own
 
     def run(batches):
