@@ -1,12 +1,12 @@
 import numpy as np
 import public_tokenizers as P
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codeloom.llm import minhash_dedup as M
 from codeloom.llm.byte_bpe import byte_bpe
 from codeloom.llm.common import materialize
 from codeloom.llm.decontaminate import windows, words
-from codeloom.llm.suffix_dedup import LENGTH
 from tests.llm.test_minhash_dedup import brute as near_classes
 
 
@@ -15,15 +15,15 @@ def without_repeats(docs):
     data = {i: t.encode() for i, t in docs}
     seen, twice = set(), set()
     for x in data.values():
-        for i in range(len(x) - LENGTH + 1):
-            w = x[i : i + LENGTH]
+        for i in range(len(x) - corpus_pipeline.REPEAT_BYTES + 1):
+            w = x[i : i + corpus_pipeline.REPEAT_BYTES]
             (twice if w in seen else seen).add(w)
     out = []
     for i, x in data.items():
         gone = np.zeros(len(x), bool)
-        for k in range(len(x) - LENGTH + 1):
-            if x[k : k + LENGTH] in twice:
-                gone[k : k + LENGTH] = True
+        for k in range(len(x) - corpus_pipeline.REPEAT_BYTES + 1):
+            if x[k : k + corpus_pipeline.REPEAT_BYTES] in twice:
+                gone[k : k + corpus_pipeline.REPEAT_BYTES] = True
         runs = b"\xff".join(b"".join(x[k : k + 1] for k in range(len(x)) if not gone[k]).split(b"\xff"))
         out.append((i, runs.decode("utf-8", "ignore")))
     return [(i, t) for i, t in out if t]
@@ -52,3 +52,20 @@ def test_stages_on_empty_and_odd_tables(spark):
             out = materialize(stage(spark, table, sf), f"test-{name}")
             assert name == "byte_bpe" or out.columns == docs.columns
             assert out.count() <= table.count()
+
+
+def test_columns_of_the_input_come_back(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    own = ["score", "lang_pred", "before", "records", "k1", "node", "class_id", "n_bytes", "row", "count", "id"]
+    some = docs.limit(60).union(docs.limit(20)).union(spark.createDataFrame([(0, "another text of an id that is there already, with words of its own", "en", "s", 0), (None, "the " * 40000, "en", "s", 0), (None, None, None, None, None)], docs.schema))
+    table = some.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in own})
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        table = materialize(stage(spark, table, sf), f"test-{name}")
+        assert table.columns == [*docs.columns, *own]
+        rows = table.collect()
+        assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in own)
+        kept[name] = sorted(str(r.doc_id) for r in rows)
+    assert kept["minhash_dedup"].count("0") == 2  # the two texts of one id are no copies
+    assert len(kept["minhash_dedup"]) - len(set(kept["minhash_dedup"])) == 1
