@@ -11,27 +11,44 @@ from codeloom.llm.common import materialize
 from codeloom.llm.decontaminate import contamination
 from codeloom.llm.language_id import fit, predict
 from codeloom.llm.minhash_dedup import one_of_each, without_ids
-from codeloom.llm.suffix_dedup import remove_repeats
+from codeloom.llm.suffix_dedup import SHORT, remove_repeats
 
 #: A document stays if its best language is at least this likely.
 LEAST_SCORE = 0.3
+#: Strings of so many bytes that repeat are removed: about 35 words, so that passages of over 50 words that repeat are caught.
+REPEAT_BYTES = SHORT
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; texts that are null, without letters or like no language go."""
-    found = predict(docs, fit(docs), keep_columns=True)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    lang, score = free_names(docs, "lang_pred", "score")
+    found = predict(docs, fit(docs), keep_columns=True, names=(lang, score))
+    return found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates."""
-    return one_of_each(docs).select(docs.columns)
+    return one_of_each(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings that repeat; a document of which nothing is left goes."""
-    rest = remove_repeats(docs, keep_columns=True)
-    return rest.where(F.col("text").isNull() | (F.col("text") != "") | F.coalesce(F.col("n_chars"), F.lit(0)).eqNullSafe(0)).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Documents without the strings of REPEAT_BYTES that repeat; a document of which nothing is left goes."""
+    (before,) = free_names(docs, "before")
+    rest = remove_repeats(docs.withColumn(before, F.length("text")), keep_columns=True, length=REPEAT_BYTES)
+    rest = rest.where(F.col("text").isNull() | (F.col("text") != "") | (F.col(before) == 0)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        rest = rest.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return rest
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """names, made new to docs by underscores."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n in taken:
+            n += "_"
+        out.append(n)
+    return out
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
