@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ChunkCache, chunks, slices, worker_state
+from codeloom.llm.common import ChunkCache, bound_batches, chunks, slices, worker_state
 
 
 def byte_characters() -> list[str]:
@@ -113,6 +113,7 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
     of df are not read, so their names cannot clash; an empty table gives an empty table. No shuffle; memory is bounded by
     slices of a batch.
     """
+    bound_batches(df.sparkSession)
     kinds = {"ids": ("array<int>", pa.list_(pa.int32())), "n_tokens": ("bigint", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded": ("binary", pa.binary()), "decoded_sha256": ("string", pa.string())}
 
     def run(batches):

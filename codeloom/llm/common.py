@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 CACHE_ENTRIES = 800_000
 #: Characters handled together inside one Arrow batch; bounds a worker's memory whatever the batch holds.
 SLICE_CHARS = 2_000_000
+#: Rows of an Arrow batch and of a Parquet reader's batch.
+BATCH_ROWS = 500
 
 _own_dirs: dict[str, str] = {}
 
@@ -32,6 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     return top.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Rows that pass between Parquet, Spark and Python together: at most BATCH_ROWS for the rest of the session, since texts are long.
+
+    A text of a few kilobytes makes 10,000 rows, Spark's own number, some 50 MB in each of several buffers of each task.
+    """
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+            spark.conf.set(key, str(BATCH_ROWS))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/codeloom/{name}-{uuid.uuid4().hex}"
 

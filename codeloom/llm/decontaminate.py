@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize, slices
+from codeloom.llm.common import bound_batches, materialize, slices
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _words = re.compile(WORD).findall
@@ -104,6 +104,7 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col
     numbers and the blocks' findings are gathered by row number.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     items = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))

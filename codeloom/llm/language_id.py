@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ChunkCache, slices, worker_state
+from codeloom.llm.common import ChunkCache, bound_batches, slices, worker_state
 
 #: The model is fitted on the labelled documents of each language that are lowest by a hash, about so many a language. Of these it
 #: keeps every word and n-gram.
@@ -99,6 +99,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     The sample is bounded by sample_docs a language (chosen by a hash, about so many); counts are made by the executors, and
     the driver receives the words and n-grams of this sample, each once for a language.
     """
+    bound_batches(df.sparkSession)
     named = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = named.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -147,6 +148,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     if keep_columns and {n.lower() for n in names} & {c.lower() for c in df.columns}:
         raise ValueError(f"the table has a column of its own named {names[0]} or {names[1]}")
+    bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     base = df if keep_columns else df.select(F.col(id_col), F.col(text_col).alias("__text"))
     text_at = base.columns.index(text_col) if keep_columns else 1

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ChunkCache, discard, materialize, slices, worker_state
+from codeloom.llm.common import ChunkCache, bound_batches, discard, materialize, slices, worker_state
 from codeloom.llm.components import components
 from codeloom.llm.decontaminate import words
 
@@ -402,6 +402,7 @@ def signatures(docs: DataFrame, n_docs: int) -> DataFrame:
 
 def _named(df: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """id, k1, k2 of every row with text; and of every text (k1, k2) its group's number, smallest id, and whether this text stands for the group."""
+    bound_batches(df.sparkSession)
     docs = keyed(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     n_docs = docs.count()
     rows = materialize(signatures(docs, n_docs), "signatures")

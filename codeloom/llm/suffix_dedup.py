@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import discard, materialize, shuffle_parts, worker_state
+from codeloom.llm.common import bound_batches, discard, materialize, shuffle_parts, worker_state
 
 LENGTH = 400
 #: Passages are made of strings of so many bytes: about 35 words of prose, so that one of over 50 words is not missed.
@@ -620,6 +620,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if length <= SPREAD + GRAM:
         raise ValueError("a repeated string is longer than the places of its anchor")
+    bound_batches(df.sparkSession)
     docs = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(*keyed("text"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(shuffle_parts(df.sparkSession), -(-total // BUCKET_BYTES))

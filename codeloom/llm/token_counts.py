@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ChunkCache, slices, worker_state
+from codeloom.llm.common import ChunkCache, bound_batches, slices, worker_state
 
 NORMAL, USER_DEFINED, UNUSED, BYTE = 1, 4, 5, 6
 NEVER = np.int64(1) << 40
@@ -206,6 +206,8 @@ def count_tokens(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     gives an empty table. There is no shuffle: one pass in Arrow batches, with memory bounded by slices of a batch.
     """
 
+    bound_batches(df.sparkSession)
+
     def run(batches):
         bpe = ragged_bpe(model_path)
         for b in batches:

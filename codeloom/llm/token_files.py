@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ChunkCache, chunks, slices, worker_state
+from codeloom.llm.common import ChunkCache, bound_batches, chunks, slices, worker_state
 
 #: The sample that the dictionary is trained on: about so many documents, the lowest by a hash, of at most so many bytes of text.
 SAMPLE_DOCS, SAMPLE_BYTES = 1000, 8192
@@ -86,6 +86,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
     ids and texts; a task holds one block and one Arrow batch.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     data = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     width = Encoder(tokenizer_path).width
     plain = end_id.to_bytes(width, "little")
