@@ -1,5 +1,8 @@
 import fnmatch
+import glob
+import gzip
 import hashlib
+import io
 import random
 import re
 
@@ -7,6 +10,7 @@ import pytest
 
 from codeloom.llm import queries as Q
 from codeloom.llm.url_filter import Rule, ShiftAnd, filter_urls
+from codeloom.llm import warc as W
 from codeloom.llm.warc import read_archives, write_archives
 from tests.oracle import connect, same_rows
 
@@ -63,5 +67,45 @@ def test_warc_round_trip(spark, tmp_path):
         r = found[i]
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if original else "response", str(original) if original else None)
         assert bytes(r.payload) == (b"" if original else raw)
+    # Any reader of gzip files finds the records one after another, and one by itself at the place where it begins.
+    files = [open(f, "rb").read() for f in glob.glob(f"{tmp_path}/w/part-*")]
+    whole = [h for f in files for h, _ in W.parse(gzip.GzipFile(fileobj=io.BytesIO(f)))]
+    assert sorted(h["warc-record-id"] for h in whole) == sorted(f"<urn:page:{i}>" for i, _, _ in rows)
+    by = {h["warc-record-id"]: h for h in whole}
+    assert by["<urn:page:1>"]["warc-refers-to-target-uri"] == "u%20v%20%20" and by["<urn:page:9>"]["warc-refers-to-target-uri"] == "h"
+    assert len({h["warc-date"] for h in whole}) == 1 and all(re.fullmatch(r"20\d\d-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["warc-date"]) for h in whole)
+    assert by["<urn:page:1>"]["warc-refers-to-date"] == by["<urn:page:3>"]["warc-date"]
+    members = [m for f in files for m in f.split(W.EMPTY) if m]
+    assert len(members) == len(rows) and all(len(list(W.parse(io.BytesIO(gzip.decompress(m))))) == 1 for m in members)
     write_archives(df.limit(0), f"file://{tmp_path}/e")
     assert read_archives(spark, f"file://{tmp_path}/e").count() == 0
+
+
+@pytest.mark.parametrize("hot", [10_000, 2])
+def test_warc_copies_and_long_payloads(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(W, "HOT_COPIES", hot)
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh") for _ in range(3_000_000))
+    rows = [(9, "a", "z" * 2000), (9, "b", "z" * 2000), (1, "c", "z" * 2000), (None, "d", "z" * 2000), (None, "e", "y" * 1500), (None, "f", "y" * 1500), (20, "g", long), (21, "h", long), (22, "i", long[:-1] + "x"), (30, None, "q" * 1200), (31, None, "q" * 1200)]
+    rows += [(100 + i, f"u{i}", W.EMPTY.decode("latin-1") * 60) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        write_archives(df.coalesce(1), f"file://{tmp_path}/w", date="2001-02-03T04:05:06Z")
+        found = read_archives(spark, f"file://{tmp_path}/w", payloads=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = []
+    for i, _, html in rows:
+        raw = html.encode()
+        last = max((j for j, _, other in rows if other == html and j is not None), default=None)
+        refers = last if len(raw) >= 1000 and last is not None and last != i else None
+        want.append((None if i is None else str(i), len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if refers else "response", None if refers is None else str(refers), b"" if refers else raw))
+    got = [(r.page, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, bytes(r.payload)) for r in found]
+    assert sorted(got, key=str) == sorted(want, key=str) and {r.date for r in found} == {"2001-02-03T04:05:06Z"}
+
+
+def test_a_member_never_holds_what_stands_between():
+    data = b"a" + W.EMPTY * 3 + b"b"
+    assert W.EMPTY not in W.member(data, 0) and gzip.decompress(W.member(data, 0)) == data
