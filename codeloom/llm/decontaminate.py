@@ -1,26 +1,30 @@
 """Benchmark decontamination: a prefix-filtered join of item windows with document words, exact by verification.
 
-A window is matched only whole, so one word of it is prefix enough: the rarest by its count in all documents. A document
-word that is some window's prefix word makes a candidate at the one offset it can have; its start and end must lie within
-the document (positional and length bounds), and then the words must be those of the window.
+A window is matched only whole, so of its words, ordered by rarity (their count in all documents), the first is prefix
+enough: the rarest. Windows are rows by their prefix word; so are the places of documents that hold such a word, each with the
+words around it. The two are joined on the word. A pair stays if the window's start and end, which the word's offset gives,
+lie within the document (positional and length bounds), and if the words there are those of the window.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import bound_batches, materialize, slices
+from codeloom.llm.common import bound_batches, discard, materialize, slices, worker_state
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _words = re.compile(WORD).findall
 WINDOW = 10
-#: Items are handled in blocks of about so many bytes of text; one block's index is what a worker holds and what is broadcast.
-BLOCK_BYTES = 8 << 20
+#: Up to so many words are broadcast, to leave out others before the join; beyond, the join alone does it.
+SET_WORDS = 500_000
+#: Documents with findings go by broadcast up to so many, by a shuffle beyond.
+BROADCAST_ROWS = 200_000
 
 
 def words(text: str | None) -> list[str]:
@@ -35,36 +39,6 @@ def windows(items: list[str], size: int) -> list[tuple[str, ...]]:
     return [tuple(items[i : i + size]) for i in range(max(1, len(items) - size + 1))] if items else []
 
 
-class WindowIndex:
-    """Windows by their rarest word: word -> [(its offset, the window's length)], and window -> items."""
-
-    def __init__(self, items: list[tuple[str, list[str]]], size: int, counts: dict[str, int]):
-        self.items = defaultdict(set)
-        for name, tokens in items:
-            for w in windows(tokens, size):
-                self.items[w].add(name)
-        at = defaultdict(set)
-        for w in self.items:
-            offset = min(range(len(w)), key=lambda i: (counts.get(w[i], 0), w[i], i))
-            at[w[offset]].add((offset, len(w)))
-        self.at = {w: sorted(x) for w, x in at.items()}
-        self.items = {w: sorted(x) for w, x in self.items.items()}
-
-    def find(self, tokens: list[str]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Word spans that occurrences of windows cover, apart from one another and in order, and the windows' items."""
-        at, known, n = self.at, self.items, len(tokens)
-        found, names = [], set()
-        if at.keys().isdisjoint(tokens):
-            return [], names
-        for i, w in enumerate(tokens):
-            for offset, length in at.get(w, ()):
-                start = i - offset
-                if start >= 0 and start + length <= n and (who := known.get(tuple(tokens[start : start + length]))):
-                    found.append((start, start + length))
-                    names.update(who)
-        return merged(found), names
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The same places as spans that neither overlap nor touch."""
     out: list[tuple[int, int]] = []
@@ -76,22 +50,85 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _counts(docs: DataFrame, vocabulary) -> dict[str, int]:
-    """How often each word of the vocabulary (a broadcast set) occurs in all documents."""
+def _windows(items: DataFrame, size: int) -> DataFrame:
+    """window (its words, apart by a space), words, and items (ids, sorted) of every different window of items (item, text)."""
 
     def run(batches):
+        worker_state(("decontaminate",))
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = list(dict.fromkeys(windows(words(text), size)))
+                yield pa.RecordBatch.from_arrays([pa.array([" ".join(w) for w in found], pa.string()), pa.array(found, pa.list_(pa.string())), pa.array([item] * len(found), pa.string())], names=["window", "words", "item"])
+
+    cut = items.mapInArrow(run, "window string, words array<string>, item string")
+    return cut.groupBy("window").agg(F.first("words").alias("words"), F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def _only(words: DataFrame, most: int):
+    """A broadcast set of words (word), or of None if they are more than most."""
+    few = words.limit(most + 1).count() <= most
+    return words.sparkSession.sparkContext.broadcast({r.word for r in words.collect()} if few else None)
+
+
+def _counts(docs: DataFrame, vocabulary: DataFrame, most: int) -> DataFrame:
+    """word and n, how often it occurs in all documents, of the words of the vocabulary."""
+    only = _only(vocabulary, most)
+
+    def run(batches):
+        worker_state(("decontaminate",))
         total: Counter = Counter()
         for b in batches:
             for _, part in slices(b.column(0).to_pylist()):
                 for t in part:
-                    total.update(filter(vocabulary.value.__contains__, words(t)))
+                    total.update(words(t) if only.value is None else filter(only.value.__contains__, words(t)))
+            if len(total) > SET_WORDS:
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+                total.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
-    # As many rows as the block has words: bounded by BLOCK_BYTES.
-    return {r.word: r.n for r in docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    counts = docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return counts if only.value is not None else counts.join(vocabulary, "word", "left_semi")
+
+
+def _places(docs: DataFrame, prefixes: DataFrame, window: int, most: int) -> DataFrame:
+    """docs (row, id, text, kept columns) as row, id, n_words, places of prefix words and the kept columns.
+
+    A place: word, at (its number in the document), lead (words before it in around), around (it and up to window - 1 words on either side).
+    """
+    only = _only(prefixes, most)
+    kept = docs.columns[3:]
+    kind = docs.schema["id"].dataType.simpleString()
+    place = "struct<word: string, at: bigint, lead: int, around: string>"
+    schema = f"row bigint, id {kind}, n_words bigint, places array<{place}>" + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in kept)
+
+    def run(batches):
+        worker_state(("decontaminate",))
+        for b in batches:
+            for start, part in slices(b.column(2).to_pylist()):
+                n, ends, found = [], [0], []
+                for t in part:
+                    tokens = words(t)
+                    n.append(len(tokens))
+                    if only.value is None or not only.value.isdisjoint(tokens):
+                        found += [(w, i, min(i, window - 1), " ".join(tokens[max(0, i - window + 1) : i + window])) for i, w in enumerate(tokens) if only.value is None or w in only.value]
+                    ends.append(len(found))
+                columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else [[]] * 4, (pa.string(), pa.int64(), pa.int32(), pa.string()), strict=True)]
+                places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["word", "at", "lead", "around"]))
+                own = [b.column(i).slice(start, len(part)) for i in range(b.num_columns)]
+                yield pa.RecordBatch.from_arrays([*own[:2], pa.array(n, pa.int64()), places, *own[3:]], names=["row", "id", "n_words", "places", *kept])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _merged_rows(batches: Iterator[pa.RecordBatch]):
+    """row, spans, items with the spans merged."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for b in batches:
+        spans = [[{"start": x, "end": y} for x, y in merged([(s["start"], s["end"]) for s in row])] for row in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind), b.column(2)], names=["row", "spans", "items"])
 
 
-def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
+def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", set_words: int = SET_WORDS, keep_text: bool = False) -> DataFrame:
     """Finds every occurrence of every item window in every document.
 
     Returns id, n_words, spans (array of word ranges [start, end), apart and in order), items (ids as strings, sorted) and,
@@ -99,55 +136,32 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col
     hits; null or wordless items have no windows; null item ids are left out; an empty table of items leaves all documents
     clean. Other columns are not read, so their names cannot clash.
 
-    Items go in blocks of block_bytes by a hash of their id, so what is collected and broadcast is bounded (but for one item
-    longer than that); with one block there is no shuffle of documents, with more the documents are written once with row
-    numbers and the blocks' findings are gathered by row number.
+    Texts are read twice (to count the items' words, and to find prefix words) and not shuffled. What is shuffled grows with
+    the windows and with the places of their prefix words. Nothing of the items is collected but up to set_words words.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     items = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if blocks > 1:
-        docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
-    else:
-        docs = docs.withColumn("row", F.lit(0).cast("long"))
-    id_kind = docs.schema["id"].dataType.simpleString()
-    keep = ["text"] if keep_text else []
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    schema = f"row bigint, id {id_kind}, n_words bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>" + ", text string" * keep_text
-
-    def block(k: int) -> DataFrame:
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()
-        tokens = [(r.item, words(r.text)) for r in rows]
-        counts = _counts(docs, spark.sparkContext.broadcast({w for _, t in tokens for w in t}))
-        index = spark.sparkContext.broadcast(WindowIndex(tokens, window, counts))
-
-        def run(batches):
-            find = index.value.find
-            for b in batches:
-                for start, part in slices(b.column(2).to_pylist()):
-                    n, spans, names = [], [], []
-                    for t in part:
-                        tokens = words(t)
-                        at, who = find(tokens)
-                        n.append(len(tokens))
-                        spans.append([{"start": x, "end": y} for x, y in at])
-                        names.append(sorted(who))
-                    columns = [b.column(i).slice(start, len(part)) for i in (0, 1)] + [pa.array(n, pa.int64()), pa.array(spans, span), pa.array(names, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(columns + [b.column(2).slice(start, len(part))] * keep_text, names=["row", "id", "n_words", "spans", "items", *keep])
-
-        return docs.select("row", "id", "text").mapInArrow(run, schema)
-
-    if blocks == 1:
-        return block(0).drop("row")
-    every = block(0)
-    for k in range(1, blocks):
-        every = every.unionByName(block(k))
-    joined = every.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), *([F.first("text").alias("text")] * keep_text))
-    union = F.udf(lambda spans: merged([(s.start, s.end) for s in spans]), "array<struct<start: bigint, end: bigint>>")
-    return joined.select("id", "n_words", union("spans").alias("spans"), "items", *keep)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    known = materialize(_windows(items, window), "windows")
+    counts = materialize(_counts(texts, known.select(F.explode("words").alias("word")).distinct(), set_words), "counts")
+    # A window with a word that no document has occurs nowhere.
+    ranked = known.select("window", F.posexplode("words").alias("offset", "word")).join(counts, "word", "left")
+    best = ranked.groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "word", "offset")).alias("best")).where("best.n > 0")
+    index = materialize(known.join(best, "window").select("best.word", "best.offset", F.size("words").alias("length"), "window", "items"), "index")
+    numbered = texts.select(F.monotonically_increasing_id().alias("row"), "id", "text", *([F.col("text").alias("whole")] * keep_text))
+    base = materialize(_places(numbered, index.select("word").distinct(), window, set_words), "places")  # row numbers are written, so they stay
+    places = base.select("row", "n_words", F.explode("places").alias("p")).select("row", "n_words", "p.*")
+    start = F.col("at") - F.col("offset")
+    inside = (start >= 0) & (start + F.col("length") <= F.col("n_words"))
+    there = F.array_join(F.slice(F.split("around", " "), F.col("lead") - F.col("offset") + 1, F.col("length")), " ")
+    pairs = places.join(index, "word").where(inside).where(there == F.col("window")).select("row", F.struct(start.cast("long").alias("start"), (start + F.col("length")).cast("long").alias("end")).alias("span"), "items")
+    found = pairs.groupBy("row").agg(F.collect_set("span").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    found = materialize(found.mapInArrow(_merged_rows, "row bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>"), "found")
+    discard(known, counts, index)
+    out = base.drop("places").join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, "row", "left")
+    empty = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c)
+    return out.select("id", "n_words", empty("spans"), empty("items"), *([F.col("whole").alias("text")] * keep_text))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", **options) -> DataFrame:
