@@ -3,7 +3,8 @@
 A set of files is a folder with two Parquet tables, so that Spark's writers commit it on any store and lost tasks leave
 nothing behind. `dictionary` has one row: sha256, content, id width in bytes. `blocks` has a row for some hundred
 documents, in ascending id order within a shard, shards in ascending order: shard, number in the shard, first token
-in the shard, document ids, token counts, frame offsets (the index for reading one document) and the frames' bytes.
+in the shard, lowest and highest id, document ids, token counts, frame offsets (the index for reading one document) and
+the frames' bytes.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import ChunkCache, bound_batches, chunks, slices, worker_state
 
-#: The sample that the dictionary is trained on: about so many documents, the lowest by a hash, of at most so many bytes of text.
-SAMPLE_DOCS, SAMPLE_BYTES = 1000, 8192
+#: The sample that the dictionary is trained on: about so many documents, the lowest by a hash; of longer ones a piece of so many characters, at a place by a hash.
+SAMPLE_DOCS, SAMPLE_CHARS = 1000, 8192
 DICTIONARY_BYTES, LEVEL = 64 * 1024, 1
 #: A block ends with the document that brings it to so many bytes of ids.
 BLOCK_BYTES = 1 << 20
@@ -91,7 +92,9 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
     width = Encoder(tokenizer_path).width
     plain = end_id.to_bytes(width, "little")
     place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    rows = data.where((place < SAMPLE_DOCS / max(1, df.count())) & (F.octet_length("text") <= SAMPLE_BYTES)).collect()
+    rest = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
+    piece = F.col("text").substr(F.pmod(F.xxhash64("text", "id"), rest + 1).cast("int") + 1, F.lit(SAMPLE_CHARS))
+    rows = data.where(place < SAMPLE_DOCS / max(1, df.count())).select("id", piece.alias("text")).collect()
     samples = [ids + plain for ids in encoder(tokenizer_path).encode([r.text for r in sorted(rows, key=lambda r: (r.id is not None, r.id, r.text))])]
     content = train_dictionary(samples)
     digest = hashlib.sha256(content).hexdigest()
@@ -108,12 +111,14 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
         ids, counts, offsets, body = [], [], [0], bytearray()
 
         def block():
-            data = [[shard], [number], [first], [pa.array(ids)], [counts], [offsets], [bytes(body)]]
+            given = [i for i in ids if i is not None]
+            data = [[shard], [number], [first], [min(given, default=None)], [max(given, default=None)], [pa.array(ids)], [counts], [offsets], [bytes(body)]]
             return pa.RecordBatch.from_arrays([pa.array([x], type=t) if not isinstance(x, pa.Array) else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(t.value_type)) for (x,), t in zip(data, types, strict=True)], names=names)
 
         for b in batches:
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(b.schema.field(0).type), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            names = ["shard", "number", "first", "ids", "counts", "offsets", "body"]
+            kind = b.schema.field(0).type
+            types = [pa.int32(), pa.int64(), pa.int64(), kind, kind, pa.list_(kind), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            names = ["shard", "number", "first", "low", "high", "ids", "counts", "offsets", "body"]
             at, keys = 0, b.column(0).to_pylist()
             for _, part in slices(b.column(1).to_pylist()):
                 for tokens in enc.encode(part):
@@ -131,7 +136,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int
         if ids:
             yield block()
 
-    schema = f"shard int, number bigint, first bigint, ids array<{id_kind}>, counts array<bigint>, offsets array<bigint>, body binary"
+    schema = f"shard int, number bigint, first bigint, low {id_kind}, high {id_kind}, ids array<{id_kind}>, counts array<bigint>, offsets array<bigint>, body binary"
     data.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -181,3 +186,34 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id", out
     docs = blocks.select("shard", "first", "ids", "counts", "offsets", "body").mapInArrow(run, schema)
     shards = spark.createDataFrame(starts, "shard int, shard_start bigint")
     return docs.join(shards, "shard").select(F.col("id").alias(id_col), (F.col("begin") + F.col("shard_start")).alias("start"), *outputs)
+
+
+def read_documents(spark: SparkSession, path: str, wanted: list, id_col: str = "doc_id") -> DataFrame:
+    """id_col, n_tokens and ids of the documents whose ids are wanted, by the index: blocks by their lowest and highest id, then frames by their offsets.
+
+    Only the frames of these documents leave Spark's reader and are decompressed. An id that several rows had comes back for
+    each of them, an unknown one not at all.
+    """
+    content, width = read_dictionary(spark, path)
+    shared = spark.sparkContext.broadcast(content)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    id_type = blocks.schema["ids"].dataType.elementType.simpleString()
+    if not wanted:
+        return spark.createDataFrame([], f"{id_col} {id_type}, n_tokens bigint, ids array<bigint>")
+    here = (F.col("low") <= max(wanted)) & (F.col("high") >= min(wanted))
+    one = blocks.where(here).select("counts", "offsets", "body", F.posexplode("ids").alias("i", "id")).where(F.col("id").isin(wanted))
+    begin, end = F.col("offsets")[F.col("i")], F.col("offsets")[F.col("i") + 1]
+    frames = one.select("id", F.col("counts")[F.col("i")].alias("n"), F.substring("body", begin.cast("int") + 1, (end - begin).cast("int")).alias("frame"))
+
+    def run(batches):
+        import zstandard
+
+        opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared.value) if shared.value else None)
+        for b in batches:
+            found = [np.frombuffer(opener.decompress(x), f"<u{width}").astype(np.int64) for x in b.column(2).to_pylist()]
+            if [len(x) for x in found] != b.column(1).to_pylist():
+                raise ValueError("a frame does not hold as many ids as its index says")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["id", "n", "ids"])
+
+    out = frames.mapInArrow(run, f"id {id_type}, n bigint, ids array<bigint>")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), "ids")

@@ -8,9 +8,10 @@ import public_tokenizers as P
 import pytest
 
 from codeloom.llm import queries as Q
+from codeloom.llm import token_files
 from codeloom.llm.byte_bpe import encode_decode, read_ranks
 from codeloom.llm.token_counts import count_tokens, ragged_bpe
-from codeloom.llm.token_files import read_dictionary, read_token_files, write_token_files
+from codeloom.llm.token_files import read_dictionary, read_documents, read_token_files, write_token_files
 
 PIECES, RANKS, JSON = P.path("piece_bpe_32k.model"), P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
 
@@ -110,3 +111,17 @@ def test_op8_odd_rows(spark, frame, library, odd, tmp_path):
     assert content and width == 2
     write_token_files(frame([]), f"file://{tmp_path}/b", JSON)
     assert read_token_files(spark, f"file://{tmp_path}/b").count() == 0
+
+
+def test_one_document_by_its_offset(spark, frame, library, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_BYTES", 200)
+    docs = [(i, t) for i, t in enumerate(made_up(200))] + [(7, "seven again"), (None, "no id"), (500, "x" * 30_000), (501, None)]
+    path = f"file://{tmp_path}/c"
+    write_token_files(frame(docs), path, JSON)
+    assert spark.read.parquet(f"{path}/blocks").count() > 10
+    want = sorted((i, [*library.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in docs if i in (7, 90, 500, 501))
+    found = read_documents(spark, path, [501, 7, 90, 500, 9999])
+    assert sorted((r.doc_id, r.ids) for r in found.collect()) == want and all(r.n_tokens == len(r.ids) for r in found.collect())
+    assert read_documents(spark, path, []).count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(high,7)" in plan and "LessThanOrEqual(low,9999)" in plan
