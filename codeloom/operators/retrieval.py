@@ -9,11 +9,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from codeloom.functions.text import bm25_tokens
+from codeloom.sources.work import checkpointed, spread
 
 #: The weights of the scores.
 RRF_K = 60
@@ -24,6 +27,8 @@ OVERLAP, RERANK_POOL, FETCH_FACTOR, FETCH_LEAST = 0.4, 50, 10, 100
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Queries that go against all points together.
 QUERY_BLOCK = 1000
+#: Points and tokens whose scores are computed together; they bound a worker's matrices.
+POINT_BATCH, TOKEN_BLOCK = 2000, 2000
 
 
 def fetch_k(top_k: int) -> int:
@@ -81,11 +86,87 @@ def dense_search(queries: DataFrame, points: DataFrame, k: int, digits: int = 4,
     return top(found, k) if cut else found
 
 
+def _postings_of(queries: DataFrame) -> list[tuple]:
+    """Queries (query_id, weights: map) in blocks of QUERY_BLOCK, each as names, distinct tokens, and (token, query, weight) arrays."""
+    n = -(-queries.count() // QUERY_BLOCK)
+    out = []
+    for b in range(n):
+        rows = [r for r in queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).select("query_id", "weights").collect() if r.weights]
+        tokens = sorted({t for r in rows for t in r.weights})
+        at = {t: i for i, t in enumerate(tokens)}
+        found = sorted((at[t], i, float(w)) for i, r in enumerate(rows) for t, w in r.weights.items())
+        out.append(([r.query_id for r in rows], tokens, *(np.array(c, k) for c, k in zip(zip(*found, strict=True) if found else [[]] * 3, (np.int64, np.int64, float), strict=True))))
+    return out
+
+
+def _sparse_scores(queries: DataFrame, points: DataFrame, value) -> DataFrame:
+    """query_id, id, score from value(names, scores) over each Arrow batch of points (id, weights).
+
+    names: of the queries; scores: queries x points, minus infinity where nothing is shared. value gives arrays of query
+    numbers, point numbers (in order of their ids) and scores. A batch's tokens are looked up all at once in a broadcast of the
+    queries' tokens, and scores are a matrix product over the tokens that the batch has: no row for each pair is made.
+    """
+    id_kind, query_kind = points.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {query_kind}, id {id_kind}, score double"
+    plain = points.select("id", F.map_keys("weights").alias("tokens"), F.transform(F.map_values("weights"), lambda w: w.cast("double")).alias("values"))
+
+    def block(names, tokens, at, query, weight) -> DataFrame:
+        shared = points.sparkSession.sparkContext.broadcast((names, tokens, at, query, weight))
+
+        def run(batches: Iterator[pa.RecordBatch]):
+            names, tokens, at, query, weight = shared.value
+            known, starts = pa.array(tokens, pa.string()), np.searchsorted(at, np.arange(len(tokens) + 1))
+            for b in (b.slice(i, POINT_BATCH) for b in batches for i in range(0, b.num_rows, POINT_BATCH)):
+                b = b.take(pc.sort_indices(b.column(0)))
+                sizes = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+                token = pc.fill_null(pc.index_in(b.column(1).flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+                point, own = np.repeat(np.arange(len(sizes)), sizes), b.column(2).flatten().to_numpy(zero_copy_only=False)
+                hit = token >= 0
+                point, token, own = point[hit], token[hit], own[hit]
+                scores, shares = np.zeros((len(names), b.num_rows)), np.zeros((len(names), b.num_rows), np.float32)
+                here, place = np.unique(token, return_inverse=True)
+                for i in range(0, len(here), TOKEN_BLOCK):
+                    part = here[i : i + TOKEN_BLOCK]
+                    rows = np.concatenate([np.arange(starts[t], starts[t + 1]) for t in part.tolist()])
+                    column = np.repeat(np.arange(len(part)), starts[part + 1] - starts[part])
+                    inside = (place >= i) & (place < i + len(part))
+                    asked, held = np.zeros((len(names), len(part))), np.zeros((len(part), b.num_rows))
+                    asked[query[rows], column] = weight[rows]
+                    held[place[inside] - i, point[inside]] = own[inside]
+                    scores += asked @ held
+                    asked[query[rows], column], held[place[inside] - i, point[inside]] = 1, 1
+                    shares += asked.astype(np.float32) @ held.astype(np.float32)
+                scores[shares == 0] = -np.inf
+                q, k, found = value(names, scores)
+                yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q.tolist()], known_kind(query_kind)), b.column(0).take(pa.array(k)), pa.array(found)], names=["query_id", "id", "score"])
+
+        return plain.mapInArrow(run, schema)
+
+    found = points.sparkSession.createDataFrame([], schema)
+    for names, *rest in _postings_of(queries):
+        if names:
+            found = found.unionByName(block(names, *rest))
+    return found
+
+
+def known_kind(name: str) -> pa.DataType:
+    return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[name]
+
+
+def _best_of(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best columns of each row, of equal scores the first, without those that are not finite."""
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    query, score = np.repeat(np.arange(len(scores)), best.shape[1]), np.take_along_axis(scores, best, 1).ravel()
+    there = np.isfinite(score)
+    return query[there], best.ravel()[there], score[there]
+
+
 def sparse_search(queries: DataFrame, points: DataFrame, k: int, cut: bool = True) -> DataFrame:
-    """RET-2, JOIN-14: the k points (id, weights: map) of greatest dot product over shared tokens; queries and points without tokens find nothing."""
-    q = queries.select("query_id", F.explode("weights").alias("token", "wq"))
-    p = points.select("id", F.explode("weights").alias("token", "wp"))
-    found = q.join(p, "token").groupBy("query_id", "id").agg(F.round(F.sum(F.col("wq") * F.col("wp")), 4).alias("score"))
+    """RET-2, JOIN-14: the k points (id, weights: map) of greatest dot product over shared tokens; queries and points without tokens find nothing.
+
+    Queries go in blocks of QUERY_BLOCK, which are what is collected and broadcast; k rows a batch and query are shuffled.
+    """
+    found = _sparse_scores(queries, points, lambda names, scores: _best_of(np.round(scores, 4), k))
     return top(found, k) if cut else found
 
 
@@ -213,18 +294,30 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 50) -> DataFrame:
     """RET-16: scores relative to the query's best, those above 0, the k best of each query; queries (query_id, text), docs (id, text).
 
     Tokens count once a document. A token in more than half of the documents weighs EPSILON times the mean of all tokens' idf.
+    Texts are cut into tokens once; a score is the sum of the shared tokens' idf times a factor of the document's length.
     """
-    sized = docs.select("id", F.size(bm25_tokens(F.coalesce("text", F.lit("")))).alias("n"))
-    total = sized.agg(F.count("*").alias("n_docs"), F.avg("n").alias("average"))
-    rows = postings(docs)
-    idf = rows.groupBy("token").agg(F.count("*").alias("df")).join(total, F.lit(True)).withColumn("raw", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = idf.agg(F.avg("raw").alias("mean"))
-    idf = idf.join(mean, F.lit(True)).select("token", "average", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    asked = queries.select("query_id", F.explode(bm25_tokens(F.coalesce("text", F.lit("")))).alias("token"))
-    part = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("n_tokens") / F.col("average")))
-    scored = asked.join(idf, "token").join(rows, "token").groupBy("query_id", "id").agg(F.sum(part).alias("raw"))
-    best = F.max("raw").over(Window.partitionBy("query_id"))
-    return top(scored.withColumn("score", F.when(best > 0, F.col("raw") / best)).where("raw > 0").select("query_id", "id", F.round("score", 4).alias("score")), k)
+    text = F.coalesce("text", F.lit(""))
+    cut = checkpointed(spread(docs.select("id", "text")).select("id", bm25_tokens(text).alias("tokens")), "bm25")
+    total = cut.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("average")).first()
+    if not total.n:
+        return queries.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, score double, place int")
+    df = cut.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    idf = checkpointed(df.select("token", F.log((total.n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw")), "idf")
+    mean = idf.agg(F.avg("raw")).first()[0] or 0.0
+    asked = queries.select("query_id", F.explode(bm25_tokens(text)).alias("token")).join(idf, "token")
+    weight = F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw"))
+    asked = checkpointed(asked.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("token", weight.alias("w")))).alias("weights")), "asked")
+    factor = (K1 + 1) / (1 + K1 * (1 - B + B * F.size("tokens") / (total.average or 1.0)))
+    points = cut.select("id", F.map_from_entries(F.transform("tokens", lambda t: F.struct(t, factor.alias("f")))).alias("weights"))
+    # The best of each query first: places are by scores relative to it, rounded.
+    best = {r.query_id: r.best for r in _sparse_scores(asked, points, lambda names, scores: _best_of(scores, 1)).groupBy("query_id").agg(F.max("score").alias("best")).collect()}
+
+    def relative(names, scores):
+        top_scores = np.array([best[x] for x in names])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return _best_of(np.where(scores > 0, np.round(scores / top_scores[:, None], 4), -np.inf), k)
+
+    return top(_sparse_scores(asked, points, relative), k)
 
 
 def hashed_embedding(text: Column, dim: int = 64) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as T
 from codeloom.operators import retrieval as R
 from codeloom.operators.graph import CALLS
+from codeloom.sources.work import spread
 
 
 def intents(queries: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def intents(queries: DataFrame) -> DataFrame:
 def index_of(chunks: DataFrame, dim: int = 64) -> DataFrame:
     """Chunks with their default dense vector and sparse weights."""
     tokens = R.bm25_tokens(F.coalesce("text", F.lit("")))
-    return chunks.withColumns({"vector": R.hashed_embedding(F.col("text"), dim), "weights": F.map_from_entries(F.transform(tokens, lambda t: F.struct(t, F.lit(1.0))))})
+    return spread(chunks).withColumns({"vector": R.hashed_embedding(F.col("text"), dim), "weights": F.map_from_entries(F.transform(tokens, lambda t: F.struct(t, F.lit(1.0))))})
 
 
 def by_generated_text(texts: DataFrame, index: DataFrame, k: int, cut: bool = True) -> DataFrame:
@@ -55,13 +56,24 @@ def search(queries: DataFrame, index: DataFrame, nodes: DataFrame | None, top_k:
     return R.top(R.deduplicate(scored), top_k)
 
 
-def results(ranked: DataFrame, methods: DataFrame, edges: DataFrame) -> DataFrame:
-    """RET-12: ranked rows with a snippet and the numbers of their callers and callees."""
+def results(ranked: DataFrame, methods: DataFrame, edges: DataFrame, key: str = "id", most: int = 50) -> DataFrame:
+    """RET-12: ranked rows with a snippet of their code and their callers and callees, one call away, as sorted arrays of id and name.
+
+    The arrays of a row hold the first most by id; n_callers and n_callees count all. key is the column that names the method.
+    """
     calls = edges.where(F.col("edge_type") == CALLS).select("src", "dst").distinct()
-    up = calls.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n_callers"))
-    down = calls.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_callees"))
-    zero = F.lit(0).cast("long")
-    return ranked.join(up, "id", "left").join(down, "id", "left").select("query_id", "id", F.col("place").cast("long").alias("place"), F.substring("signature", 1, 3000).alias("snippet"), F.coalesce("n_callers", zero).alias("n_callers"), F.coalesce("n_callees", zero).alias("n_callees"))
+    asked = ranked.where(F.col(key).isNotNull()).select(F.col(key).alias("of")).distinct()
+    names = methods.select(F.col("id").alias("other"), F.col("name").alias("other_name"))
+
+    def beside(at: str, other: str, n: str, listed: str) -> DataFrame:
+        pairs = calls.join(asked, calls[at] == asked["of"]).select("of", F.col(other).alias("other")).join(names, "other", "left")
+        placed = pairs.withColumn("k", F.row_number().over(Window.partitionBy("of").orderBy("other")))
+        return placed.groupBy("of").agg(F.count("*").alias(n), F.array_sort(F.collect_list(F.when(F.col("k") <= most, F.struct(F.col("other").alias("id"), F.col("other_name").alias("name"))))).alias(listed))
+
+    rows = ranked.join(beside("dst", "src", "n_callers", "callers").withColumnRenamed("of", key), key, "left").join(beside("src", "dst", "n_callees", "callees").withColumnRenamed("of", key), key, "left")
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<struct<id:string,name:string>>")
+    own = [c for c in ranked.columns if c not in ("code", "place")]
+    return rows.select(*own, F.col("place").cast("long").alias("place"), F.substring("code", 1, 3000).alias("snippet"), *[F.coalesce(c, zero).alias(c) for c in ("n_callers", "n_callees")], *[F.coalesce(c, none).alias(c) for c in ("callers", "callees")])
 
 
 def context_blocks(ranked: DataFrame, most: int = 5, tokens: int = 700) -> DataFrame:

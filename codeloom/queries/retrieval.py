@@ -9,6 +9,7 @@ from codeloom.operators import retrieval as R
 from codeloom.plans import models as M
 from codeloom.plans import search as P
 from codeloom.queries.shapes import duck, shape
+from codeloom.sources.work import checkpointed, spread
 
 QUERIES: dict = {}
 
@@ -39,7 +40,7 @@ QUERIES["top8_similar_capped"] = (lambda s, d: R.similar_code(points(s, d), 50,
 def _sparse(s, d):
     """Word counts of documents and of first turns, words as tokens."""
     weights = lambda c: F.map_from_entries(F.transform(F.array_distinct(T.bm25_tokens(c)), lambda t: F.struct(t, F.length(t).cast("double"))))
-    docs = shape(s, d, "chunks").select("id", weights(F.col("text")).alias("weights"))
+    docs = spread(shape(s, d, "chunks").select("id", "text")).select("id", weights(F.col("text")).alias("weights"))
     queries = shape(s, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), weights(F.col("text")).alias("weights"))
     return queries, docs
 
@@ -55,11 +56,11 @@ def _bm25(s, d):
     return R.bm25(queries, shape(s, d, "chunks").select("id", "text"), 10).select("query_id", "id", "score")
 
 
-QUERIES["ret16_bm25"] = (lambda s, d: _bm25(s, d).groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.round(F.sum("score") * 10000).cast("long").alias("total")), f"""WITH {_POST}, n AS (SELECT id, count(*) AS n_tokens FROM p GROUP BY 1), t AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n_docs, (SELECT count(*) FROM p)::DOUBLE / (SELECT count(*) FROM documents) AS average),
+QUERIES["ret16_bm25"] = (_bm25, f"""WITH {_POST}, n AS (SELECT id, count(*) AS n_tokens FROM p GROUP BY 1), t AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n_docs, (SELECT count(*) FROM p)::DOUBLE / (SELECT count(*) FROM documents) AS average),
     i AS (SELECT token, ln((n_docs - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM p, t GROUP BY token, n_docs), w AS (SELECT token, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM i) ELSE raw END AS idf FROM i),
     s AS (SELECT query_id, id, sum(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * n_tokens / average))) AS raw FROM q JOIN p USING (token) JOIN w USING (token) JOIN n USING (id), t GROUP BY 1, 2),
     r AS (SELECT query_id, id, round(raw / max(raw) OVER (PARTITION BY query_id), 4) AS score, raw FROM s), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM r WHERE raw > 0)
-    SELECT query_id, count(*) AS n, max(score) AS best, round(sum(score) * 10000)::BIGINT AS total FROM z WHERE k <= 10 GROUP BY 1""")
+    SELECT query_id, id, score FROM z WHERE k <= 10""")
 QUERIES["src18_postings"] = (lambda s, d: R.postings(shape(s, d, "chunks").select("id", "text")).groupBy("token").agg(F.count("*").alias("df"), F.max("n_tokens").cast("long").alias("longest")), f"WITH {_POST}, n AS (SELECT id, count(*) AS n_tokens FROM p GROUP BY 1) SELECT token, count(*) AS df, max(n_tokens) AS longest FROM p JOIN n USING (id) GROUP BY 1")
 _RRF = "pl AS (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, id) AS place FROM ranked), f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + place)), 6) AS score FROM pl GROUP BY 1, 2)"
 QUERIES["ret4_rrf"] = (lambda s, d: R.rrf(shape(s, d, "ranked")), duck(f"+{_RRF} SELECT query_id, id, score FROM f", "ranked"))
@@ -138,7 +139,7 @@ QUERIES["top5_first_of_symbol"] = (lambda s, d: R.first_of_symbol(_ranked_chunks
 QUERIES["top6_drop_overlaps"] = (lambda s, d: R.drop_overlaps(_ranked_chunks(s, d)).select("query_id", "id"), None)
 QUERIES["join15_overlapping_pairs"] = (lambda s, d: P.overlapping_pairs(_ranked_chunks(s, d)), duck("SELECT a.language AS query_id, count(*) AS n FROM chunks a JOIN chunks b ON a.language = b.language AND a.file_path = b.file_path AND a.id < b.id AND a.line_start <= b.line_end AND b.line_start <= a.line_end AND (least(a.line_end, b.line_end) - greatest(a.line_start, b.line_start) + 1)::DOUBLE / greatest(least(a.line_end - a.line_start + 1, b.line_end - b.line_start + 1), 1) > 0.4 GROUP BY 1", "chunks"))
 QUERIES["ret11_deduplicate"] = (lambda s, d: R.deduplicate(_ranked_chunks(s, d)).select("query_id", "id", "score"), None)
-QUERIES["ret12_results"] = (lambda s, d: P.results(R.top(_scored(s, d).withColumn("score", F.col("rrf")), 10), shape(s, d, "methods"), shape(s, d, "edges")), duck(f"+{_ALL}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS place FROM sc) WHERE place <= 10) SELECT t.query_id, t.id, t.place, left(t.signature, 3000) AS snippet, count(DISTINCT a.src) AS n_callers, count(DISTINCT b.dst) AS n_callees FROM t LEFT JOIN edges a ON a.dst = t.id LEFT JOIN edges b ON b.src = t.id GROUP BY ALL", *_GNAMES))
-QUERIES["ret13_search"] = (lambda s, d: P.search(_benchmark(s, d), P.index_of(shape(s, d, "chunks")), _nodes(s, d), 10, hypotheses=_hypotheses(s, d)).select("query_id", "id", "score"), None)
+QUERIES["ret12_results"] = (lambda s, d: P.results(R.top(_scored(s, d).withColumn("score", F.col("rrf")), 10).withColumn("code", F.col("signature")), shape(s, d, "methods"), shape(s, d, "edges")).select("query_id", "id", "place", "snippet", "n_callers", "n_callees", *[F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["id"], x["name"])), ",").alias(c) for c in ("callers", "callees")]), duck(f"+{_ALL}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS place FROM sc) WHERE place <= 10), e AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type = 'CALLS'), u AS (SELECT e.dst AS id, count(*) AS n, string_agg(m.id || ':' || m.name, ',' ORDER BY m.id) AS names FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src) AS k FROM e) e JOIN methods m ON m.id = e.src WHERE k <= 50 GROUP BY 1), un AS (SELECT dst AS id, count(*) AS n FROM e GROUP BY 1), w AS (SELECT e.src AS id, string_agg(m.id || ':' || m.name, ',' ORDER BY m.id) AS names FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS k FROM e) e JOIN methods m ON m.id = e.dst WHERE k <= 50 GROUP BY 1), wn AS (SELECT src AS id, count(*) AS n FROM e GROUP BY 1) SELECT t.query_id, t.id, t.place, left(t.signature, 3000) AS snippet, coalesce(un.n, 0) AS n_callers, coalesce(wn.n, 0) AS n_callees, coalesce(u.names, '') AS callers, coalesce(w.names, '') AS callees FROM t LEFT JOIN u USING (id) LEFT JOIN un USING (id) LEFT JOIN w USING (id) LEFT JOIN wn USING (id)", *_GNAMES))
+QUERIES["ret13_search"] = (lambda s, d: P.search(_benchmark(s, d), checkpointed(P.index_of(shape(s, d, "chunks")), "index"), _nodes(s, d), 10, hypotheses=_hypotheses(s, d)).select("query_id", "id", "score"), None)
 QUERIES["ret17_context_block"] = (lambda s, d: P.context_blocks(shape(s, d, "chunks").select(F.col("language").alias("query_id"), "id", (F.length("text") / 1e6).alias("score"), "file_path", "line_start", "line_end", "text"), 5, 700), duck("""+r AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY length(text) DESC, id) AS k FROM chunks) SELECT language AS query_id, string_agg('### ' || file_path || ':' || line_start || '-' || line_end || chr(10) || left(text, 2100), chr(10) || chr(10) ORDER BY k) AS block FROM r WHERE k <= 5 GROUP BY 1""", "chunks"))
 QUERIES["ret19_embedding"] = (lambda s, d: shape(s, d, "chunks").select("id", R.hashed_embedding(F.col("text"), 8).alias("v")).select("id", F.size("v").cast("long").alias("dim")), duck("SELECT id, 8::BIGINT AS dim FROM chunks", "chunks"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,10 @@ _own: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a folder of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset, a folder of our own, which only a local master can share."""
     top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (top or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="codeloom-work-"))).rstrip("/")
 
 
@@ -20,3 +23,9 @@ def checkpointed(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_dir(df.sparkSession)}/codeloom-work/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it comes in fewer pieces than there are cores: a small table whose rows cost much to compute. Larger tables are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
