@@ -25,7 +25,7 @@ SKIP_DIRS = [
     ".git", ".svn", ".hg", "CVS", "cvs", "node_modules", "bower_components", "jspm_packages", "__pycache__", ".venv", "venv", "env",
     "site-packages", ".tox", ".nox", "target", "build", "dist", ".gradle", ".idea", ".vscode", "out", "bin", ".cache", ".mypy_cache",
     ".pytest_cache", "cmake-build-debug", "cmake-build-release", "classes", "work", "vendor", "vendors", "third_party", "thirdparty",
-    "external", "externals", "deps", "Pods", "Carthage", "img", "imgs", "images",
+    "external", "externals", "deps", "Pods", "Carthage", ".bundle", "webjars", "img", "imgs", "images",
 ]
 SKIP_FILES = [
     ".ds_store", "thumbs.db", ".gitignore", ".gitattributes", "pom.xml", "web.xml", "logback.xml", "logback-spring.xml", "log4j.xml",
