@@ -6,9 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import estimate_tokens, markdown_language, symbol_label, truncate_code
+from codeloom.plans.models import Model, no_model, picked_symbols
 
 #: Added to an answer that was cut; a cut answer keeps more than so many tokens.
 CUT_MARK, LEAST_CUT = "…(cut)", 100
+#: Prompts where the caller brings none.
+TEMPLATES = {
+    "summary": "Sum up {file_path} L{line_start}-L{line_end} ({language}).\n{call_context}\n{code}",
+    "bug": "Find bugs in {file_path} ({language}); answer with a JSON array.\n{call_context}\n{code}",
+    "deps": "What does {file_path} L{line_start}-L{line_end} depend on?\n{call_context}\n{code}",
+    "docs": "Write documents for {file_path} ({language}).\n{call_context}\n{code}",
+}
 
 
 def trim_history(turns: DataFrame, budget: int) -> DataFrame:
@@ -92,10 +100,10 @@ def budgets(has_repo_context: Column) -> tuple[Column, Column]:
     return F.when(has_repo_context, 5000).otherwise(8000), F.when(has_repo_context, 6000).otherwise(8000)
 
 
-def chat_messages(requests: DataFrame, turns: DataFrame, system: str, budget: int = 8000) -> DataFrame:
-    """LLM-5, LLM-6: system message, trimmed history and question of each request (conv_id, question, code), as one array."""
+def chat_messages(requests: DataFrame, turns: DataFrame, system: str, budget: int = 8000, code_budget: int | None = None) -> DataFrame:
+    """LLM-5, LLM-6: system message, trimmed history and question of each request (conv_id, question, code), as one array; budgets in tokens of the history and of the code."""
     kept = trim_history(turns, budget).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("history"))
-    code, _ = truncate_code(F.col("code"), budget)
+    code, _ = truncate_code(F.col("code"), code_budget or budget)
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))
     history = F.transform(F.coalesce("history", F.array().cast("array<struct<turn:bigint,role:string,text:string>>")), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text")))
     return requests.join(kept, "conv_id", "left").select("conv_id", F.concat(F.array(message("system", F.replace(F.lit(system), F.lit("{code}"), F.coalesce(code, F.lit(""))))), history, F.array(message("user", F.coalesce("question", F.lit(""))))).alias("messages"))
@@ -106,6 +114,32 @@ def injects_code(intent: Column, related: Column) -> Column:
     return ~((intent == "chat") & ~related)
 
 
+def smart_resolve(rows: DataFrame, symbols: DataFrame, model: Model = no_model, most_tokens: int = 6000) -> DataFrame:
+    """LLM-7: code and symbols (ids) for each question (conv_id, turn, text, code, intent) about a file with these symbols (id, name, class_name, file_path, line_start, line_end).
+
+    A file that is short enough goes whole, and so do questions about impact or similar code. Of a longer one the symbols
+    that the question names are taken; if it names none, those that the model picks from the numbered list. Their lines go
+    under headers, cut to the budget; where nothing is found, the file itself is cut.
+    """
+    keys = ["conv_id", "turn"]
+    long = rows.where(needs_narrowing(F.col("code"), F.col("intent")))
+    named = match_symbols(long.select(*keys, "text"), symbols).join(symbols.select("id", "name"), "name").select(*keys, "id")
+    listed = symbol_list(symbols)
+    order = Window.partitionBy("file_path").orderBy("line_start", "id")
+    numbered = symbols.select("id", "file_path", F.row_number().over(order).alias("k"))
+    rest = long.join(named.select(*keys).distinct(), keys, "left_anti")
+    asked = rest.crossJoin(F.broadcast(listed.limit(1))).select(F.struct(*keys).alias("id"), F.col("text").alias("question"), "listing", F.size(F.split("listing", "\n")).alias("n"))
+    picked = picked_symbols(asked, model).select("id.conv_id", "id.turn", F.explode("picked").alias("k")).join(numbered, "k").select(*keys, "id")
+    found = named.union(picked).distinct().join(symbols, "id").join(long.select(*keys, "code"), keys)
+    pieces = symbol_code(found.select(F.struct(*keys, "line_start", "id").alias("id"), F.col("code").alias("text"), "line_start", "line_end", "class_name", "name"))
+    joined = pieces.groupBy("id.conv_id", "id.turn").agg(F.array_sort(F.collect_list(F.struct("id.line_start", F.col("id.id").alias("symbol"), "code"))).alias("x"))
+    joined = joined.select(*keys, F.transform("x", lambda x: x["symbol"]).alias("symbols"), F.array_join(F.transform("x", lambda x: x["code"]), "\n\n").alias("narrow"))
+    both = rows.join(joined, keys, "left")
+    code, _ = truncate_code(F.coalesce("narrow", "code"), most_tokens)
+    whole = ~needs_narrowing(F.col("code"), F.col("intent"))
+    return both.select(*keys, "text", "intent", F.when(whole, F.col("code")).otherwise(code).alias("code"), F.coalesce("symbols", F.array().cast("array<string>")).alias("symbols"))
+
+
 def needs_narrowing(code: Column, intent: Column) -> Column:
     """LLM-7: whether a file is so long that the symbols asked about are looked for."""
     return (estimate_tokens(code) > 6000) & ~intent.isin("similar", "impact")

@@ -29,10 +29,25 @@ def _messages(s, d):
     return C.chat_messages(asked, turns, "Code:\n{code}", 700).select("conv_id", F.size("messages").cast("long").alias("n"), F.col("messages")[0]["text"].alias("system"), F.element_at("messages", -1)["text"].alias("question"))
 
 
+def _resolved(s, d):
+    """Questions about one long file, whose symbols are those of the first file; the model picks the first."""
+    symbols = shape(s, d, "methods")
+    symbols = symbols.join(F.broadcast(symbols.agg(F.min("file_path").alias("file_path"))), "file_path", "left_semi")
+    asked = shape(s, d, "chats").where("role = 'user'").select("conv_id", "turn", "text", F.repeat(F.concat("text", F.lit("\n")), 400).alias("code"), F.lit("chat").alias("intent"))
+    found = C.smart_resolve(asked, symbols, lambda p: ["1"] * len(p))
+    return found.join(asked.select("conv_id", "turn", F.col("code").alias("whole")), ["conv_id", "turn"]).select("conv_id", "turn", C.needs_narrowing(F.col("whole"), F.col("intent")).alias("narrowed"), F.array_join("symbols", ",").alias("symbols"))
+
+
 QUERIES["llm5_chat_messages"] = (_messages, None)
 QUERIES["llm6_plain_chat"] = (lambda s, d: _messages(s, d).select("conv_id", "question"), duck("SELECT conv_id, arg_max(text, turn) AS question FROM chats GROUP BY 1", "chats"))
 QUERIES["llm8_code_gating"] = (lambda s, d: shape(s, d, "chats").select("conv_id", "turn", C.injects_code(T.chat_intent(F.col("text")), T.is_code_related(F.col("text"))).alias("inject")), None)
 QUERIES["str1_events"] = (lambda s, d: E.answer_events(shape(s, d, "chats")), duck("""SELECT conv_id, turn, seq, kind FROM chats CROSS JOIN (VALUES (0, 'intent'), (1, 'text'), (2, 'done')) v(seq, kind) WHERE role = 'user'""", "chats"))
+QUERIES["llm7_smart_resolve"] = (_resolved, duck("""+q AS (SELECT conv_id, turn, text, repeat(text || chr(10), 400) AS code FROM chats WHERE role = 'user'), y AS (SELECT * FROM methods WHERE file_path = (SELECT min(file_path) FROM methods)),
+    m AS (SELECT DISTINCT q.conv_id, q.turn, y.name FROM q JOIN y ON contains(lower(q.text), lower(y.name)) WHERE y.name <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(name) DESC, name) AS k FROM m),
+    n AS (SELECT DISTINCT r.conv_id, r.turn, y.id, y.line_start FROM r JOIN y USING (name) WHERE k <= 5), z AS (SELECT *, row_number() OVER (ORDER BY line_start, id) AS k FROM y), long AS (SELECT * FROM q WHERE length(code) // 3 > 6000),
+    p AS (SELECT l.conv_id, l.turn, z.id, z.line_start FROM long l JOIN z ON z.k = 1 WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.conv_id = l.conv_id AND n.turn = l.turn)),
+    f AS (SELECT n.* FROM n JOIN long USING (conv_id, turn) UNION ALL SELECT * FROM p)
+    SELECT q.conv_id, q.turn, length(q.code) // 3 > 6000 AS narrowed, coalesce(string_agg(f.id, ',' ORDER BY f.line_start, f.id), '') AS symbols FROM q LEFT JOIN f USING (conv_id, turn) GROUP BY ALL""", "chats", "methods"))
 QUERIES["str2_docs_events"] = (lambda s, d: E.docs_events(shape(s, d, "methods")), duck("""+c AS (SELECT file_path, class_name, row_number() OVER (PARTITION BY file_path ORDER BY min(line_start), class_name) AS k FROM methods GROUP BY 1, 2), n AS (SELECT file_path, max(k) AS n FROM c GROUP BY 1)
     SELECT file_path, 0::BIGINT AS seq, 'header' AS kind, '' AS class_name FROM n UNION ALL SELECT file_path, 2 * k - 1, 'progress', class_name FROM c UNION ALL SELECT file_path, 2 * k, 'text', class_name FROM c UNION ALL SELECT file_path, 2 * n + 1, 'done', '' FROM n""", "methods"))
 QUERIES["str3_frames"] = (lambda s, d: E.parse_frames(E.frames(shape(s, d, "events").select("user_id", "event_id", "event_type"))), "SELECT user_id, event_id, event_type FROM events")
@@ -41,7 +56,7 @@ QUERIES["par1_parse_files"] = (lambda s, d: PR.parse_files(shape(s, d, "pages").
 QUERIES["par5_has_body"] = (lambda s, d: shape(s, d, "documents").select("doc_id", PR.solid_lines(F.col("text")).alias("n")), "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '' AND trim(l) NOT IN ('{', '}') AND NOT starts_with(trim(l), '*') AND NOT starts_with(trim(l), '//') AND NOT starts_with(trim(l), '/*') AND NOT starts_with(trim(l), '@')))::BIGINT AS n FROM documents")
 QUERIES["par9_structured_text"] = (lambda s, d: PR.structured_column(shape(s, d, "methods")), duck("SELECT id, '[FILE] ' || file_path || CASE WHEN class_name <> '' THEN chr(10) || '[CLASS] ' || class_name ELSE '' END || chr(10) || '[METHOD] ' || name || chr(10) || '[SIGNATURE] ' || signature || chr(10) || chr(10) || signature || ' {}' AS text FROM methods", "methods"))
 QUERIES["par10_signature"] = (lambda s, d: shape(s, d, "methods").select("id", PR.signature_of(F.concat("signature", F.lit(" { body }"))).alias("signature")), duck("SELECT id, signature FROM methods", "methods"))
-QUERIES["par11_annotations"] = (lambda s, d: shape(s, d, "methods").select("id", F.array_join(PR.annotations_of(F.concat_ws("\n", F.lit("@A"), F.concat(F.lit("@"), "class_name"), F.lit("@A x"), "signature")), ",").alias("notes")), duck("SELECT id, CASE WHEN class_name <> '' THEN '@A,@' || class_name ELSE '@A' END AS notes FROM methods", "methods"))
+QUERIES["par11_annotations"] = (lambda s, d: shape(s, d, "methods").select("id", F.array_join(PR.annotations_of(F.concat_ws("\n", F.lit("@A"), F.concat(F.lit("@"), "class_name", F.lit("(value = 'a, b', n = 1) @Open(x")), F.lit("@A x) @B()"), "signature")), ",").alias("notes")), duck("SELECT id, CASE WHEN class_name <> '' THEN '@A,@' || class_name || '(value = ''a, b'', n = 1),@Open,@B()' ELSE '@A,@Open,@B()' END AS notes FROM methods", "methods"))
 QUERIES["par16_distinct_calls"] = (lambda s, d: shape(s, d, "calls").groupBy("caller").agg(F.array_sort(F.collect_list(F.struct("pos", "ref"))).alias("c")).select("caller", F.array_join(F.slice(F.array_distinct(F.transform("c", lambda x: x["ref"])), 1, 8), ",").alias("calls")), duck("SELECT caller, array_to_string(list(ref ORDER BY pos, ref)[1:8], ',') AS calls FROM calls GROUP BY 1", "calls"))
 QUERIES["par21_token_count"] = (lambda s, d: shape(s, d, "documents").select("doc_id", PR.token_count(F.col("text")).alias("n")), "SELECT doc_id, len(regexp_extract_all(text, '[\\pL\\pN\\pM_]+|[^\\pL\\pN\\pM_\\s]'))::BIGINT AS n FROM documents")
 QUERIES["par22_symbol_ids"] = (lambda s, d: PR.with_ids(shape(s, d, "methods").select("repo_id", "file_path", "is_primary", F.row_number().over(PR.by_file()).alias("pos"), F.col("id").alias("text"))).groupBy("repo_id", "file_path").agg(F.countDistinct("symbol_id").alias("n_symbols"), F.count_if("is_primary").alias("n_primary")), duck("SELECT repo_id, file_path, count_if(is_primary)::BIGINT AS n_symbols, count_if(is_primary)::BIGINT AS n_primary FROM methods GROUP BY 1, 2", "methods"))

@@ -89,3 +89,52 @@ def test_models(spark):
     assert M.picked_symbols(rows, lambda p: ["2, 9, 3"]).first().picked == [2, 3]
     turns = spark.createDataFrame([(1, i, "user", "x") for i in range(30)], "conv_id bigint, turn bigint, role string, text string")
     assert M.legacy_messages(turns).count() == 20
+
+
+def test_analysis_and_documents(spark, repo, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/engine")
+    rid = e.register_repo(repo, "orders", ["gen"])
+    before = e.get_repo(rid)["updated_at"]
+    assert before is not None
+    e.index_repo(rid)
+    assert e.get_repo(rid)["updated_at"] > before and list(e.progress(rid, every=0)) == [DONE]
+    found = e.search(rid, "save order", text_model=lambda prompts: ["orderRepo insert order save"] * len(prompts)).collect()
+    save = next(r for r in found if r.symbol == "save")
+    assert [c.name for c in save.callers] == ["submit"] and save.n_callers == 1 and {"insert"} <= {c.name for c in save.callees} and "{" in save.snippet
+    prompts = []
+
+    def model(asked):
+        prompts.extend(asked)
+        return ["an answer"] * len(asked)
+
+    code = "\n".join(CONTROLLER.splitlines())
+    events = e.analyze(rid, "custom", code, model, "src/OrderController.java", 4, 7, "what breaks if I change submit?", [{"role": "user", "text": "hello"}, {"role": "assistant", "text": "hi"}])
+    assert [x["kind"] for x in events][0] == "intent" and [x["kind"] for x in events][-2:] == ["text", "done"]
+    assert "submit" in prompts[-1] and "assistant: hi" in prompts[-1] and prompts[-1].endswith("change submit?")
+    long = code + "\n// filler of a file that is too long to go whole" * 2000
+    events = e.analyze(rid, "custom", long, model, "src/OrderController.java", 1, 9, "explain the validate method, please")
+    (resolved,) = [x for x in events if x["kind"] == "smart_resolve"]
+    assert len(resolved["symbols"]) == 1 and "validate" in prompts[-1] and "filler" not in prompts[-1]
+    assert [x["kind"] for x in e.analyze(rid, "summary", code, model, "src/OrderController.java")] == ["intent", "text", "done"] and "class OrderController" in prompts[-1]
+
+    def down(asked):
+        raise OSError("down")
+
+    assert e.analyze(rid, "bug", code, down, "a.java")[-1] == {"kind": "error", "message": "down"}
+    for bad in (("nothing", code), ("bug", "  ")):
+        with pytest.raises(ValueError):
+            e.analyze(rid, *bad, model)
+    docs = e.file_docs(rid, "src/OrderController.java", model)
+    assert [x["kind"] for x in docs] == ["header", "progress", "text", "done"] and docs[2]["text"] == "an answer" and "public void submit" in prompts[-1]
+    assert e.file_docs(rid, "src/OrderController.java", down)[-1]["kind"] == "error"
+
+
+def test_a_writer_that_finds_its_version_taken(spark, repo, tmp_path, monkeypatch):
+    e = Engine(spark, f"file://{tmp_path}/engine")
+    rid = e.register_repo(repo, "first")
+    versions, real = [0], Engine._version
+    monkeypatch.setattr(Engine, "_version", lambda self: versions.pop() if versions else real(self))
+    e._set(rid, indexed=3)  # believes that there is no version yet, finds the first taken, and goes on from it
+    assert e.get_repo(rid)["indexed"] == 3 and e.get_repo(rid)["name"] == "first"
+    os.makedirs(tmp_path / "engine/repos/v9")  # a writer that died
+    assert e.get_repo(rid)["name"] == "first"
