@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom.sources.work import checkpointed
 
-#: Centres that one layout is asked for, at most.
+#: Centres that are handled together, about.
 MOST_CENTRES = 100
 CALLS, IMPLEMENTS, BELONGS_TO = "CALLS", "IMPLEMENTS", "BELONGS_TO"
 
@@ -199,10 +199,14 @@ def layers(nodes: DataFrame, edges: DataFrame, centres: DataFrame, depth: int =
     starts = own.select(F.col("centre").alias("start"), F.col("centre").alias("node"))
     down = reach(starts, edges, depth, backwards=False).withColumnRenamed("hop", "down")
     up = reach(starts, edges, depth).withColumnRenamed("hop", "up")
-    few = [r.centre for r in own.limit(MOST_CENTRES + 1).collect()]
-    if len(few) > MOST_CENTRES:
-        raise ValueError(f"more than {MOST_CENTRES} centres")
-    # Every (centre, node) pair is the result asked for; centres are few and stand in the nodes' rows as one array.
-    listed = nodes.select(F.col("id").alias("node")).distinct().withColumn("start", F.explode(F.array(*[F.lit(c) for c in few])))
+    # Every (centre, node) pair is the result asked for. Centres stand in the nodes' rows as arrays, a block of them after another.
+    blocks, listed = -(-own.count() // MOST_CENTRES), None
+    for k in range(blocks):
+        few = [r.centre for r in own.where(F.pmod(F.xxhash64("centre"), F.lit(blocks)) == k).collect()]
+        if few:
+            pairs = nodes.select(F.col("id").alias("node")).distinct().withColumn("start", F.explode(F.array(*[F.lit(c) for c in few])))
+            listed = pairs if listed is None else listed.unionByName(pairs)
+    if listed is None:
+        listed = nodes.select(F.col("id").alias("node"), F.col("id").alias("start")).limit(0)
     out = listed.join(down, ["start", "node"], "left").join(up, ["start", "node"], "left")
     return out.select(F.col("start").alias("centre"), "node", F.when(F.col("start") == F.col("node"), 0).otherwise(F.coalesce("down", -F.col("up"), F.lit(0))).alias("layer"))

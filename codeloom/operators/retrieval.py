@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -290,6 +290,23 @@ def postings(docs: DataFrame) -> DataFrame:
     return tokens.select("id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token"))
 
 
+def save_postings(docs: DataFrame, path: str) -> None:
+    """SRC-18: writes postings() in place of those at path."""
+    postings(docs).write.mode("overwrite").parquet(path)
+
+
+def load_postings(spark: SparkSession, path: str) -> DataFrame | None:
+    """SRC-18: the postings at path; None if there are none, or none that were written to the end."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return spark.read.parquet(path) if p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p) else None
+
+
+def drop_postings(spark: SparkSession, path: str) -> None:
+    """SRC-18: what an index that is built anew makes invalid."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 50) -> DataFrame:
     """RET-16: scores relative to the query's best, those above 0, the k best of each query; queries (query_id, text), docs (id, text).
 

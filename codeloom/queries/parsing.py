@@ -82,7 +82,7 @@ def _per_text(spark, d, function, kind: str) -> DataFrame:
 
 QUERIES["par4_brace_end"] = (lambda spark, d: _per_text(spark, d, lambda t: P.brace_end(["f {", "x {", "}", "}", *t.split("\n")], 0, 9), "bigint"), "SELECT doc_id, 3::BIGINT AS found FROM documents")
 QUERIES["par7_windows"] = (lambda spark, d: _per_text(spark, d, lambda t: sum(c.is_primary for c in P.windows(t, max_tokens=400)), "bigint"), None)
-QUERIES["par12_leading_comment"] = (lambda spark, d: _per_text(spark, d, lambda t: P.leading_comment("/** " + t.split("\n")[0].strip() + "\n * b\n */\n// c\n// d\nx"), "string"), None)
+QUERIES["par12_leading_comment"] = (lambda spark, d: _per_text(spark, d, lambda t: P.leading_comment("/**\n" + "\n".join(f" * {x}" for x in t.split("\n")) + "\n */\n@A\n// last\nx // after"), "string"), "SELECT doc_id, array_to_string(list_filter(list_append(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: trim(regexp_replace(l, '^[/*\\s]+', ''))), 'last'), lambda l: l <> '')[1:3], ' ') AS found FROM documents")
 QUERIES["par17_java_types"] = (lambda spark, d: shape(spark, d, "methods").select("id", F.lit("Repo repo; List<Foo> all = x; void f(Order o, int n) {}").alias("code")).mapInPandas(lambda it: (pd.DataFrame({"id": b["id"], "found": [",".join(f"{k}:{v}" for k, v in sorted(P.java_types(c).items())) for c in b["code"]]}) for b in it), "id string, found string"), duck("SELECT id, 'all:List,n:int,o:Order,repo:Repo' AS found FROM methods", "methods"))
 QUERIES["par18_js_types"] = (lambda spark, d: shape(spark, d, "methods").select("id", F.concat(F.lit("import { A as B, C } from 'x';\nimport D from 'y';\nconst "), "name", F.lit(" = require('z');")).alias("code")).mapInPandas(lambda it: (pd.DataFrame({"id": b["id"], "found": [",".join(f"{k}:{v}" for k, v in sorted(P.js_imports(c, P.Source(c).bare).items())) for c in b["code"]]}) for b in it), "id string, found string"), duck("SELECT id, 'B:A,C:C,D:D,' || name || ':' || name AS found FROM methods", "methods"))
 QUERIES["par19_type_precedence"] = (lambda spark, d: P.parse_files(sources(spark, d, "java").withColumn("source", F.replace("source", F.lit("check(o);"), F.lit("Other repo = x; repo.go(o);")))).selectExpr("file_path", "symbol", "cast(line_start as bigint) line_start", _CALLS), _expected("java", 4, 5, "name AS symbol, 'Other.' || name || ',Other.go' AS calls"))

@@ -40,8 +40,9 @@ def _resolved(s, d):
 
 QUERIES["llm5_chat_messages"] = (_messages, None)
 QUERIES["llm6_plain_chat"] = (lambda s, d: _messages(s, d).select("conv_id", "question"), duck("SELECT conv_id, arg_max(text, turn) AS question FROM chats GROUP BY 1", "chats"))
-QUERIES["llm8_code_gating"] = (lambda s, d: shape(s, d, "chats").select("conv_id", "turn", C.injects_code(T.chat_intent(F.col("text")), T.is_code_related(F.col("text"))).alias("inject")), None)
-QUERIES["str1_events"] = (lambda s, d: E.answer_events(shape(s, d, "chats")), duck("""SELECT conv_id, turn, seq, kind FROM chats CROSS JOIN (VALUES (0, 'intent'), (1, 'text'), (2, 'done')) v(seq, kind) WHERE role = 'user'""", "chats"))
+QUERIES["llm8_code_gating"] = (lambda s, d: shape(s, d, "chats").select("conv_id", "turn", C.injects_code(T.chat_intent(F.col("text")), T.is_code_related(F.col("text"))).alias("inject")), duck("SELECT conv_id, turn, (" + " OR ".join(f"contains(lower(text), '{w.lower()}')" for words in T.CHAT_WORDS.values() for w in words) + ") OR (length(text) >= 5 AND (" + " OR ".join(f"contains(lower(text), '{w.lower()}')" for w in T.CODE_WORDS) + ")) AS inject FROM chats", "chats"))
+QUERIES["str1_events"] = (lambda s, d: E.answer_events(shape(s, d, "chats").withColumns({"resolved": F.col("conv_id") % 2 == 0, "card": F.col("conv_id") % 3 == 0, "failed": F.col("turn") % 4 == 2})), duck("""+e AS (SELECT conv_id, turn, unnest(['intent', CASE WHEN conv_id % 2 = 0 THEN 'smart_resolve' END, CASE WHEN conv_id % 3 = 0 THEN 'card' END, CASE WHEN turn % 4 <> 2 THEN 'text' END, CASE WHEN turn % 4 <> 2 THEN 'done' END, CASE WHEN turn % 4 = 2 THEN 'error' END]) AS kind, unnest([0, 1, 2, 3, 4, 5]) AS k FROM chats WHERE role = 'user')
+    SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1)::INT AS seq, kind FROM e WHERE kind IS NOT NULL""", "chats"))
 QUERIES["llm7_smart_resolve"] = (_resolved, duck("""+q AS (SELECT conv_id, turn, text, repeat(text || chr(10), 400) AS code FROM chats WHERE role = 'user'), y AS (SELECT * FROM methods WHERE file_path = (SELECT min(file_path) FROM methods)),
     m AS (SELECT DISTINCT q.conv_id, q.turn, y.name FROM q JOIN y ON contains(lower(q.text), lower(y.name)) WHERE y.name <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(name) DESC, name) AS k FROM m),
     n AS (SELECT DISTINCT r.conv_id, r.turn, y.id, y.line_start FROM r JOIN y USING (name) WHERE k <= 5), z AS (SELECT *, row_number() OVER (ORDER BY line_start, id) AS k FROM y), long AS (SELECT * FROM q WHERE length(code) // 3 > 6000),

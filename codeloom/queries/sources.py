@@ -79,7 +79,7 @@ QUERIES["top3_logs"] = (lambda spark, d: T.latest(shape(spark, d, "history"), 50
 QUERIES["src10_cascade_delete"] = (lambda spark, d: T.cascade(shape(spark, d, "methods"), "repo_id", shape(spark, d, "repos").where("indexed = 3").select(F.concat(F.lit("r"), (F.col("id") % 3).cast("string")).alias("repo_id")).where("repo_id = 'r1'")).select("id", "repo_id"), duck("SELECT id, repo_id FROM methods WHERE repo_id <> 'r1'", "methods"))
 QUERIES["src11_upsert_symbols"] = (lambda spark, d: T.upsert(shape(spark, d, "methods").select("id", "name"), shape(spark, d, "targets").select(F.col("target").alias("id"), F.lit("new").alias("name")), "id"), duck("SELECT m.id, CASE WHEN t.target IS NULL THEN m.name ELSE 'new' END AS name FROM methods m LEFT JOIN targets t ON t.target = m.id", "methods", "targets"))
 QUERIES["src12_node_upserts"] = (lambda spark, d: T.distinct_nodes(shape(spark, d, "classes").select("name", "file_path"), "name"), duck("SELECT name, min(file_path) AS file_path FROM classes GROUP BY 1", "classes"))
-QUERIES["src17_collection_info"] = (lambda spark, d: shape(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("points"), F.max(F.size("embedding")).cast("long").alias("dim")), "SELECT label, count(*) AS points, max(len(embedding)) AS dim FROM embeddings GROUP BY 1")
+QUERIES["src17_collection_info"] = (lambda spark, d: T.collection_info(shape(spark, d, "embeddings").withColumnRenamed("embedding", "vector"), "label"), "SELECT label, count(*) AS points, max(len(embedding)) AS dim FROM embeddings GROUP BY 1")
 QUERIES["src19_register_repos"] = (lambda spark, d: T.register(shape(spark, d, "repos").groupBy("root_path").agg(F.min_by("name", "id").alias("name"), F.min_by("indexed", "id").alias("indexed")), shape(spark, d, "region").select(F.concat(F.lit("src/"), F.lower("r_name")).alias("root_path"), F.lit("new").alias("name")).union(shape(spark, d, "repos").select("root_path", F.lit("renamed").alias("name")).distinct())), duck("""+o AS (SELECT root_path, arg_min(indexed, id) AS indexed FROM repos GROUP BY 1), n AS (SELECT 'src/' || lower(r_name) AS root_path, 'new' AS name FROM region UNION ALL SELECT DISTINCT root_path, 'renamed' FROM repos)
     SELECT root_path, n.name, coalesce(o.indexed, 0)::INT AS indexed FROM n FULL JOIN o USING (root_path)""", "repos"))
 QUERIES["src20_delete_repo"] = (lambda spark, d: T.without(shape(spark, d, "repos"), "id", [1, 2, 3]).select("id"), duck("SELECT id FROM repos WHERE id NOT IN (1, 2, 3)", "repos"))

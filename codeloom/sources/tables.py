@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +14,10 @@ from pyspark.sql import functions as F
 from codeloom.functions.text import forward_slashes
 from codeloom.operators.graph import node_type
 from codeloom.sources.files import decoded, file_name
-from codeloom.sources.work import work_dir
+from codeloom.sources.work import checkpointed, work_dir
+
+#: The settings that a collection is created with.
+INDEX_SETTINGS = {"distance": "cosine", "m": 16, "ef_construct": 128, "quantization": "int8", "quantile": 0.99}
 
 
 def filtered(df: DataFrame, **equal) -> DataFrame:
@@ -73,10 +78,19 @@ def register(repos: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def appended(log: DataFrame, new: DataFrame) -> DataFrame:
-    """SRC-22, SRC-23: log with new rows, which take the next ids in the order of their text."""
-    last = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    numbered_rows = new.withColumn("k", F.row_number().over(Window.orderBy("query")))
-    return log.select("id", "query").unionByName(numbered_rows.join(last, F.lit(True)).select((F.col("last") + F.col("k")).alias("id"), "query"))
+    """SRC-22, SRC-23: log with new rows, which take the next ids in the order of their text.
+
+    Places are counted in ranges of texts, each sorted by itself, and the ranges' sizes added up, so that no task numbers all rows.
+    """
+    last = log.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    ranges = checkpointed(new.repartitionByRange("query").sortWithinPartitions("query").select("query", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")), "appended")
+    sizes = sorted((r.part, r.n, r.least) for r in ranges.groupBy("part").agg(F.count("*").alias("n"), F.min("place").alias("least")).collect())  # a row for each range
+    before, at = {}, last
+    for part, n, least in sizes:
+        before[part] = at - least + 1
+        at += n
+    offset = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("part")] if before else F.lit(0)
+    return log.select("id", "query").unionByName(ranges.select((F.col("place") + offset).cast(log.schema["id"].dataType).alias("id"), "query"))
 
 
 def latest(df: DataFrame, most: int, *keys: str) -> DataFrame:
@@ -124,13 +138,78 @@ def run_query(spark, sql: str, **shapes: DataFrame) -> DataFrame:
     return spark.sql(sql, **shapes)
 
 
+def with_retries(write: Callable[[], None], tries: int = 3, wait: float = 1.0) -> None:
+    """SRC-13, SRC-22: runs a write that commits as a whole; after a failure again, each time after twice the wait."""
+    for k in range(tries):
+        try:
+            return write()
+        except Exception:
+            if k + 1 == tries:
+                raise
+            time.sleep(wait * 2**k)
+
+
 def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
-    """SRC-13, SRC-15, SRC-16: df written as a table in the work folder, partitioned by columns, and read again; Spark retries tasks and commits as a whole."""
+    """SRC-13, SRC-16: df written as a table in the work folder, partitioned by columns, and read again; Spark retries tasks and commits as a whole, and the whole write is tried again."""
     path = f"{work_dir(df.sparkSession)}/codeloom-tables/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partitions).parquet(path)
+    with_retries(lambda: df.write.mode("overwrite").partitionBy(*partitions).parquet(path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Collection:
+    """SRC-15..17: vectors (id, vector and what else they carry) under one folder, with the settings they were created with.
+
+    Search is exact, in blocks, so the index settings are kept for whoever asks but change no result.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _files(self, name: str = ""):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+        return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), p
+
+    def exists(self) -> bool:
+        fs, p = self._files("settings/_SUCCESS")
+        return fs.exists(p)
+
+    def create(self, dim: int, **settings) -> None:
+        """Does nothing if it is there with the same number of dimensions."""
+        if self.exists():
+            if self.info()["dim"] != dim:
+                raise ValueError("the collection has vectors of another length")
+            return
+        one = self.spark.createDataFrame([(json.dumps(INDEX_SETTINGS | settings | {"dim": dim}),)], "settings string")
+        with_retries(lambda: one.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/settings"))
+
+    def write(self, points: DataFrame, *partitions: str) -> None:
+        """Adds points; those of other lengths are refused before anything is written."""
+        dim = self.info()["dim"]
+        if points.where(F.size("vector") != dim).limit(1).count():
+            raise ValueError(f"vectors must have {dim} dimensions")
+        points.write.mode("append").partitionBy(*partitions).parquet(f"{self.path}/points")
+
+    def points(self, schema: str) -> DataFrame:
+        fs, p = self._files("points")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/points") if fs.exists(p) else self.spark.createDataFrame([], schema)
+
+    def info(self) -> dict:
+        """Settings and number of points."""
+        if not self.exists():
+            raise KeyError(self.path)
+        out = json.loads(self.spark.read.parquet(f"{self.path}/settings").first().settings)
+        return out | {"points": self.points("vector array<double>").count()}
+
+    def drop(self) -> None:
+        fs, p = self._files()
+        fs.delete(p, True)
+
+
+def collection_info(points: DataFrame, *keys: str) -> DataFrame:
+    """SRC-17: number and dimensions of the points of each collection."""
+    return points.groupBy(*keys).agg(F.count("*").alias("points"), F.max(F.size("vector")).cast("long").alias("dim"))
+
+
 def in_roots(path: Column, roots: list[str]) -> Column:
     """SRC-9 as a column: whether a path is one of the roots or below one; without roots everything is."""
     out = F.lit(not roots)

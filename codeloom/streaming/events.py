@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 
 
 def answer_events(turns: DataFrame) -> DataFrame:
-    """STR-1: intent, text and done of each user turn, in order."""
-    kinds = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(k).alias("kind")) for i, k in enumerate(("intent", "text", "done"))])
-    return turns.where("role = 'user'").select("conv_id", "turn", F.explode(kinds).alias("e")).select("conv_id", "turn", "e.seq", "e.kind")
+    """STR-1: the events of each user turn, in order: intent; smart_resolve and card, where the turn has such rows; text and done, or error where the model failed.
+
+    turns: conv_id, turn, role and, if known, resolved, card and failed (boolean).
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in turns.columns else F.lit(False)
+    kinds = [(F.lit(True), "intent"), (flag("resolved"), "smart_resolve"), (flag("card"), "card"), (~flag("failed"), "text"), (~flag("failed"), "done"), (flag("failed"), "error")]
+    listed = F.filter(F.array(*[F.when(when, F.lit(kind)) for when, kind in kinds]), lambda k: k.isNotNull())
+    return turns.where("role = 'user'").select("conv_id", "turn", F.posexplode(listed).alias("seq", "kind"))
 
 
 def docs_events(methods: DataFrame) -> DataFrame:
@@ -27,9 +32,9 @@ def docs_events(methods: DataFrame) -> DataFrame:
 
 
 def frames(events: DataFrame) -> DataFrame:
-    """Server-sent event text of each user's events (user_id, event_id, event_type)."""
+    """Server-sent event text of each user's events (user_id, event_id, event_type), in the order of their ids."""
     data = F.concat(F.lit("data: "), F.to_json(F.struct("event_id", "event_type")), F.lit("\n\n"))
-    return events.groupBy("user_id").agg(F.concat_ws("", F.collect_list(data)).alias("text"))
+    return events.groupBy("user_id").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("event_id", data.alias("data")))), lambda x: x["data"])).alias("text"))
 
 
 def parse_frames(text: DataFrame) -> DataFrame:

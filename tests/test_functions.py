@@ -87,3 +87,51 @@ def test_stream_of_events(spark):
     query.processAllAvailable()
     query.stop()
     assert spark.sql("SELECT sum(n) FROM windows").first()[0] == 1000
+
+
+def test_collections_and_retries(spark, tmp_path):
+    import pytest
+
+    from codeloom.sources import tables as T
+
+    c = T.Collection(spark, f"file://{tmp_path}/points")
+    with pytest.raises(KeyError):
+        c.info()
+    c.create(2, m=8)
+    c.create(2)
+    with pytest.raises(ValueError):
+        c.create(3)
+    points = spark.createDataFrame([("a", [1.0, 2.0], "x"), ("b", [0.0, 1.0], "y")], "id string, vector array<double>, label string")
+    c.write(points, "label")
+    assert c.info() == {"distance": "cosine", "m": 8, "ef_construct": 128, "quantization": "int8", "quantile": 0.99, "dim": 2, "points": 2}
+    with pytest.raises(ValueError):
+        c.write(spark.createDataFrame([("c", [1.0], "x")], points.schema))
+    assert {r.id for r in c.points(points.schema).where("label = 'x'").collect()} == {"a"}
+    c.drop()
+    assert not c.exists()
+    tries = []
+
+    def fails_twice():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("busy")
+
+    T.with_retries(fails_twice, wait=0.01)
+    assert len(tries) == 3
+    with pytest.raises(OSError):
+        T.with_retries(lambda: (_ for _ in ()).throw(OSError("down")), wait=0.01)
+    log = spark.createDataFrame([(5, "old")], "id bigint, query string")
+    new = spark.createDataFrame([(x,) for x in ["d", "a", "c", "b", "a"]], "query string")
+    assert sorted((r.id, r.query) for r in T.appended(log, new).collect()) == [(5, "old"), (6, "a"), (7, "a"), (8, "b"), (9, "c"), (10, "d")]
+
+
+def test_postings_are_kept_and_dropped(spark, tmp_path):
+    from codeloom.operators import retrieval as R
+
+    path = f"file://{tmp_path}/bm25"
+    docs = spark.createDataFrame([("1", "alpha beta"), ("2", "beta gamma")], "id string, text string")
+    assert R.load_postings(spark, path) is None
+    R.save_postings(docs, path)
+    assert sorted((r.id, r.token, r.n_tokens) for r in R.load_postings(spark, path).collect()) == sorted((r.id, r.token, r.n_tokens) for r in R.postings(docs).collect())
+    R.drop_postings(spark, path)
+    assert R.load_postings(spark, path) is None
