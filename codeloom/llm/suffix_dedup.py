@@ -46,7 +46,7 @@ CROWD = 8
 #: Texts that a task cuts before it sends them.
 TEXTS = 50_000
 #: Bytes of short texts in a bucket beyond which its crowded cores are looked for, and texts that make a core crowded.
-HOT_BYTES, HOT_TEXTS = 64 << 20, 100_000
+HOT_BYTES, HOT_TEXTS = 8 << 20, 50_000
 #: Texts of one merge, and shards that they are cut into.
 MERGE_TEXTS, SHARDS = 20_000, 8
 #: What a broadcast may weigh; beyond, texts are shuffled to their spans.
