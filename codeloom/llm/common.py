@@ -86,6 +86,14 @@ def chunks(text: str) -> list[str]:
     return _CHUNKS.findall(text)
 
 
+_ANY_ODD_SPACE = re.compile(f"[^\\S \n\t\r]|[\u180e\u200b{_ODD_ASCII}]")
+
+
+def words(text: str) -> list[str]:
+    """chunks() without their white space, for tokenizers that drop it."""
+    return [text] if _ANY_ODD_SPACE.search(text) else text.split()
+
+
 def slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
     """(start, texts) runs of about SLICE_CHARS characters; nulls become empty texts."""
     start, size, run = 0, 0, []

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ChunkCache, bound_batches, chunks, slices, worker_state
+from codeloom.llm.common import ChunkCache, bound_batches, chunks, slices, words, worker_state
 
 #: The sample that the dictionary is trained on: about so many documents, the lowest by a hash; of longer ones a piece of so many characters, at a place by a hash.
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 8192
@@ -42,6 +42,8 @@ class Encoder:
         special = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.mark_id, self.mark = (special[0][0], special[0][1].content) if special else (None, None)
         self.cache = ChunkCache(self.encode_chunks, entries=1_000_000)
+        cutter = self.tokenizer.pre_tokenizer
+        self.cut = words if cutter and [t for t, _ in cutter.pre_tokenize_str(" a \n\tb ")] == ["a", "b"] else chunks
 
     def encode_chunks(self, new: list[str]) -> list[bytes]:
         """Ids of each chunk, packed. Many chunks go to the library as one text, apart by a special token, at which it cuts texts first."""
@@ -61,7 +63,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian, of self.width bytes each."""
-        return [b"".join(d) for d in self.cache.values([chunks(t) for t in texts])]
+        return [b"".join(d) for d in self.cache.values([self.cut(t) for t in texts])]
 
 
 def encoder(path: str) -> Encoder:
