@@ -52,9 +52,11 @@ def free_names(docs: DataFrame, *names: str) -> list[str]:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item. Rows go by their texts, so that repeated and missing ids do no harm."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without_ids(docs, contamination(docs, items).where("contaminated").select("doc_id")).select(docs.columns)
+    (key,) = free_names(docs, "text_key")
+    keyed = docs.withColumn(key, F.md5("text"))
+    return without_ids(keyed, contamination(keyed, items, id_col=key).where("contaminated").select(key), key).select(docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

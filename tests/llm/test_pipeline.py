@@ -69,3 +69,15 @@ def test_columns_of_the_input_come_back(spark):
         kept[name] = sorted(str(r.doc_id) for r in rows)
     assert kept["minhash_dedup"].count("0") == 2  # the two texts of one id are no copies
     assert len(kept["minhash_dedup"]) - len(set(kept["minhash_dedup"])) == 1
+
+
+def test_decontamination_goes_by_row(spark):
+    sf = "/root/testdata/sf0.001"
+    text = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 100").first().text
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(None, text), (1, text), (1, "a clean text"), (2, "x y z"), (None, "another clean text"), (None, None), (3, text), (3, text + " and more")]
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], docs.schema).withColumn("text_key", F.lit("own"))
+    out = corpus_pipeline.benchmark(spark, table, sf)
+    assert out.columns == table.columns and {r.text_key for r in out.collect()} == {"own"}
+    assert sorted((r.doc_id, r.text) for r in out.where("doc_id is not null").collect()) == [(1, "a clean text"), (2, "x y z")]
+    assert sorted(str(r.text) for r in out.where("doc_id is null").collect()) == ["None", "another clean text"]
