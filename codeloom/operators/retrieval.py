@@ -355,12 +355,16 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     return added(F.transform(bm25_tokens(F.coalesce(text, F.lit(""))), lambda t: F.xxhash64(t)))
 
 
-def scored_by_model(rows: DataFrame, text_col: str, model) -> DataFrame:
-    """RET-7: rows with rerank, by model(list of texts) -> list of scores or None if it is unavailable; Arrow batches, one model a task."""
+def scored_by_model(rows: DataFrame, text_col: str, model, logistic: bool = True) -> DataFrame:
+    """RET-7: rows with rerank, by model(list of texts) -> list of scores or None if it is unavailable; Arrow batches, one model a task.
+
+    Scores of any range are brought to 0 to 1 by the logistic function, unless the model is known to give such.
+    """
 
     def run(batches: Iterator[pd.DataFrame]):
         for b in batches:
             found = model(b[text_col].tolist())
             yield b.assign(rerank=pd.Series(found if found is not None else [None] * len(b), index=b.index, dtype="float64"))
 
-    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("rerank", DoubleType())]))
+    out = rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("rerank", DoubleType())]))
+    return out.withColumn("rerank", 1 / (1 + F.exp(-F.col("rerank")))) if logistic else out

@@ -114,12 +114,16 @@ def injects_code(intent: Column, related: Column) -> Column:
     return ~((intent == "chat") & ~related)
 
 
-def smart_resolve(rows: DataFrame, symbols: DataFrame, model: Model = no_model, most_tokens: int = 6000) -> DataFrame:
+#: Fixed value: what ends code that was cut.
+CUT_NOTE = "\n\n... [代码过长，已截断]"
+
+
+def smart_resolve(rows: DataFrame, symbols: DataFrame, model: Model = no_model, named_tokens: int = 12000, whole_tokens: int = 8000) -> DataFrame:
     """LLM-7: code and symbols (ids) for each question (conv_id, turn, text, code, intent) about a file with these symbols (id, name, class_name, file_path, line_start, line_end).
 
     A file that is short enough goes whole, and so do questions about impact or similar code. Of a longer one the symbols
     that the question names are taken; if it names none, those that the model picks from the numbered list. Their lines go
-    under headers, cut to the budget; where nothing is found, the file itself is cut.
+    under headers, cut to named_tokens with a line that says so; where nothing is found, the file itself is cut to whole_tokens.
     """
     keys = ["conv_id", "turn"]
     long = rows.where(needs_narrowing(F.col("code"), F.col("intent")))
@@ -135,7 +139,9 @@ def smart_resolve(rows: DataFrame, symbols: DataFrame, model: Model = no_model,
     joined = pieces.groupBy("id.conv_id", "id.turn").agg(F.array_sort(F.collect_list(F.struct("id.line_start", F.col("id.id").alias("symbol"), "code"))).alias("x"))
     joined = joined.select(*keys, F.transform("x", lambda x: x["symbol"]).alias("symbols"), F.array_join(F.transform("x", lambda x: x["code"]), "\n\n").alias("narrow"))
     both = rows.join(joined, keys, "left")
-    code, _ = truncate_code(F.coalesce("narrow", "code"), most_tokens)
+    narrow, cut = truncate_code(F.col("narrow"), named_tokens)
+    narrow = F.when(cut, F.concat(narrow, F.lit(CUT_NOTE))).otherwise(narrow)
+    code = F.coalesce(narrow, truncate_code(F.col("code"), whole_tokens)[0])
     whole = ~needs_narrowing(F.col("code"), F.col("intent"))
     return both.select(*keys, "text", "intent", F.when(whole, F.col("code")).otherwise(code).alias("code"), F.coalesce("symbols", F.array().cast("array<string>")).alias("symbols"))
 

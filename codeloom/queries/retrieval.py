@@ -127,7 +127,7 @@ _FINAL = "fin AS (SELECT *, round(0.55 * rrf / max(rrf) OVER (PARTITION BY query
 QUERIES["ret8_final_score"] = (lambda s, d: R.final_scores(_scored(s, d)).select("query_id", "id", "score"), duck(f"+{_ALL}, {_FINAL} SELECT query_id, id, score FROM fin", *_GNAMES))
 QUERIES["ret8_reranked_score"] = (lambda s, d: R.final_scores(_scored(s, d, True)).select("query_id", "id", "score"), duck(f"+{_ALL} SELECT query_id, id, round(CASE WHEN query_id::INT % 2 = 0 THEN 0.60 * length(name) / 100.0::DOUBLE + 0.20 * rrf / max(rrf) OVER (PARTITION BY query_id) + 0.10 * graph_score + 0.08 * symbol_score + 0.02 * struct_score ELSE 0.55 * rrf / max(rrf) OVER (PARTITION BY query_id) + 0.20 * graph_score + 0.20 * symbol_score + 0.05 * struct_score END, 4) AS score FROM sc", *_GNAMES))
 QUERIES["agg12_normalised"] = (lambda s, d: P.normalised(R.rrf(shape(s, d, "ranked"))), duck(f"+{_RRF} SELECT query_id, id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM f", "ranked"))
-QUERIES["ret7_reranked"] = (lambda s, d: R.scored_by_model(shape(s, d, "chunks").select("id", R.rerank_text(F.col("file_path"), F.lit(""), F.col("language"), F.col("text")).alias("doc")).where("doc is not null"), "doc", lambda docs: [len(x) / 2 for x in docs]).select("id", "rerank"), duck("SELECT id, length(file_path || ' / ' || language || chr(10) || left(text, 2000)) / 2::DOUBLE AS rerank FROM chunks WHERE text <> ''", "chunks"))
+QUERIES["ret7_reranked"] = (lambda s, d: R.scored_by_model(shape(s, d, "chunks").select("id", R.rerank_text(F.col("file_path"), F.lit(""), F.col("language"), F.col("text")).alias("doc")).where("doc is not null"), "doc", lambda docs: [len(x) % 64 / 8 - 4 for x in docs]).select("id", F.round("rerank", 6).alias("rerank")), duck("SELECT id, round(1 / (1 + exp(4 - length(file_path || ' / ' || language || chr(10) || left(text, 2000)) % 64 / 8::DOUBLE)), 6) AS rerank FROM chunks WHERE text <> ''", "chunks"))
 QUERIES["ret7_rerank_text"] = (lambda s, d: shape(s, d, "chunks").select("id", F.sha1(R.rerank_text(F.col("file_path"), F.lit(""), F.col("language"), F.col("text"))).alias("doc")), duck("SELECT id, CASE WHEN text <> '' THEN sha1(file_path || ' / ' || language || chr(10) || left(text, 2000)) END AS doc FROM chunks", "chunks"))
 
 

@@ -35,7 +35,8 @@ def _resolved(s, d):
     symbols = symbols.join(F.broadcast(symbols.agg(F.min("file_path").alias("file_path"))), "file_path", "left_semi")
     asked = shape(s, d, "chats").where("role = 'user'").select("conv_id", "turn", "text", F.repeat(F.concat("text", F.lit("\n")), 400).alias("code"), F.lit("chat").alias("intent"))
     found = C.smart_resolve(asked, symbols, lambda p: ["1"] * len(p))
-    return found.join(asked.select("conv_id", "turn", F.col("code").alias("whole")), ["conv_id", "turn"]).select("conv_id", "turn", C.needs_narrowing(F.col("whole"), F.col("intent")).alias("narrowed"), F.array_join("symbols", ",").alias("symbols"))
+    found = found.join(asked.select("conv_id", "turn", F.col("code").alias("whole")), ["conv_id", "turn"])
+    return found.select("conv_id", "turn", C.needs_narrowing(F.col("whole"), F.col("intent")).alias("narrowed"), F.array_join("symbols", ",").alias("symbols"), F.md5("code").alias("code_md5"))
 
 
 QUERIES["llm5_chat_messages"] = (_messages, None)
@@ -45,10 +46,13 @@ QUERIES["str1_events"] = (lambda s, d: E.answer_events(shape(s, d, "chats").with
     SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1)::INT AS seq, kind FROM e WHERE kind IS NOT NULL""", "chats"))
 QUERIES["llm7_smart_resolve"] = (_resolved, duck("""+q AS (SELECT conv_id, turn, text, repeat(text || chr(10), 400) AS code FROM chats WHERE role = 'user'), y AS (SELECT * FROM methods WHERE file_path = (SELECT min(file_path) FROM methods)),
     m AS (SELECT DISTINCT q.conv_id, q.turn, y.name FROM q JOIN y ON contains(lower(q.text), lower(y.name)) WHERE y.name <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(name) DESC, name) AS k FROM m),
-    n AS (SELECT DISTINCT r.conv_id, r.turn, y.id, y.line_start FROM r JOIN y USING (name) WHERE k <= 5), z AS (SELECT *, row_number() OVER (ORDER BY line_start, id) AS k FROM y), long AS (SELECT * FROM q WHERE length(code) // 3 > 6000),
-    p AS (SELECT l.conv_id, l.turn, z.id, z.line_start FROM long l JOIN z ON z.k = 1 WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.conv_id = l.conv_id AND n.turn = l.turn)),
-    f AS (SELECT n.* FROM n JOIN long USING (conv_id, turn) UNION ALL SELECT * FROM p)
-    SELECT q.conv_id, q.turn, length(q.code) // 3 > 6000 AS narrowed, coalesce(string_agg(f.id, ',' ORDER BY f.line_start, f.id), '') AS symbols FROM q LEFT JOIN f USING (conv_id, turn) GROUP BY ALL""", "chats", "methods"))
+    n AS (SELECT DISTINCT r.conv_id, r.turn, y.id, y.line_start, y.line_end, y.class_name, y.name FROM r JOIN y USING (name) WHERE k <= 5), z AS (SELECT *, row_number() OVER (ORDER BY line_start, id) AS k FROM y), long AS (SELECT * FROM q WHERE length(code) // 3 > 6000),
+    p AS (SELECT l.conv_id, l.turn, z.id, z.line_start, z.line_end, z.class_name, z.name FROM long l JOIN z ON z.k = 1 WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.conv_id = l.conv_id AND n.turn = l.turn)),
+    f AS (SELECT n.* FROM n JOIN long USING (conv_id, turn) UNION ALL SELECT * FROM p),
+    h AS (SELECT q.conv_id, q.turn, q.code, f.id, f.line_start, '// --- ' || class_name || '.' || name || ' (L' || line_start || '-L' || line_end || ') ---' || chr(10) || array_to_string(string_split(q.code, chr(10))[line_start:line_end], chr(10)) AS piece FROM q LEFT JOIN f USING (conv_id, turn)),
+    s AS (SELECT conv_id, turn, code, coalesce(string_agg(id, ',' ORDER BY line_start, id), '') AS symbols, string_split(string_agg(piece, chr(10) || chr(10) ORDER BY line_start, id), chr(10)) AS x FROM h GROUP BY ALL),
+    t AS (SELECT *, array_to_string(x, chr(10)) AS narrow, len(list_filter(range(1, len(x) + 1), lambda i: list_sum(list_transform(x[1:i], lambda l: length(l) + 1)) <= 36000)) AS kept FROM s)
+    SELECT conv_id, turn, length(code) // 3 > 6000 AS narrowed, symbols, md5(CASE WHEN length(code) // 3 <= 6000 THEN code WHEN length(narrow) // 3 <= 12000 THEN narrow ELSE array_to_string(x[1:kept], chr(10)) || chr(10) || chr(10) || '... [代码过长，已截断]' END) AS code_md5 FROM t""", "chats", "methods"))
 QUERIES["str2_docs_events"] = (lambda s, d: E.docs_events(shape(s, d, "methods")), duck("""+c AS (SELECT file_path, class_name, row_number() OVER (PARTITION BY file_path ORDER BY min(line_start), class_name) AS k FROM methods GROUP BY 1, 2), n AS (SELECT file_path, max(k) AS n FROM c GROUP BY 1)
     SELECT file_path, 0::BIGINT AS seq, 'header' AS kind, '' AS class_name FROM n UNION ALL SELECT file_path, 2 * k - 1, 'progress', class_name FROM c UNION ALL SELECT file_path, 2 * k, 'text', class_name FROM c UNION ALL SELECT file_path, 2 * n + 1, 'done', '' FROM n""", "methods"))
 QUERIES["str3_frames"] = (lambda s, d: E.parse_frames(E.frames(shape(s, d, "events").select("user_id", "event_id", "event_type"))), "SELECT user_id, event_id, event_type FROM events")
