@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
@@ -9,7 +11,8 @@ from codeloom.operators import retrieval as R
 from codeloom.plans import models as M
 from codeloom.plans import search as P
 from codeloom.queries.shapes import duck, shape
-from codeloom.sources.work import checkpointed, spread
+from codeloom.sources.tables import Collection
+from codeloom.sources.work import checkpointed, spread, work_dir
 
 QUERIES: dict = {}
 
@@ -27,6 +30,25 @@ def asked(spark, d):
     return points(spark, d).join(asked_ids(spark, d), "id", "left_semi").select(F.col("id").alias("query_id"), "vector")
 
 
+def _collection(spark, d) -> Collection:
+    """All vectors but those whose id ends in 7, indexed; then those, and a turned copy of each whose id ends in 3; then the removal of those that end in 9."""
+    c = Collection(spark, f"{work_dir(spark)}/codeloom-tables/collection-{uuid.uuid4().hex}")
+    rows = points(spark, d)
+    end = F.substring("id", -1, 1)
+    c.create(len(rows.first().vector))
+    c.write(rows.where(end != "7"), "label")
+    c.build_index()
+    c.write(rows.where(end.isin("3", "7")).withColumn("vector", F.when(end == "3", F.reverse("vector")).otherwise(F.col("vector"))), "label")
+    c.delete(rows.where(end == "9"))
+    return c
+
+
+QUERIES["src15_indexed_search"] = (lambda s, d: _collection(s, d).search(asked(s, d), 10).select("query_id", "id", "score", F.col("place").cast("long").alias("place")), None)
+QUERIES["src16_upserted_vectors"] = (
+    lambda s, d: _collection(s, d).points("id string, vector array<float>, label int").select("id", "label", F.round(F.element_at("vector", 1).cast("double"), 6).alias("first")),
+    "SELECT vec_id::VARCHAR AS id, label, round((CASE WHEN vec_id % 10 = 3 THEN embedding[-1] ELSE embedding[1] END)::DOUBLE, 6) AS first FROM embeddings WHERE vec_id % 10 <> 9",
+)
+
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 _KNN = f"SELECT a.vec_id::VARCHAR AS query_id, b.vec_id::VARCHAR AS id, round({_COS}, {{}}) AS score FROM embeddings a JOIN embeddings b ON true WHERE a.vec_id % 50 = 0"
 

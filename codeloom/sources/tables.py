@@ -6,13 +6,17 @@ import json
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from codeloom.functions.text import forward_slashes
 from codeloom.operators.graph import node_type
+from codeloom.operators.retrieval import dense_search, top
+from codeloom.operators.vectors import VectorIndex
 from codeloom.sources.files import decoded, file_name
 from codeloom.sources.work import checkpointed, work_dir
 
@@ -157,9 +161,13 @@ def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
 
 
 class Collection:
-    """SRC-15..17: vectors (id, vector and what else they carry) under one folder, with the settings they were created with.
+    """SRC-15..17: vectors (id, vector and what else they carry) under one folder, kept by id.
 
-    Search is exact, in blocks, so the index settings are kept for whoever asks but change no result.
+    Points are written as segments, with the ids that a segment replaces beside it, and count from the moment that a commit
+    (a small file of the next number, which only one writer can make) names both. So a write that dies leaves no trace in
+    what is read, and readers see whole commits. An index covers the points of one commit; a search asks it for those that
+    are still there, and compares later ones one by one. Beside dim, settings take those of the index: quantile cuts the
+    codes; m and ef_construct belong to another kind of index and are kept for whoever asks.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -176,29 +184,116 @@ class Collection:
     def create(self, dim: int, **settings) -> None:
         """Does nothing if it is there with the same number of dimensions."""
         if self.exists():
-            if self.info()["dim"] != dim:
+            if self.settings()["dim"] != dim:
                 raise ValueError("the collection has vectors of another length")
             return
         one = self.spark.createDataFrame([(json.dumps(INDEX_SETTINGS | settings | {"dim": dim}),)], "settings string")
         with_retries(lambda: one.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/settings"))
 
-    def write(self, points: DataFrame, *partitions: str) -> None:
-        """Adds points; those of other lengths are refused before anything is written."""
-        dim = self.info()["dim"]
+    def settings(self) -> dict:
+        if not self.exists():
+            raise KeyError(self.path)
+        return json.loads(self.spark.read.parquet(f"{self.path}/settings").first().settings)
+
+    def commits(self) -> list[dict]:
+        """Commits since the last compaction, in order: number, segment and dead (names or None)."""
+        fs, p = self._files("commits")
+        if not fs.exists(p):
+            return []
+        rows = sorted((json.loads(r.value) for r in self.spark.read.text(f"{self.path}/commits").collect()), key=lambda c: c["number"])
+        last = max((i for i, c in enumerate(rows) if c["compact"]), default=0)
+        return rows[last:]
+
+    def _commit(self, after: int, segment: str | None, dead: str | None, compact: bool = False) -> int:
+        """Makes the next commit, or fails if another writer made it meanwhile."""
+        fs, p = self._files(f"commits/{after + 1:012d}.json")
+        out = fs.create(p, False)
+        out.write(bytearray(json.dumps({"number": after + 1, "segment": segment, "dead": dead, "compact": compact}).encode()))
+        out.close()
+        return after + 1
+
+    def _last(self) -> int:
+        return max((c["number"] for c in self.commits()), default=0)
+
+    def write(self, points: DataFrame, *partitions: str) -> int:
+        """Upserts points by id; those of other lengths are refused before anything is written. Of points of one write that share an id one stays. Returns the commit's number."""
+        dim = self.settings()["dim"]
         if points.where(F.size("vector") != dim).limit(1).count():
             raise ValueError(f"vectors must have {dim} dimensions")
-        points.write.mode("append").partitionBy(*partitions).parquet(f"{self.path}/points")
-
-    def points(self, schema: str) -> DataFrame:
-        fs, p = self._files("points")
-        return self.spark.read.schema(schema).parquet(f"{self.path}/points") if fs.exists(p) else self.spark.createDataFrame([], schema)
+        last, segment = self._last(), uuid.uuid4().hex
+        with_retries(lambda: points.dropDuplicates(["id"]).write.mode("overwrite").partitionBy(*partitions).parquet(f"{self.path}/points/segment={segment}"))
+        written = self.spark.read.schema(points.schema).parquet(f"{self.path}/points/segment={segment}")
+        return self._commit(last, segment, self._dead(written.select("id")))
+
+    def delete(self, ids: DataFrame) -> int:
+        """Removes the points of ids (id); returns the commit's number."""
+        return self._commit(self._last(), None, self._dead(ids.select("id").distinct()))
+
+    def _dead(self, ids: DataFrame) -> str | None:
+        """Writes which of ids are there already; their name, or None if none is."""
+        if not any(c["segment"] for c in self.commits()):
+            return None
+        there = self.points(f"id {ids.schema['id'].dataType.simpleString()}").join(ids, "id", "left_semi")
+        name = uuid.uuid4().hex
+        with_retries(lambda: there.write.mode("overwrite").parquet(f"{self.path}/dead/{name}"))
+        return name if self.spark.read.schema(there.schema).parquet(f"{self.path}/dead/{name}").limit(1).count() else None
+
+    def gone(self, id_kind: str, after: int = 0) -> DataFrame | None:
+        """id and until: points of id that were written before commit `until` are replaced or deleted; by commits after this one."""
+        found = [self.spark.read.schema(f"id {id_kind}").parquet(f"{self.path}/dead/{c['dead']}").withColumn("until", F.lit(c["number"])) for c in self.commits() if c["dead"] and c["number"] > after]
+        return reduce(DataFrame.union, found).groupBy("id").agg(F.max("until").alias("until")) if found else None
+
+    def points(self, schema: str | StructType, after: int = 0) -> DataFrame:
+        """The points that count, of segments of commits after this one."""
+        segments = [(c["segment"], c["number"]) for c in self.commits() if c["segment"] and c["number"] > after]
+        names = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        if not segments:
+            return self.spark.createDataFrame([], names)
+        rows = self.spark.read.schema(StructType([*names.fields, StructField("segment", StringType())])).parquet(f"{self.path}/points")
+        rows = rows.where(F.col("segment").isin([s for s, _ in segments]))
+        gone = self.gone(names["id"].dataType.simpleString()) if "id" in names.fieldNames() else None
+        if gone is not None:
+            rows = rows.join(F.broadcast(self.spark.createDataFrame(segments, "segment string, number int")), "segment")
+            rows = rows.join(gone.withColumnRenamed("id", "gone_id"), (F.col("id") == F.col("gone_id")) & (F.col("number") < F.col("until")), "left_anti")
+        return rows.select(*names.fieldNames())
+
+    def compact(self, schema: str | StructType, *partitions: str) -> int:
+        """Writes the points that count (with the columns of schema) as one segment, which stands for all before."""
+        last, segment = self._last(), uuid.uuid4().hex
+        with_retries(lambda: self.points(schema).write.mode("overwrite").partitionBy(*partitions).parquet(f"{self.path}/points/segment={segment}"))
+        return self._commit(last, segment, None, compact=True)
+
+    def _id_kind(self) -> str:
+        names = [c["segment"] for c in self.commits() if c["segment"]]
+        return self.spark.read.parquet(f"{self.path}/points/segment={names[0]}").schema["id"].dataType.simpleString() if names else "string"
+
+    def build_index(self, **options) -> VectorIndex:
+        """SRC-15: indexes the points of the last commit."""
+        last = self._last()
+        return VectorIndex.build(self.points(f"id {self._id_kind()}, vector array<double>"), f"{self.path}/index/{last:012d}", quantile=self.settings()["quantile"], **options)
+
+    def _index(self) -> tuple[int, VectorIndex] | None:
+        """The index of the latest commit that has one, and that commit's number."""
+        fs, p = self._files("index")
+        names = sorted((s.getPath().getName() for s in fs.listStatus(p)), reverse=True) if fs.exists(p) else []
+        for name in names:
+            if fs.exists(self._files(f"index/{name}/settings/_SUCCESS")[1]):
+                return int(name), VectorIndex(self.spark, f"{self.path}/index/{name}")
+        return None
+
+    def search(self, queries: DataFrame, k: int, digits: int = 4, exact: bool = False) -> DataFrame:
+        """RET-1 over the collection: query_id, id, score, place. By the index where there is one and exact is not asked for; points later than the index are compared with every query."""
+        id_kind, index = self._id_kind(), None if exact else self._index()
+        if index is None or any(c["compact"] and c["number"] > index[0] for c in self.commits()):
+            return dense_search(queries, self.points(f"id {id_kind}, vector array<double>"), k, digits)
+        number, found = index
+        near = found.search(queries, k, digits, gone=self.gone(id_kind, number)).drop("place")
+        later = dense_search(queries, self.points(f"id {id_kind}, vector array<double>", number), k, digits, cut=False)
+        return top(near.unionByName(later), k)
 
     def info(self) -> dict:
         """Settings and number of points."""
-        if not self.exists():
-            raise KeyError(self.path)
-        out = json.loads(self.spark.read.parquet(f"{self.path}/settings").first().settings)
-        return out | {"points": self.points("vector array<double>").count()}
+        return self.settings() | {"points": self.points(f"id {self._id_kind()}").count()}
 
     def drop(self) -> None:
         fs, p = self._files()

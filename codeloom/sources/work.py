@@ -22,7 +22,17 @@ def work_dir(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_dir(df.sparkSession)}/codeloom-work/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what checkpointed() wrote, once nothing that is still to run reads it."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
