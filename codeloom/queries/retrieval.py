@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.operators import retrieval as R
+from codeloom.operators.inverted import InvertedIndex
 from codeloom.plans import models as M
 from codeloom.plans import search as P
 from codeloom.queries.shapes import duck, shape
@@ -70,6 +71,14 @@ def _sparse(s, d):
 _TOK = """list_filter(list_distinct(list_concat(list_transform(regexp_extract_all({0}, '[a-zA-Z_][a-zA-Z0-9_]+'), lambda t: lower(t)), list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[^a-zA-Z0-9]+'), lambda t: length(t) >= 2), lambda t: lower(t)))), lambda t: NOT list_contains(['file','class','method','signature','annotations','calls','comment'], t))"""
 _POST = f"p AS (SELECT doc_id::VARCHAR AS id, unnest({_TOK.format('text')}) AS token FROM documents), q AS (SELECT item_id::VARCHAR AS query_id, unnest({_TOK.format('text')}) AS token FROM benchmark)"
 QUERIES["ret2_sparse_search"] = (lambda s, d: R.sparse_search(*_sparse(s, d), 10).select("query_id", "id", "score"), f"WITH {_POST}, s AS (SELECT query_id, id, round(sum(length(token) * length(token))::DOUBLE, 4) AS score FROM q JOIN p USING (token) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s) SELECT query_id, id, score FROM r WHERE k <= 10")
+
+
+def _indexed(s, d):
+    queries, docs = _sparse(s, d)
+    return InvertedIndex.build(docs, f"{work_dir(s)}/codeloom-tables/inverted-{uuid.uuid4().hex}").search(queries, 10)
+
+
+QUERIES["ret2_indexed_search"] = (lambda s, d: _indexed(s, d).select("query_id", "id", "score"), QUERIES["ret2_sparse_search"][1])
 QUERIES["join14_shared_tokens"] = (lambda s, d: P.shared_tokens(*_sparse(s, d)), f"WITH {_POST} SELECT query_id, count(DISTINCT id) AS n_docs, count(*) AS n_pairs FROM q JOIN p USING (token) GROUP BY 1")
 
 
