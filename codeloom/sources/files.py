@@ -1,7 +1,7 @@
 """Source files: which paths of a tree are indexed, reading and decoding them, and the tree as rows.
 
-Rules over paths are Column expressions, so that a listing of any size is filtered by Spark. The listing itself walks the
-tree, since Spark's own listing leaves out names that begin with `_` or `.`.
+Rules over paths are Column expressions, so that a listing of any size is filtered by Spark. The listing itself is a data
+source of its own (trees.py), since Spark's leaves out names that begin with `_` or `.`, and enters skipped directories.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.sources.trees import file_system, read_tree
+
 #: The tables and lists that decide what is indexed.
 LANGUAGES = {
     "java": "java", "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript",
@@ -102,21 +104,10 @@ def checked_root(path: str) -> str:
 
 
 def list_files(spark: SparkSession, root: str, skip: Iterable[str] = ()) -> DataFrame:
-    """Paths under root, relative and with forward slashes, and sizes; skipped directories are not entered."""
-    root = checked_root(root)
-    bare = {r.strip("/") for r in skip if "/" not in r.strip("/")}
-    placed = {r.replace("\\", "/").strip("/") for r in skip} - bare
-
-    def rows():
-        for top, dirs, names in os.walk(root):
-            rel = os.path.relpath(top, root).replace(os.sep, "/")
-            rel = "" if rel == "." else rel + "/"
-            dirs[:] = sorted(d for d in dirs if d not in SKIP_DIRS and d not in bare and rel + d not in placed)
-            for n in sorted(names):
-                yield rel + n, os.path.getsize(os.path.join(top, n))
-
-    found = pd.DataFrame(list(rows()), columns=["path", "size"])
-    return spark.createDataFrame(found, "path string, size bigint")
+    """SRC-1, SRC-2, SRC-6, SRC-7: paths under root, relative and with forward slashes, and sizes; the executors list them, and skipped directories are not entered."""
+    rules = {r.replace("\\", "/").strip("/") for r in skip} - {""}
+    placed = {r for r in rules if "/" in r}
+    return read_tree(spark, root if "://" in root else checked_root(root), set(SKIP_DIRS) | (rules - placed), placed).select("path", "size")
 
 
 def decoded(raw: bytes) -> tuple[str, str]:
@@ -130,13 +121,14 @@ def decoded(raw: bytes) -> tuple[str, str]:
 
 
 def read_files(paths: DataFrame, root: str) -> DataFrame:
-    """SRC-1: path, size, language, encoding and source of each path, read by the executors; root must be a file system that they share."""
+    """SRC-1: path, size, language, encoding and source of each path, read by the executors; root must be on a file system that they share."""
 
     def run(batches: Iterator[pd.DataFrame]):
+        fs, base = file_system(root)
         for b in batches:
             texts = []
             for p in b["path"]:
-                with open(os.path.join(root, p), "rb") as f:
+                with fs.open_input_stream(f"{base}/{p}", compression=None) as f:
                     texts.append(decoded(f.read()))
             yield b.assign(source=[t for t, _ in texts], encoding=[e for _, e in texts])
 
@@ -147,7 +139,7 @@ def read_files(paths: DataFrame, root: str) -> DataFrame:
 def scan(spark: SparkSession, root: str, skip: Iterable[str] = ()) -> DataFrame:
     """SRC-1: the indexable files of a tree."""
     listed = list_files(spark, root, skip)
-    return read_files(listed.where(is_indexable(F.col("path"), F.col("size"))).repartition(max(1, spark.sparkContext.defaultParallelism)), checked_root(root))
+    return read_files(listed.where(is_indexable(F.col("path"), F.col("size"))).repartition(max(1, spark.sparkContext.defaultParallelism)), root if "://" in root else checked_root(root))
 
 
 def read_one(root: str, path: str) -> dict:
