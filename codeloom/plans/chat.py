@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import estimate_tokens, markdown_language, symbol_label, truncate_code
+from codeloom.operators.retrieval import known_kind
 from codeloom.plans.models import Model, no_model, picked_symbols
 
 #: Added to an answer that was cut; a cut answer keeps more than so many tokens.
@@ -40,18 +44,64 @@ def trim_history(turns: DataFrame, budget: int) -> DataFrame:
     return sized.where((F.col("used") <= budget) | F.coalesce(cut, F.lit(False))).select("conv_id", "turn", "role", text.alias("text"))
 
 
+#: Names of one automaton, and characters of the questions that are broadcast together.
+NAMES_TOGETHER, QUESTION_CHARS = 200_000, 32_000_000
+
+
 def match_symbols(questions: DataFrame, symbols: DataFrame, most: int = 5) -> DataFrame:
-    """SCL-14, TOP-10: names that occur in each question (conv_id, turn, text), the longest first, most at most.
+    """SCL-14, TOP-10: names that occur in each question (conv_id, turn, text), whatever their case, the longest first, most at most.
 
-    Names are joined with the questions' character sequences of the names' lengths, not compared pair by pair.
+    The names stay where Spark has them: each task makes automata of its own, of NAMES_TOGETHER names, and passes over the
+    questions once for each. The questions are what is collected and broadcast, in blocks of QUESTION_CHARS characters; most
+    names an automaton and question are shuffled. Questions with one key count as one; null texts hold no name.
     """
-    names = symbols.select("name").where("name <> ''").distinct().withColumns({"key": F.lower("name"), "size": F.length("name")})
-    sizes = F.array_sort(F.array_distinct(F.array(*[F.lit(r.size) for r in names.select("size").distinct().collect()]))) if names.limit(1).count() else F.array().cast("array<int>")
-    low = F.lower("text")
-    pieces = F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, n))).otherwise(F.array().cast("array<string>")))))
-    found = questions.select("conv_id", "turn", F.explode(pieces).alias("key")).join(names.select("key", "name"), "key")
+    names = symbols.select("name").where("name <> ''").distinct().select("name", F.lower("name").alias("key"))
+    asked = questions.select("conv_id", "turn", F.lower("text").alias("text")).where("text is not null")
+    blocks = -(-(asked.agg(F.sum(F.length("text"))).first()[0] or 0) // QUESTION_CHARS)
+    kinds = [asked.schema[c].dataType.simpleString() for c in ("conv_id", "turn")] + ["string"]
+    schema = "conv_id {}, turn {}, name {}".format(*kinds)
+    arrow = pa.schema([(c, known_kind(k)) for c, k in zip(("conv_id", "turn", "name"), kinds, strict=True)])
+    found = questions.sparkSession.createDataFrame([], schema)
+    for k in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(blocks)) == k).collect()
+        found = found.unionByName(names.mapInArrow(_names_in(questions.sparkSession.sparkContext.broadcast([tuple(r) for r in rows]), most, arrow), schema))
     order = Window.partitionBy("conv_id", "turn").orderBy(F.desc(F.length("name")), "name")
-    return found.select("conv_id", "turn", "name", F.row_number().over(order).cast("long").alias("place")).where(F.col("place") <= most)
+    return found.distinct().select("conv_id", "turn", "name", F.row_number().over(order).cast("long").alias("place")).where(F.col("place") <= most)
+
+
+def _names_in(shared, most: int, schema: pa.Schema):
+    """Passes over the questions of shared with each automaton of a task's names (name, key)."""
+
+    def occurring(held: dict[str, list[str]]):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for key, names in held.items():
+            automaton.add_word(key, names)
+        automaton.make_automaton()
+        out = []
+        for conv, turn, text in shared.value:
+            there = {name for _, names in automaton.iter(text) for name in names}
+            out += [(conv, turn, name) for name in sorted(there, key=lambda n: (-len(n), n))[:most]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held: dict[str, list[str]] = {}
+
+        def batch():
+            found = occurring(held)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else [[]] * 3, schema.types, strict=True)], schema=schema)
+
+        for b in batches:
+            for name, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.setdefault(key, []).append(name)
+            if len(held) >= NAMES_TOGETHER:
+                yield batch()
+                held = {}
+        if held:
+            yield batch()
+
+    return run
 
 
 def symbol_list(symbols: DataFrame) -> DataFrame:

@@ -135,3 +135,24 @@ def test_postings_are_kept_and_dropped(spark, tmp_path):
     assert sorted((r.id, r.token, r.n_tokens) for r in R.load_postings(spark, path).collect()) == sorted((r.id, r.token, r.n_tokens) for r in R.postings(docs).collect())
     R.drop_postings(spark, path)
     assert R.load_postings(spark, path) is None
+
+
+def test_names_in_questions(spark, monkeypatch):
+    import random
+
+    from codeloom.plans import chat as C
+
+    rng = random.Random(4)
+    names = sorted({"".join(rng.choice("abAB_é") for _ in range(rng.randint(1, 6))) for _ in range(300)} | {"İx", "getUser", "GETUSER"})
+    texts = [(c, t, None if c == 9 else "".join(rng.choice("abAB_é ") for _ in range(rng.randint(0, 60)))) for c in range(12) for t in range(3)] + [(20, 1, "What does getUser do?"), (21, 1, ""), (22, 1, "i̇x")]
+    questions = spark.createDataFrame(texts, "conv_id bigint, turn int, text string")
+    symbols = spark.createDataFrame([(n, "x") for n in [*names, names[0], "", None]], "name string, text string").repartition(3)
+    want = set()
+    for c, t, text in texts:
+        hits = sorted((n for n in names if text is not None and n.lower() in text.lower()), key=lambda n: (-len(n), n))[:5]
+        want |= {(c, t, n, k + 1) for k, n in enumerate(hits)}
+    for together, chars in ((200_000, 32_000_000), (7, 100)):
+        monkeypatch.setattr(C, "NAMES_TOGETHER", together)
+        monkeypatch.setattr(C, "QUESTION_CHARS", chars)
+        assert {tuple(r) for r in C.match_symbols(questions, symbols).collect()} == want
+    assert C.match_symbols(questions, symbols.limit(0)).count() == 0 and C.match_symbols(questions.limit(0), symbols).count() == 0
