@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
@@ -9,7 +11,9 @@ from codeloom.operators import parse as PR
 from codeloom.plans import chat as C
 from codeloom.plans import models as M
 from codeloom.queries.shapes import duck, shape
+from codeloom.sources.work import work_dir
 from codeloom.streaming import events as E
+from codeloom.streaming.frames import EVENTS, events_of_chunks
 
 QUERIES: dict = {}
 
@@ -56,6 +60,23 @@ QUERIES["llm7_smart_resolve"] = (_resolved, duck("""+q AS (SELECT conv_id, turn,
 QUERIES["str2_docs_events"] = (lambda s, d: E.docs_events(shape(s, d, "methods")), duck("""+c AS (SELECT file_path, class_name, row_number() OVER (PARTITION BY file_path ORDER BY min(line_start), class_name) AS k FROM methods GROUP BY 1, 2), n AS (SELECT file_path, max(k) AS n FROM c GROUP BY 1)
     SELECT file_path, 0::BIGINT AS seq, 'header' AS kind, '' AS class_name FROM n UNION ALL SELECT file_path, 2 * k - 1, 'progress', class_name FROM c UNION ALL SELECT file_path, 2 * k, 'text', class_name FROM c UNION ALL SELECT file_path, 2 * n + 1, 'done', '' FROM n""", "methods"))
 QUERIES["str3_frames"] = (lambda s, d: E.parse_frames(E.frames(shape(s, d, "events").select("user_id", "event_id", "event_type"))), "SELECT user_id, event_id, event_type FROM events")
+
+
+def _streamed(s, d):
+    """The frames of all users, cut into chunks of 500 characters, as a stream that runs to its end."""
+    path = f"{work_dir(s)}/codeloom-tables/stream-{uuid.uuid4().hex}"
+    text = E.frames(shape(s, d, "events").select("user_id", "event_id", "event_type"))
+    last = F.greatest(F.ceil(F.length("text") / 500) - 1, F.lit(0))
+    chunks = text.select(F.col("user_id").alias("connection"), "text", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("seq"))
+    chunks.select("connection", "seq", F.substr("text", (F.col("seq") * 500 + 1).cast("int"), F.lit(500)).cast("binary").alias("data")).write.parquet(f"{path}/in")
+    source = s.readStream.schema("connection bigint, seq bigint, data binary").parquet(f"{path}/in")
+    query = events_of_chunks(source, silence_ms=None).writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out")
+    query.awaitTermination()
+    rows = s.read.schema(f"connection bigint, {EVENTS}").parquet(f"{path}/out")
+    return rows.select(F.col("connection").alias("user_id"), F.from_json("payload", "event_id bigint, event_type string").alias("x")).select("user_id", "x.event_id", "x.event_type")
+
+
+QUERIES["str3_stream_of_chunks"] = (_streamed, QUERIES["str3_frames"][1])
 QUERIES["str4_index_progress"] = (lambda s, d: E.progress(shape(s, d, "repos")), duck("SELECT indexed, count(*) AS n, bool_and(indexed >= 2) AS finished FROM repos GROUP BY 1", "repos"))
 QUERIES["par1_parse_files"] = (lambda s, d: PR.parse_files(shape(s, d, "pages").select(F.lit("r").alias("repo_id"), F.concat(F.col("page_id").cast("string"), F.lit(".vue")).alias("path"), F.lit("vue").alias("language"), F.col("html").alias("source"))).select("file_path", "pos", "line_start", "line_end", "chunk_type", "is_primary"), None)
 QUERIES["par5_has_body"] = (lambda s, d: shape(s, d, "documents").select("doc_id", PR.solid_lines(F.col("text")).alias("n")), "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '' AND trim(l) NOT IN ('{', '}') AND NOT starts_with(trim(l), '*') AND NOT starts_with(trim(l), '//') AND NOT starts_with(trim(l), '/*') AND NOT starts_with(trim(l), '@')))::BIGINT AS n FROM documents")
