@@ -44,6 +44,14 @@ def test_op6_odd_urls(spark):
     assert filter_urls(spark.createDataFrame([], "page_id bigint, url string"), Q.URL_RULES).count() == 0
 
 
+def test_op6_rules_are_those_of_its_contract(spark):
+    contract = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+    assert sorted((r.name, r.verdict) for r in Q.URL_RULES) == sorted(contract)
+    urls = [(k, f"http://a.{name}x") for k, (name, _) in enumerate(contract)] + [(9, "http://a.org/en/")]
+    found = {r.page_id: (r.rule, r.verdict) for r in filter_urls(spark.createDataFrame(urls, "page_id bigint, url string"), Q.URL_RULES, default="other").collect()}
+    assert found == {**dict(enumerate(contract)), 9: (None, "other")}
+
+
 def test_globs_and_many_words():
     rules = [Rule(f"h{i}.x", f"/p{i}", "block") for i in range(80)] + [Rule("a*z.x", "/q?/*end", "allow")]
     auto = ShiftAnd(rules)
