@@ -54,13 +54,14 @@ FORMS = {
 }
 
 
-def _fill(text: str):
-    """text as a column, with the row's class and name in it."""
+def _fill(text: str, class_name=None, name=None):
+    """text as a column, with the row's class and name, or those given, in it."""
+    class_name, name = F.col("class_name") if class_name is None else class_name, F.col("name") if name is None else name
     parts = text.replace("{{", "\0").replace("}}", "\1").replace("{class}", "\2").replace("{name}", "\3")
     cols, rest = [], ""
     for c in parts:
         if c in "\2\3":
-            cols += [F.lit(rest), F.col("class_name" if c == "\2" else "name")]
+            cols += [F.lit(rest), class_name if c == "\2" else name]
             rest = ""
         else:
             rest += {"\0": "{", "\1": "}"}.get(c, c)
@@ -72,14 +73,18 @@ def sources(spark, d, form: str) -> DataFrame:
     language, end, head, bodies, tail = FORMS[form] if form in FORMS else VARIED[form]
     texts = [bodies] if form in FORMS else [b[0] for b in bodies]
     rows = shape(spark, d, "methods").withColumn("class_name", F.when(F.col("class_name") == "", "X").otherwise(F.col("class_name")))
-    rows = rows.withColumn("k", (F.row_number().over(Window.partitionBy("file_path").orderBy("id")) - 1) % len(texts)) if len(texts) > 1 else rows.withColumn("k", F.lit(0))
-    text = F.coalesce(*[F.when(F.col("k") == k, _fill(x)) for k, x in enumerate(texts)])
-    rows = rows.select("file_path", "class_name", F.struct("id", text.alias("text")).alias("m"))
-    made = rows.groupBy("file_path").agg(F.min("class_name").alias("class_name"), F.array_sort(F.collect_list("m")).alias("m"))
-    source = F.concat(_fill(head), F.array_join(F.transform("m", lambda x: x["text"]), ""), _fill(tail))
+    # Files are put together of their rows' names; texts are written out only where a file's rows are already together.
+    made = rows.repartition(_pieces(spark), "file_path").groupBy("file_path").agg(F.min("class_name").alias("class_name"), F.array_sort(F.collect_list(F.struct("id", "class_name", "name"))).alias("m"))
+    member = lambda m, i: F.coalesce(*[F.when(i % len(texts) == k, _fill(x, m["class_name"], m["name"])) for k, x in enumerate(texts)])
+    source = F.concat(_fill(head), F.array_join(F.transform("m", member), ""), _fill(tail))
     return made.select(F.lit("r").alias("repo_id"), F.concat("file_path", F.lit(end)).alias("path"), F.lit(language).alias("language"), source.alias("source"))
 
 
+def _pieces(spark) -> int:
+    """Pieces that rows are dealt into whose parsing costs much more than their bytes tell: a file or a few each, which is what a task holds."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def _parsed(form: str, *columns, parse=P.parse_chunks):
     return lambda spark, d: P.parse_files(sources(spark, d, form), parse=parse).selectExpr("file_path", "cast(line_start as bigint) line_start", *columns)
 
@@ -129,8 +134,8 @@ def _per_text(spark, d, function, kind: str) -> DataFrame:
 QUERIES["par4_brace_end"] = (lambda spark, d: _per_text(spark, d, lambda t: P.brace_end(["f {", "x {", "}", "}", *t.split("\n")], 0, 9), "bigint"), "SELECT doc_id, 3::BIGINT AS found FROM documents")
 QUERIES["par7_windows"] = (lambda spark, d: _per_text(spark, d, lambda t: sum(c.is_primary for c in P.windows(t, max_tokens=400)), "bigint"), None)
 QUERIES["par12_leading_comment"] = (lambda spark, d: _per_text(spark, d, lambda t: P.leading_comment("/**\n" + "\n".join(f" * {x}" for x in t.split("\n")) + "\n */\n@A\n// last\nx // after"), "string"), "SELECT doc_id, array_to_string(list_filter(list_append(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: trim(regexp_replace(l, '^[/*\\s]+', ''))), 'last'), lambda l: l <> '')[1:3], ' ') AS found FROM documents")
-QUERIES["par17_java_types"] = (lambda spark, d: shape(spark, d, "methods").select("id", F.lit("Repo repo; List<Foo> all = x; void f(Order o, int n) {}").alias("code")).mapInPandas(lambda it: (pd.DataFrame({"id": b["id"], "found": [",".join(f"{k}:{v}" for k, v in sorted(P.java_types(c).items())) for c in b["code"]]}) for b in it), "id string, found string"), duck("SELECT id, 'all:List,n:int,o:Order,repo:Repo' AS found FROM methods", "methods"))
-QUERIES["par18_js_types"] = (lambda spark, d: shape(spark, d, "methods").select("id", F.concat(F.lit("import { A as B, C } from 'x';\nimport D from 'y';\nconst "), "name", F.lit(" = require('z');")).alias("code")).mapInPandas(lambda it: (pd.DataFrame({"id": b["id"], "found": [",".join(f"{k}:{v}" for k, v in sorted(P.js_imports(c).items())) for c in b["code"]]}) for b in it), "id string, found string"), duck("SELECT id, 'B:A,C:C,D:D,' || name || ':' || name AS found FROM methods", "methods"))
+QUERIES["par17_java_types"] = (lambda spark, d: shape(spark, d, "methods").repartition(_pieces(spark)).select("id", F.lit("Repo repo; List<Foo> all = x; void f(Order o, int n) {}").alias("code")).mapInPandas(lambda it: (pd.DataFrame({"id": b["id"], "found": [",".join(f"{k}:{v}" for k, v in sorted(P.java_types(c).items())) for c in b["code"]]}) for b in it), "id string, found string"), duck("SELECT id, 'all:List,n:int,o:Order,repo:Repo' AS found FROM methods", "methods"))
+QUERIES["par18_js_types"] = (lambda spark, d: shape(spark, d, "methods").repartition(_pieces(spark)).select("id", F.concat(F.lit("import { A as B, C } from 'x';\nimport D from 'y';\nconst "), "name", F.lit(" = require('z');")).alias("code")).mapInPandas(lambda it: (pd.DataFrame({"id": b["id"], "found": [",".join(f"{k}:{v}" for k, v in sorted(P.js_imports(c).items())) for c in b["code"]]}) for b in it), "id string, found string"), duck("SELECT id, 'B:A,C:C,D:D,' || name || ':' || name AS found FROM methods", "methods"))
 QUERIES["par19_type_precedence"] = (lambda spark, d: P.parse_files(sources(spark, d, "java").withColumn("source", F.replace("source", F.lit("check(o);"), F.lit("Other repo = x; repo.go(o);")))).selectExpr("file_path", "symbol", "cast(line_start as bigint) line_start", _CALLS), _expected("java", 4, 5, "name AS symbol, 'Other.' || name || ',Other.go' AS calls"))
 
 
@@ -140,7 +145,7 @@ def _mixed_files(spark, d) -> DataFrame:
     k = F.col("id").cast("long") % len(kinds)
     pick = lambda i: F.coalesce(*[F.when(k == n, _fill(x[i])) for n, x in enumerate(kinds)])
     rows = shape(spark, d, "methods").withColumn("class_name", F.when(F.col("class_name") == "", "X").otherwise(F.col("class_name")))
-    return rows.select(F.lit("r").alias("repo_id"), F.concat("id", pick(0)).alias("path"), pick(1).alias("language"), pick(2).alias("source"))
+    return rows.repartition(_pieces(spark)).select(F.lit("r").alias("repo_id"), F.concat("id", pick(0)).alias("path"), pick(1).alias("language"), pick(2).alias("source"))
 
 
 QUERIES["par1_chunk_kinds"] = (

@@ -81,3 +81,30 @@ def test_parse_files(spark):
     rows = parse_files(files)
     assert sorted(r.name for r in symbols(rows).collect()) == ["cols", "findAll", "save"]
     assert rows.select("symbol_id").distinct().count() == 3
+
+
+def test_tokens_of_a_long_file_share_their_strings():
+    from codeloom.operators.syntax import Tokens
+
+    t = Tokens("step(one, two);\n" * 3000, script=False)
+    assert t.n == 21000 and len({id(x) for x in t.x}) == 8
+    assert t.start.itemsize == 8 and len(t.broken) == t.n + 1 and t.broken[7] and not t.broken[8]
+
+
+def test_a_files_chunks_leave_in_several_batches(spark, monkeypatch):
+    from codeloom.operators import parse as P
+
+    monkeypatch.setattr(P, "MOST_ROWS", 3)
+    monkeypatch.setattr(P, "MOST_CHARS", 10**9)
+    methods = "".join(f"    void m{i}() {{\n        go();\n        f();\n    }}\n" for i in range(10))
+    rows = parse_files(spark.createDataFrame([("r", "A.java", "java", f"class A {{\n{methods}}}\n")], "repo_id string, path string, language string, source string")).collect()
+    assert [(r.pos, r.symbol, r.calls) for r in sorted(rows, key=lambda r: r.pos)] == [(i, f"m{i}", ["go", "f"]) for i in range(10)]
+
+
+def test_few_bytes_of_much_work_are_dealt_to_all_cores(spark):
+    from codeloom.queries import parsing as Q
+
+    least = 4 * spark.sparkContext.defaultParallelism
+    frames = [Q.sources(spark, "/root/testdata/sf0.001", "long"), Q.sources(spark, "/root/testdata/sf0.001", "ts_varied")]
+    frames += [Q._mixed_files(spark, "/root/testdata/sf0.001"), Q.QUERIES["par17_java_types"][0](spark, "/root/testdata/sf0.001")]
+    assert all(f.rdd.getNumPartitions() >= least for f in frames)
