@@ -32,14 +32,30 @@ def resolve_calls(calls: DataFrame, methods: DataFrame) -> DataFrame:
     """
     keys = name_map(methods)
     known = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("only"))
-    refs = calls.select("caller", "ref", "pos")
-    seen = refs.join(known.select(F.col("key").alias("ref"), F.lit(True).alias("exact")), "ref", "left")
-    exact = seen.where("exact").join(keys.withColumnRenamed("key", "ref"), "ref").where("id <> caller").select("caller", "ref", "pos", F.col("id").alias("callee"))
-    bare = seen.where(F.col("exact").isNull() & F.col("ref").contains(".")).withColumn("key", F.substring_index("ref", ".", -1))
-    single = bare.join(known.where("n = 1"), "key").where("only <> caller").select("caller", "ref", "pos", F.col("only").alias("callee"))
-    out = exact.union(single)
-    shared = F.count("*").over(Window.partitionBy("caller", "ref", "pos"))
-    return out.withColumn("confidence", F.when(F.col("ref").contains("."), 1.0).otherwise(0.7) / shared)
+    refs = _references(calls, keys, known)
+    exact = refs.where("exact").join(keys.withColumnRenamed("key", "ref"), "ref").where("id <> caller").select("caller", "ref", "pos", F.col("id").alias("callee"), "confidence", "times")
+    out = exact.unionByName(_last_names(refs, known))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("caller", "ref", "pos", "callee", "confidence")
+
+
+def _references(calls: DataFrame, keys: DataFrame, known: DataFrame) -> DataFrame:
+    """Each (caller, ref, pos) once, with its repetitions (times), whether a method has the key (exact), and the confidence of each of its callees.
+
+    A reference's callees are counted from its key's methods less the caller's own, so that no row for each callee is shuffled or sorted.
+    """
+    refs = calls.groupBy("caller", "ref", "pos").agg(F.count("*").alias("times"))
+    own = keys.groupBy(F.col("key").alias("ref"), F.col("id").alias("caller")).agg(F.count("*").alias("own"))
+    seen = refs.join(known.select(F.col("key").alias("ref"), F.col("n"), F.lit(True).alias("exact")), "ref", "left").join(own, ["ref", "caller"], "left")
+    callees = (F.col("n") - F.coalesce("own", F.lit(0).cast("long"))) * F.col("times")
+    share = F.when(F.col("ref").contains("."), 1.0).otherwise(0.7) / F.when(callees > 0, callees)
+    return seen.select("caller", "ref", "pos", "times", F.coalesce("exact", F.lit(False)).alias("exact"), share.alias("confidence"))
+
+
+def _last_names(refs: DataFrame, known: DataFrame) -> DataFrame:
+    """The one callee, by last name, of dotted references whose key no method has."""
+    bare = refs.where(~F.col("exact") & F.col("ref").contains(".")).withColumn("key", F.substring_index("ref", ".", -1))
+    found = bare.join(known.where("n = 1"), "key").where("only <> caller")
+    return found.select("caller", "ref", "pos", F.col("only").alias("callee"), (1.0 / F.col("times")).alias("confidence"), "times")
 
 
 def call_edges(resolved: DataFrame) -> DataFrame:
@@ -47,6 +63,28 @@ def call_edges(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy(F.col("caller").alias("src"), F.col("callee").alias("dst")).agg(F.count("*").alias("call_count"), F.min_by("confidence", F.struct("pos", "ref")).alias("confidence")).withColumn("edge_type", F.lit(CALLS))
 
 
+def resolved_edges(calls: DataFrame, methods: DataFrame) -> DataFrame:
+    """call_edges(resolve_calls(calls, methods)), for names that very many methods share.
+
+    Methods of the same keys are one group: a caller's references are added up by group, and only then do its methods, but the caller
+    itself, take the place of the group. So what is shuffled grows with references and groups, and edges are only written.
+    """
+    keys = name_map(methods)
+    known = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("only"))
+    refs = _references(calls, keys, known)
+    last = _last_names(refs, known).select("caller", F.col("callee").alias("one"), "ref", "pos", "confidence", "times")
+    groups = keys.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    group_of_key = groups.select("keys").distinct().select("keys", F.explode("keys").alias("ref"))
+    exact = refs.where("exact").join(group_of_key, "ref")
+    single = last.join(groups.withColumnRenamed("id", "one"), "one")
+    # A group that a caller reaches by a last name has one method with that name, and so one method.
+    columns = ["caller", "keys", "ref", "pos", "confidence", "times"]
+    found = exact.select(columns).unionByName(single.select(columns))
+    added = found.groupBy("caller", "keys").agg(F.sum("times").alias("call_count"), F.min_by("confidence", F.struct("pos", "ref")).alias("confidence"))
+    out = added.join(groups, "keys").where("id <> caller")
+    return out.select(F.col("caller").alias("src"), F.col("id").alias("dst"), "call_count", "confidence", F.lit(CALLS).alias("edge_type"))
+
+
 def existing_edges(edges: DataFrame, methods: DataFrame) -> DataFrame:
     """JOIN-5: edges both of whose ends are methods."""
     ids = methods.select("id")

@@ -84,3 +84,27 @@ def test_many_centres(spark):
     assert len(found) == 150 * 150
     assert all(layer == (int(n) - int(c) if abs(int(n) - int(c)) <= 2 else 0) for (c, n), layer in found.items())
     assert G.layers(ids, edges, ids.limit(0).selectExpr("id AS centre"), 2).count() == 0
+
+
+def test_edges_by_groups_equal_edges_of_resolved_calls(spark):
+    import random
+
+    rng = random.Random(5)
+    names, classes = ["f", "g", "h", "i", "A.f"], ["", "A", "B", "C"]
+    m = methods(spark, *[(str(k), rng.choice(names), rng.choice(classes), "method") for k in range(40)], ("90", "lone", "A", "method"), ("90", "lone", "B", "method"), ("91", "only", "", "method"))
+    refs = [*names, *[f"{c}.{n}" for c in ("A", "B", "v") for n in names], "v.only", "only", "x.lone", "none", "x.none"]
+    calls = [(str(rng.choice([*range(40), 90, 91])), rng.choice(refs), rng.randint(1, 9)) for _ in range(600)]
+    calls = spark.createDataFrame(calls + calls[:50], "caller string, ref string, pos int")
+    resolved = G.resolve_calls(calls, m)
+    rows = lambda df: sorted((r.src, r.dst, r.call_count, round(r.confidence, 12), r.edge_type) for r in df.collect())
+    assert rows(G.resolved_edges(calls, m)) == rows(G.call_edges(resolved))
+    per = {}
+    for r in resolved.collect():
+        per.setdefault((r.caller, r.ref, r.pos), []).append(r.confidence)
+    assert all(abs(sum(v) - (1.0 if "." in k[1] else 0.7)) < 1e-9 for k, v in per.items())
+
+
+def test_no_row_for_each_callee_is_shuffled(spark):
+    m = methods(spark, *[(str(k), "f", "A", "method") for k in range(3)])
+    calls = spark.createDataFrame([("9", "f", 1)], "caller string, ref string, pos int")
+    assert "Window" not in G.resolve_calls(calls, m)._jdf.queryExecution().executedPlan().toString()
