@@ -51,7 +51,7 @@ def join4(spark, d):
 
 @query("agg7_call_edges", duck(f"+{_RESOLVED} SELECT caller AS src, callee AS dst, count(*) AS call_count, round(arg_min(confidence, (pos, ref)), 9) AS confidence, 'CALLS' AS edge_type FROM resolved GROUP BY 1, 2", "methods", "calls"))
 def agg7(spark, d):
-    edges = G.call_edges(G.resolve_calls(shape(spark, d, "calls"), shape(spark, d, "methods")))
+    edges = G.resolved_edges(shape(spark, d, "calls"), shape(spark, d, "methods"))
     return edges.withColumn("confidence", F.round("confidence", 9))
 
 
