@@ -198,23 +198,36 @@ def class_graph(methods: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def call_paths(pairs: DataFrame, edges: DataFrame, longest: int = 6) -> DataFrame:
-    """JOIN-18: shortest call path of each pair (from_id, to_id): nodes (of equal paths the smallest), path_length, found."""
-    step = edges.where(F.col("edge_type") == CALLS).select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct()
+    """JOIN-18: shortest call path of each pair (from_id, to_id): nodes (of equal paths the smallest), path_length, found.
+
+    Walks go half of the way from each start and half of the way back from each end, and meet: a path that is no longer than the
+    first half meets at its end, a longer one where the first half ends.
+    """
+    step = edges.where(F.col("edge_type") == CALLS).select("src", "dst").distinct()
     pairs = pairs.select("from_id", "to_id").distinct()
-    front = pairs.select("from_id", "to_id", F.col("from_id").alias("at"), F.array("from_id").alias("path"))
-    done = front.where("at = to_id")
-    known = front.select("from_id", "to_id", "at")
-    for _ in range(longest):
-        front = front.join(done.select("from_id", "to_id"), ["from_id", "to_id"], "left_anti")
-        found = front.join(step, "at").groupBy("from_id", "to_id", F.col("next").alias("at")).agg(F.min(F.concat("path", F.array("next"))).alias("path"))
-        front = checkpointed(found.join(known, ["from_id", "to_id", "at"], "left_anti"), "paths")
-        known = known.unionByName(front.select("from_id", "to_id", "at"))
-        done = done.unionByName(front.where("at = to_id"))
-    best = done.select("from_id", "to_id", "path")
+    half = -(-longest // 2)
+    ahead = _smallest_walks(pairs.select(F.col("from_id").alias("start")), step.toDF("at", "next"), half, True)
+    back = _smallest_walks(pairs.select(F.col("to_id").alias("start")), step.select(F.col("dst").alias("at"), F.col("src").alias("next")), longest - half, False)
+    met = pairs.join(ahead.select(F.col("start").alias("from_id"), "at", F.col("hop").alias("gone"), F.col("path").alias("head")), "from_id").join(back.select(F.col("start").alias("to_id"), "at", F.col("hop").alias("left"), F.col("path").alias("tail")), ["to_id", "at"])
+    whole = F.struct((F.col("gone") + F.col("left")).alias("length"), F.concat("head", F.slice("tail", 2, longest + 1)).alias("path"))
+    best = met.where((F.col("left") == 0) | (F.col("gone") == half)).groupBy("from_id", "to_id").agg(F.min(whole)["path"].alias("path"))
     out = pairs.join(best, ["from_id", "to_id"], "left")
     return out.select("from_id", "to_id", "path", F.when(F.col("path").isNotNull(), F.size("path") - 1).alias("path_length"), F.col("path").isNotNull().alias("found"))
 
 
+def _smallest_walks(starts: DataFrame, step: DataFrame, depth: int, ahead: bool) -> DataFrame:
+    """start, at, hop, path: nodes within depth steps (at, next) of each start, the fewest steps, and the smallest path of that length, which runs to the node if ahead, else from it."""
+    starts = starts.distinct()
+    front = starts.select("start", F.col("start").alias("at"), F.array("start").alias("path"))
+    known = front.withColumn("hop", F.lit(0))
+    for hop in range(1, depth + 1):
+        path = F.concat("path", F.array("next")) if ahead else F.concat(F.array("next"), "path")
+        found = front.join(step, "at").groupBy("start", F.col("next").alias("at")).agg(F.min(path).alias("path"))
+        front = checkpointed(found.join(known.select("start", "at"), ["start", "at"], "left_anti"), "paths")
+        known = known.unionByName(front.withColumn("hop", F.lit(hop)))
+    return known
+
+
 def call_chain(methods: DataFrame, edges: DataFrame) -> DataFrame:
     """JOIN-8: callers and callees of every method, one hop, as sorted arrays of names; each side is gathered by itself."""
     calls = edges.where(F.col("edge_type") == CALLS)

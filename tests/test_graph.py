@@ -108,3 +108,27 @@ def test_no_row_for_each_callee_is_shuffled(spark):
     m = methods(spark, *[(str(k), "f", "A", "method") for k in range(3)])
     calls = spark.createDataFrame([("9", "f", 1)], "caller string, ref string, pos int")
     assert "Window" not in G.resolve_calls(calls, m)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_paths_meet_half_way(spark, monkeypatch):
+    import itertools
+    import random
+
+    rng = random.Random(8)
+    nodes = [str(i) for i in range(30)]
+    some = {(rng.choice(nodes), rng.choice(nodes)) for _ in range(48)}
+    written = []
+    monkeypatch.setattr(G, "checkpointed", lambda df, name, real=G.checkpointed: written.append(real(df, name)) or written[-1])
+    pairs = list(itertools.product(nodes[:8], nodes))
+    for longest in (6, 3, 1):
+        written.clear()
+        found = {(r.from_id, r.to_id): r.path for r in G.call_paths(spark.createDataFrame(pairs, "from_id string, to_id string"), edges(spark, *some), longest).collect()}
+        best = {}
+        for a in nodes[:8]:
+            level, seen = {a: [a]}, {}
+            for _ in range(longest + 1):
+                seen |= {n: p for n, p in level.items() if n not in seen}
+                level = {n: min(p + [n] for m, p in level.items() if (m, n) in some) for n in {y for x, y in some if x in level} - set(seen)}
+            best |= {(a, n): seen.get(n) for n in nodes}
+        assert found == best
+        assert max((len(r.path) for w in written for r in w.collect()), default=0) <= -(-longest // 2) + 1
