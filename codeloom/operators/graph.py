@@ -203,7 +203,7 @@ def call_paths(pairs: DataFrame, edges: DataFrame, longest: int = 6) -> DataFram
     Walks go half of the way from each start and half of the way back from each end, and meet: a path that is no longer than the
     first half meets at its end, a longer one where the first half ends.
     """
-    step = edges.where(F.col("edge_type") == CALLS).select("src", "dst").distinct()
+    step = checkpointed(edges.where(F.col("edge_type") == CALLS).select("src", "dst").distinct(), "call-edges")
     pairs = pairs.select("from_id", "to_id").distinct()
     half = -(-longest // 2)
     ahead = _smallest_walks(pairs.select(F.col("from_id").alias("start")), step.toDF("at", "next"), half, True)
