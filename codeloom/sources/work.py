@@ -36,6 +36,5 @@ def discard(*frames: DataFrame) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over all cores if it comes in fewer pieces than there are cores: a small table whose rows cost much to compute. Larger tables are not shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """df dealt evenly over all cores, for rows that cost much to compute. How many pieces df has says nothing of it: a file with one group of rows, as some writers make of a million rows, is read by one task, and its other pieces are empty."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
