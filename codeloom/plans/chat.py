@@ -46,6 +46,8 @@ def trim_history(turns: DataFrame, budget: int) -> DataFrame:
 
 #: Names of one automaton, and characters of the questions that are broadcast together.
 NAMES_TOGETHER, QUESTION_CHARS = 200_000, 32_000_000
+#: Rows that a task holds before it gives them on.
+ROWS_TOGETHER = 20_000
 
 
 def match_symbols(questions: DataFrame, symbols: DataFrame, most: int = 5) -> DataFrame:
@@ -83,23 +85,26 @@ def _names_in(shared, most: int, schema: pa.Schema):
         for conv, turn, text in shared.value:
             there = {name for _, names in automaton.iter(text) for name in names}
             out += [(conv, turn, name) for name in sorted(there, key=lambda n: (-len(n), n))[:most]]
-        return out
+            if len(out) >= ROWS_TOGETHER:
+                yield out
+                out = []
+        yield out
 
     def run(batches: Iterator[pa.RecordBatch]):
         held: dict[str, list[str]] = {}
 
-        def batch():
-            found = occurring(held)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else [[]] * 3, schema.types, strict=True)], schema=schema)
+        def found():
+            for rows in occurring(held):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 3, schema.types, strict=True)], schema=schema)
 
         for b in batches:
             for name, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held.setdefault(key, []).append(name)
             if len(held) >= NAMES_TOGETHER:
-                yield batch()
+                yield from found()
                 held = {}
         if held:
-            yield batch()
+            yield from found()
 
     return run
 
@@ -178,12 +183,12 @@ def smart_resolve(rows: DataFrame, symbols: DataFrame, model: Model = no_model,
     keys = ["conv_id", "turn"]
     long = rows.where(needs_narrowing(F.col("code"), F.col("intent")))
     named = match_symbols(long.select(*keys, "text"), symbols).join(symbols.select("id", "name"), "name").select(*keys, "id")
-    listed = symbol_list(symbols)
+    listed = symbol_list(symbols).select("listing").first()
     order = Window.partitionBy("file_path").orderBy("line_start", "id")
     numbered = symbols.select("id", "file_path", F.row_number().over(order).alias("k"))
     rest = long.join(named.select(*keys).distinct(), keys, "left_anti")
-    asked = rest.crossJoin(F.broadcast(listed.limit(1))).select(F.struct(*keys).alias("id"), F.col("text").alias("question"), "listing", F.size(F.split("listing", "\n")).alias("n"))
-    picked = picked_symbols(asked, model).select("id.conv_id", "id.turn", F.explode("picked").alias("k")).join(numbered, "k").select(*keys, "id")
+    asked = rest.select(F.struct(*keys).alias("id"), F.col("text").alias("question"))
+    picked = picked_symbols(asked if listed else asked.limit(0), model, listed.listing if listed else "").select("id.conv_id", "id.turn", F.explode("picked").alias("k")).join(numbered, "k").select(*keys, "id")
     found = named.union(picked).distinct().join(symbols, "id").join(long.select(*keys, "code"), keys)
     pieces = symbol_code(found.select(F.struct(*keys, "line_start", "id").alias("id"), F.col("code").alias("text"), "line_start", "line_end", "class_name", "name"))
     joined = pieces.groupBy("id.conv_id", "id.turn").agg(F.array_sort(F.collect_list(F.struct("id.line_start", F.col("id.id").alias("symbol"), "code"))).alias("x"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,17 +19,25 @@ def no_model(prompts: list[str]) -> list[str]:
     return [""] * len(prompts)
 
 
-def answered(rows: DataFrame, prompt_col: str, model: Model = no_model) -> DataFrame:
-    """rows with answer; prompts that are null get none. One call of the model for each Arrow batch."""
+#: Characters of the prompts that go to a model together.
+PROMPT_CHARS = 8_000_000
+
+
+def answered(rows: DataFrame, prompt_col: str, model: Model = no_model, end: str = "") -> DataFrame:
+    """rows with answer; prompts that are null get none. What all prompts end with (end) is sent to a worker once, and put there.
+
+    A model is called with prompts of PROMPT_CHARS characters together, or a single longer one, within an Arrow batch.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(end)
 
     def run(batches: Iterator[pd.DataFrame]):
         for b in batches:
-            asked = b[prompt_col].notna()
             answers = pd.Series([""] * len(b), index=b.index, dtype=object)
-            try:
-                answers[asked] = model(b.loc[asked, prompt_col].tolist())
-            except Exception:  # a model that is down costs its answers, not the search
-                answers[asked] = ""
+            asked = b.loc[b[prompt_col].notna(), prompt_col]
+            group = ((asked.str.len() + len(shared.value)).cumsum() // PROMPT_CHARS).astype("int64")
+            for _, some in asked.groupby(group):
+                with contextlib.suppress(Exception):  # a model that is down costs its answers, not the search
+                    answers[some.index] = model([x + shared.value for x in some])
             yield b.assign(answer=answers)
 
     return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("answer", StringType())]))
@@ -46,10 +55,17 @@ def hypotheses(queries: DataFrame, model: Model = no_model) -> DataFrame:
     return answered(queries.select("query_id", prompt.alias("prompt")), "prompt", model).select("query_id", clean_hypothesis(F.col("answer")).alias("code"))
 
 
-def picked_symbols(rows: DataFrame, model: Model = no_model) -> DataFrame:
-    """LLM-3: id and the numbers that the model picks from a numbered list of symbols (id, question, listing, n)."""
-    prompt = F.concat(F.lit("Numbers, separated by commas, of the symbols that this is about: "), "question", F.lit("\n"), "listing")
-    return answered(rows.select("id", "n", prompt.alias("prompt")), "prompt", model).select("id", picked_numbers(F.col("answer"), F.col("n")).alias("picked"))
+def picked_symbols(rows: DataFrame, model: Model = no_model, listing: str | None = None) -> DataFrame:
+    """LLM-3: id and the numbers that the model picks from a numbered list of symbols (id, question, listing, n).
+
+    A listing that all questions have in common (id, question) is not written into each row.
+    """
+    head = F.concat(F.lit("Numbers, separated by commas, of the symbols that this is about: "), "question", F.lit("\n"))
+    if listing is None:
+        found = answered(rows.select("id", "n", F.concat(head, "listing").alias("prompt")), "prompt", model)
+    else:
+        found = answered(rows.select("id", F.lit(len(listing.split("\n"))).alias("n"), head.alias("prompt")), "prompt", model, listing)
+    return found.select("id", picked_numbers(F.col("answer"), F.col("n")).alias("picked"))
 
 
 def legacy_messages(turns: DataFrame, most: int = 20) -> DataFrame:
