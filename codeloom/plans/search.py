@@ -84,13 +84,6 @@ def context_blocks(ranked: DataFrame, most: int = 5, tokens: int = 700) -> DataF
     return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["piece"]), "\n\n").alias("block"))
 
 
-def shared_tokens(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Documents and (document, token) pairs that each query shares tokens with."""
-    q = queries.select("query_id", F.explode(F.map_keys("weights")).alias("token"))
-    p = docs.select("id", F.explode(F.map_keys("weights")).alias("token"))
-    return q.join(p, "token").groupBy("query_id").agg(F.countDistinct("id").alias("n_docs"), F.count("*").alias("n_pairs"))
-
-
 def normalised(ranked: DataFrame) -> DataFrame:
     """AGG-12: scores relative to the query's best."""
     return ranked.select("query_id", "id", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 6).alias("score"))

@@ -79,7 +79,7 @@ def _indexed(s, d):
 
 
 QUERIES["ret2_indexed_search"] = (lambda s, d: _indexed(s, d).select("query_id", "id", "score"), QUERIES["ret2_sparse_search"][1])
-QUERIES["join14_shared_tokens"] = (lambda s, d: P.shared_tokens(*_sparse(s, d)), f"WITH {_POST} SELECT query_id, count(DISTINCT id) AS n_docs, count(*) AS n_pairs FROM q JOIN p USING (token) GROUP BY 1")
+QUERIES["join14_shared_tokens"] = (lambda s, d: R.shared_tokens(*_sparse(s, d)), f"WITH {_POST} SELECT query_id, count(DISTINCT id) AS n_docs, count(*) AS n_pairs FROM q JOIN p USING (token) GROUP BY 1")
 
 
 def _bm25(s, d):

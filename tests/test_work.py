@@ -33,3 +33,17 @@ def test_dense_scores_are_made_in_parts(spark, monkeypatch):
     whole = sorted(map(tuple, R.dense_search(points.withColumnRenamed("id", "query_id"), points, 5).collect()))
     monkeypatch.setattr(R, "SCORES_TOGETHER", 300)
     assert sorted(map(tuple, R.dense_search(points.withColumnRenamed("id", "query_id"), points, 5).collect())) == whole
+
+
+def test_postings_are_cut_on_all_cores(spark):
+    docs = spark.range(1000).select(F.col("id"), F.concat(F.lit("some word"), "id").alias("text")).coalesce(1)
+    made = R.postings(docs).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in made) == 3000 - 1000 and max(r["count"] for r in made) < 1000
+
+
+def test_shared_tokens_are_counted_without_a_row_for_each_pair(spark):
+    kind = "id string, weights map<string,double>"
+    docs = spark.createDataFrame([(f"p{i}", {"a": 0.0} | {f"t{i % 5}": 2.0}) for i in range(40)] + [("none", {}), ("null", None)], kind)
+    queries = spark.createDataFrame([("q", {"a": 9.0, "t1": 0.0}), ("r", {"t1": 1.0, "t2": 1.0}), ("s", {"z": 1.0}), ("t", None)], kind).withColumnRenamed("id", "query_id")
+    made = R.shared_tokens(queries, docs)
+    assert sorted(map(tuple, made.collect())) == [("q", 40, 48), ("r", 16, 16)]
