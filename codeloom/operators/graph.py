@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from codeloom.sources.work import checkpointed
 
-#: Centres that are handled together, about.
-MOST_CENTRES = 100
+#: Starts that walk together, each a bit of a word.
+WORD = 64
 CALLS, IMPLEMENTS, BELONGS_TO = "CALLS", "IMPLEMENTS", "BELONGS_TO"
 
 
@@ -132,22 +132,44 @@ def pagerank(methods: DataFrame, edges: DataFrame, damping: float = 0.85, rounds
 
 
 def reach(starts: DataFrame, edges: DataFrame, depth: int, backwards: bool = True) -> DataFrame:
-    """Nodes that CALLS edges connect with each start (start, node) in 1 to depth steps: start, node, hop (the fewest steps).
-
-    Breadth first: each round joins the last round's nodes with the edges, which stay partitioned by the end they are met at, and
-    drops what is known; each round's nodes are written.
+    """Nodes that CALLS edges connect with each start (start, node) in 1 to depth steps: start, node, hop (the fewest steps)."""
+    words = _words(starts)
+    bit = lambda c: F.expr(f"shiftrightunsigned({c}, place) & 1L")
+    marked = _walks(starts, words, edges, depth, backwards).join(words, "word").select("node", "hop", "mask", F.posexplode("names").alias("place", "start"))
+    return marked.where(bit("mask") == 1).select("start", "node", "hop")
+
+
+def _words(starts: DataFrame) -> DataFrame:
+    """word, names: the starts, up to WORD of them in a word; a start's place in the array is its bit in the word."""
+    own = starts.select("start").distinct()
+    count = max(-(-own.count() // WORD), 1)
+    dealt = own.withColumn("deal", F.pmod(F.xxhash64("start"), F.lit(count)))
+    placed = dealt.withColumn("place", F.row_number().over(Window.partitionBy("deal").orderBy("start")) - 1)
+    word = F.col("deal") + F.lit(count) * F.floor(F.col("place") / WORD)
+    names = F.transform(F.array_sort(F.collect_list(F.struct("place", "start"))), lambda x: x["start"])
+    return checkpointed(placed.groupBy(word.alias("word")).agg(names.alias("names")), "words")
+
+
+def _walks(starts: DataFrame, words: DataFrame, edges: DataFrame, depth: int, backwards: bool) -> DataFrame:
+    """word, node, hop, mask: the bits of the starts of a word that reach the node in hop steps and no fewer.
+
+    Breadth first, all starts of a word at once: each round joins the last round's nodes with the edges, which stay partitioned by
+    the end they are met at, and takes from a node's bits those that it had; each round's nodes are written. So a round shuffles
+    a row an edge and word at most, not one an edge and start, and repeated edges change nothing.
     """
     calls = edges.where(F.col("edge_type") == CALLS)
-    step = calls.select(F.col("dst" if backwards else "src").alias("node"), F.col("src" if backwards else "dst").alias("next")).distinct().repartition("node").persist()
-    known, front = None, starts.select("start", "node").distinct()
+    step = calls.select(F.col("dst" if backwards else "src").alias("node"), F.col("src" if backwards else "dst").alias("next")).repartition("node").persist()
+    bits = words.select("word", F.posexplode("names").alias("place", "start")).select("word", "start", F.expr("shiftleft(1L, place)").alias("mask"))
+    front = starts.select("start", "node").join(bits, "start").groupBy("word", "node").agg(F.bit_or("mask").alias("mask"))
+    known = None
     for hop in range(1, depth + 1):
-        found = front.join(step, "node").select("start", F.col("next").alias("node")).distinct()
+        found = front.join(step, "node").groupBy("word", F.col("next").alias("node")).agg(F.bit_or("mask").alias("mask"))
         if known is not None:
-            found = found.join(known, ["start", "node"], "left_anti")
-        found = checkpointed(found, "reach")
-        level = found.withColumn("hop", F.lit(hop))
+            seen = known.groupBy("word", "node").agg(F.bit_or("mask").alias("seen"))
+            found = found.join(seen, ["word", "node"], "left").select("word", "node", F.expr("mask & ~coalesce(seen, 0L)").alias("mask")).where("mask <> 0")
+        front = checkpointed(found, "reach")
+        level = front.withColumn("hop", F.lit(hop))
         known = level if known is None else known.unionByName(level)
-        front = found
     step.unpersist()
     return known
 
@@ -158,17 +180,26 @@ def impact(targets: DataFrame, methods: DataFrame, edges: DataFrame, ranks: Data
     A target's SQL statement or Java interface counts as target too, at no cost; the target itself is left out.
     """
     depth = min(depth, 5)
-    links = edges.where(F.col("edge_type") == IMPLEMENTS)
     own = targets.select(F.col("target").alias("start"), F.col("target").alias("node")).distinct()
-    peers = own.join(links.select(F.col("src").alias("node"), F.col("dst").alias("peer")), "node").union(own.join(links.select(F.col("dst").alias("node"), F.col("src").alias("peer")), "node"))
-    starts = own.union(peers.select("start", F.col("peer").alias("node")))
-    found = reach(starts, edges, depth).where("node <> start")
+    found = reach(with_peers(own, edges), edges, depth).where("node <> start")
     rows = found.join(methods.withColumnRenamed("id", "node"), "node").join(ranks.withColumnRenamed("id", "node"), "node", "left").join(in_degree(methods, edges).withColumnRenamed("id", "node"), "node", "left")
     order = Window.partitionBy("target").orderBy("depth", F.desc("pagerank"), "id")
     rows = rows.select(F.col("start").alias("target"), F.col("node").alias("id"), "name", "class_name", "file_path", node_type(F.col("chunk_type")).alias("node_type"), F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"), "in_degree", F.col("hop").alias("depth"))
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
+def with_peers(own: DataFrame, edges: DataFrame) -> DataFrame:
+    """The starts (start, node) and, as nodes of the same start, the SQL statements and interfaces that IMPLEMENTS edges link with them."""
+    links = edges.where(F.col("edge_type") == IMPLEMENTS)
+    # A semi-join with what is known to be small goes below what makes the links, a join does not: only the starts' own are made.
+    nodes = checkpointed(own.select("node").distinct(), "starts")
+    out = own
+    for at, peer in (("src", "dst"), ("dst", "src")):
+        few = links.join(nodes.withColumnRenamed("node", at), at, "left_semi")
+        out = out.union(own.join(few.select(F.col(at).alias("node"), F.col(peer).alias("peer")), "node").select("start", "peer"))
+    return out
+
+
 def node_type(chunk_type: Column) -> Column:
     """PRJ-3, PRJ-4"""
     return F.when(F.coalesce(chunk_type, F.lit("method")) == "sql", "sql").otherwise("method")
@@ -246,18 +277,17 @@ def call_context(methods: DataFrame, edges: DataFrame) -> DataFrame:
 
 def layers(nodes: DataFrame, edges: DataFrame, centres: DataFrame, depth: int = 5) -> DataFrame:
     """RET-18: layer of each node around each centre: steps of calls from it (positive), else to it (negative), 0 for itself and what is not reached."""
-    own = centres.select("centre").distinct()
-    starts = own.select(F.col("centre").alias("start"), F.col("centre").alias("node"))
-    down = reach(starts, edges, depth, backwards=False).withColumnRenamed("hop", "down")
-    up = reach(starts, edges, depth).withColumnRenamed("hop", "up")
-    # Every (centre, node) pair is the result asked for. Centres stand in the nodes' rows as arrays, a block of them after another.
-    blocks, listed = -(-own.count() // MOST_CENTRES), None
-    for k in range(blocks):
-        few = [r.centre for r in own.where(F.pmod(F.xxhash64("centre"), F.lit(blocks)) == k).collect()]
-        if few:
-            pairs = nodes.select(F.col("id").alias("node")).distinct().withColumn("start", F.explode(F.array(*[F.lit(c) for c in few])))
-            listed = pairs if listed is None else listed.unionByName(pairs)
-    if listed is None:
-        listed = nodes.select(F.col("id").alias("node"), F.col("id").alias("start")).limit(0)
-    out = listed.join(down, ["start", "node"], "left").join(up, ["start", "node"], "left")
-    return out.select(F.col("start").alias("centre"), "node", F.when(F.col("start") == F.col("node"), 0).otherwise(F.coalesce("down", -F.col("up"), F.lit(0))).alias("layer"))
+    starts = centres.select(F.col("centre").alias("start"), F.col("centre").alias("node")).distinct()
+    words = _words(starts)
+    edges = checkpointed(edges.where(F.col("edge_type") == CALLS).select("src", "dst", "edge_type"), "calls")
+    walks = _walks(starts, words, edges, depth, backwards=False).unionByName(_walks(starts, words, edges, depth, backwards=True).withColumn("hop", -F.col("hop")))
+    # The order of the steps: down before up, few before many.
+    steps = [*range(1, depth + 1), *range(-1, -depth - 1, -1)]
+    marks = walks.groupBy("word", "node").agg(*[F.bit_or(F.when(F.col("hop") == h, F.col("mask"))).alias(f"mask{i}") for i, h in enumerate(steps)])
+    # Every (centre, node) pair is the result asked for: a node's row stands for all centres of a word until the last step.
+    rows = nodes.select(F.col("id").alias("node")).distinct().crossJoin(words).join(marks, ["word", "node"], "left")
+    pairs = rows.select("node", *[f"mask{i}" for i in range(len(steps))], F.posexplode("names").alias("place", "centre"))
+    layer = F.when(F.col("centre") == F.col("node"), 0)
+    for i, h in enumerate(steps):
+        layer = layer.when(F.expr(f"shiftrightunsigned(mask{i}, place) & 1L") == 1, h)
+    return pairs.select("centre", "node", layer.otherwise(0).alias("layer"))

@@ -87,9 +87,7 @@ _REACH = """RECURSIVE +starts AS (SELECT target AS start, target AS node FROM ta
 @query("join11_reachability", duck(f"{_REACH} SELECT start AS target, node AS id, hop FROM best", "targets", "links", "edges"))
 def join11(spark, d):
     targets, every = shape(spark, d, "targets"), shape(spark, d, "all_edges")
-    own = targets.select(F.col("target").alias("start"), F.col("target").alias("node"))
-    links = every.where("edge_type = 'IMPLEMENTS'")
-    starts = own.union(own.join(links, own.node == links.src).select("start", "dst")).union(own.join(links, own.node == links.dst).select("start", "src"))
+    starts = G.with_peers(targets.select(F.col("target").alias("start"), F.col("target").alias("node")), every)
     return G.reach(starts, every, 3).where("node <> start").select(F.col("start").alias("target"), F.col("node").alias("id"), "hop")
 
 

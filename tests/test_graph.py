@@ -132,3 +132,40 @@ def test_paths_meet_half_way(spark, monkeypatch):
             best |= {(a, n): seen.get(n) for n in nodes}
         assert found == best
         assert max((len(r.path) for w in written if "path" in w.columns for r in w.collect()), default=0) <= -(-longest // 2) + 1
+
+
+def test_starts_walk_together(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    nodes = [str(i) for i in range(90)]
+    some = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(150)]
+    written = []
+    monkeypatch.setattr(G, "checkpointed", lambda df, name, real=G.checkpointed: written.append((name, real(df, name))) or written[-1][1])
+    starts = spark.createDataFrame([(s, n) for i, s in enumerate(nodes) for n in {s, nodes[i // 2]}], "start string, node string")
+    for backwards in (True, False):
+        want = {}
+        for s, n in starts.collect():
+            level = {n}
+            for hop in range(1, 5):
+                level = {a if backwards else b for a, b in some if (b if backwards else a) in level}
+                want |= {(s, x): min(hop, want.get((s, x), 9)) for x in level}
+        written.clear()
+        found = [(r.start, r.node, r.hop) for r in G.reach(starts, edges(spark, *some, *some[:20]), 4, backwards).collect()]
+        assert sorted(found) == sorted((s, x, hop) for (s, x), hop in want.items())
+        # 90 starts are two or three words: a round has a row a node and word, not one a node and start.
+        assert max(df.count() for name, df in written if name == "reach") <= 3 * len(nodes) < len(found)
+
+
+def test_only_links_of_the_starts_are_made(spark):
+    edges(spark, ("a", "b"), ("c", "d"), ("e", "a"), kind="IMPLEMENTS").createOrReplaceTempView("made_links")
+    made = spark.sql("SELECT DISTINCT src, dst, edge_type FROM made_links")
+    own = spark.createDataFrame([("a", "a")], "start string, node string")
+    out = G.with_peers(own, made)
+    assert sorted((r.start, r.node) for r in out.collect()) == [("a", "a"), ("a", "b"), ("a", "e")]
+    lines = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for i, line in enumerate(lines):
+        if "LeftSemi" in line:
+            assert any("Aggregate [src" in other and depth(other) < depth(line) for other in lines[:i])
+    assert sum("LeftSemi" in line for line in lines) == 2
