@@ -182,10 +182,15 @@ def impact(targets: DataFrame, methods: DataFrame, edges: DataFrame, ranks: Data
     depth = min(depth, 5)
     own = targets.select(F.col("target").alias("start"), F.col("target").alias("node")).distinct()
     found = reach(with_peers(own, edges), edges, depth).where("node <> start")
-    rows = found.join(methods.withColumnRenamed("id", "node"), "node").join(ranks.withColumnRenamed("id", "node"), "node", "left").join(in_degree(methods, edges).withColumnRenamed("id", "node"), "node", "left")
+    rows = found.join(methods.withColumnRenamed("id", "node"), "node").join(ranks.withColumnRenamed("id", "node"), "node", "left")
     order = Window.partitionBy("target").orderBy("depth", F.desc("pagerank"), "id")
-    rows = rows.select(F.col("start").alias("target"), F.col("node").alias("id"), "name", "class_name", "file_path", node_type(F.col("chunk_type")).alias("node_type"), F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"), "in_degree", F.col("hop").alias("depth"))
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    rows = rows.select(F.col("start").alias("target"), F.col("node").alias("id"), "name", "class_name", "file_path", node_type(F.col("chunk_type")).alias("node_type"), F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"), F.col("hop").alias("depth"))
+    best = checkpointed(rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most), "impact")
+    # In-degrees are counted for the rows that stay, from the edges that end there; who asks for none has none counted.
+    there = edges.where(F.col("edge_type") == CALLS).join(best.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
+    counts = there.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+    out = best.join(counts, "id", "left").withColumn("in_degree", F.coalesce("n", F.lit(0).cast("long")))
+    return out.select("target", "id", "name", "class_name", "file_path", "node_type", "pagerank", "in_degree", "depth", "place")
 
 
 def with_peers(own: DataFrame, edges: DataFrame) -> DataFrame:
@@ -208,6 +213,9 @@ def node_type(chunk_type: Column) -> Column:
 def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """JOIN-12: CALLS and IMPLEMENTS edges with both ends among nodes (group, id)."""
     some = edges.where(F.col("edge_type").isin(CALLS, IMPLEMENTS))
+    # Semi-joins go below what makes the edges: those of other nodes are not made.
+    for end in ("src", "dst"):
+        some = some.join(nodes.select(F.col("id").alias(end)).distinct(), end, "left_semi")
     return some.join(nodes.select("group", F.col("id").alias("src")), "src").join(nodes.select("group", F.col("id").alias("dst")), ["group", "dst"]).select("group", "src", "dst", "edge_type", "confidence", "call_count").distinct()
 
 

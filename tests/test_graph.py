@@ -169,3 +169,24 @@ def test_only_links_of_the_starts_are_made(spark):
         if "LeftSemi" in line:
             assert any("Aggregate [src" in other and depth(other) < depth(line) for other in lines[:i])
     assert sum("LeftSemi" in line for line in lines) == 2
+
+
+def test_impact_counts_degrees_of_placed_rows_alone(spark):
+    m = methods(spark, *[(x, x, "C", "method") for x in "abcdef"])
+    e = edges(spark, ("a", "b"), ("b", "c"), ("d", "b"), ("e", "a"), ("f", "a"), ("a", "f"))
+    ranks = m.select("id", F.lit(0.5).alias("pagerank"))
+    out = G.impact(spark.createDataFrame([("c",)], "target string"), m, e, ranks, 2, 2)
+    assert [(r.id, r.in_degree, r.depth, r.place) for r in out.orderBy("place").collect()] == [("b", 2, 1, 1), ("a", 2, 2, 2)]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(out.select("target", "place", "id"))
+    assert "Join LeftSemi" in plan(out)
+
+
+def test_induced_edges_are_made_of_the_nodes_alone(spark, tmp_path):
+    spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "c")], "group string, id string").write.parquet(f"{tmp_path}/nodes")
+    edges(spark, ("a", "b"), ("b", "c"), ("c", "c"), ("b", "b")).createOrReplaceTempView("made_edges")
+    made = spark.sql("SELECT src, dst, edge_type, min(confidence) AS confidence, count(*) AS call_count FROM made_edges GROUP BY 1, 2, 3")
+    out = G.induced(spark.read.parquet(f"{tmp_path}/nodes"), made)
+    assert sorted((r.group, r.src, r.dst) for r in out.collect()) == [("g", "a", "b"), ("g", "b", "b"), ("h", "c", "c")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2 and plan.index("Aggregate [src") < plan.index("LeftSemi")
