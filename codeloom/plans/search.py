@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.operators import retrieval as R
 from codeloom.operators.graph import CALLS
-from codeloom.sources.work import spread
+from codeloom.sources.work import checkpointed, spread
 
 
 def intents(queries: DataFrame) -> DataFrame:
@@ -18,9 +20,9 @@ def intents(queries: DataFrame) -> DataFrame:
 
 
 def index_of(chunks: DataFrame, dim: int = 64) -> DataFrame:
-    """Chunks with their default dense vector and sparse weights."""
-    tokens = R.bm25_tokens(F.coalesce("text", F.lit("")))
-    return spread(chunks).withColumns({"vector": R.hashed_embedding(F.col("text"), dim), "weights": F.map_from_entries(F.transform(tokens, lambda t: F.struct(t, F.lit(1.0))))})
+    """Chunks with their default dense vector and sparse weights. Texts are cut once for both."""
+    cut = spread(chunks).withColumn("tokens", R.bm25_tokens(F.coalesce("text", F.lit(""))))
+    return cut.withColumns({"vector": R.hashed_tokens(F.col("tokens"), dim), "weights": F.map_from_entries(F.transform("tokens", lambda t: F.struct(t, F.lit(1.0))))}).drop("tokens")
 
 
 def by_generated_text(texts: DataFrame, index: DataFrame, k: int, cut: bool = True) -> DataFrame:
@@ -28,8 +30,8 @@ def by_generated_text(texts: DataFrame, index: DataFrame, k: int, cut: bool = Tr
     return R.dense_search(index_of(texts.where(F.trim("text") != "")), index, k, cut=cut)
 
 
-def search(queries: DataFrame, index: DataFrame, nodes: DataFrame | None, top_k: int = 10, model=None, hypotheses: DataFrame | None = None, expansions: DataFrame | None = None) -> DataFrame:
-    """RET-13: the top_k chunks of each query of intents() over index_of() a repository; nodes (id, name, pagerank, in_degree) bring graph scores, model a reranker, hypotheses (query_id, code) and expansions (query_id, expansion) a further ranked list each."""
+def search(queries: DataFrame, index: DataFrame, nodes: DataFrame | Callable[[DataFrame], DataFrame] | None, top_k: int = 10, model=None, hypotheses: DataFrame | None = None, expansions: DataFrame | None = None) -> DataFrame:
+    """RET-13: the top_k chunks of each query of intents() over index_of() a repository; nodes (id, name, pagerank, in_degree), or a function that gives those of some ids (id), bring graph scores, model a reranker, hypotheses (query_id, code) and expansions (query_id, expansion) a further ranked list each."""
     k = R.fetch_k(top_k)
     asked = index_of(queries)
     dense = R.dense_search(asked, index, k, cut=False).withColumn("channel", F.lit("dense"))
@@ -40,8 +42,12 @@ def search(queries: DataFrame, index: DataFrame, nodes: DataFrame | None, top_k:
             found = found.unionByName(by_generated_text(texts.select("query_id", F.col(column).alias("text")), index, k, cut=False).withColumn("channel", F.lit(channel)))
     best = R.top(found, k, "query_id", "channel")
     fused = R.rrf(best.select("query_id", "channel", "id", "score")).withColumnRenamed("score", "rrf")
+    # Fused rows are few and read several times: they are written, so that the channels are searched once.
+    fused = checkpointed(fused, "fused")
     payload = index.drop("vector", "weights").withColumns({c: F.lit("") for c in ("symbol", "class_name", "symbol_id") if c not in index.columns})
     rows = fused.join(payload, "id").join(queries.select("query_id", "idents", "tokens", F.col("text").alias("asked")), "query_id")
+    if callable(nodes):
+        nodes = nodes(checkpointed(fused.select("id").distinct().join(payload.select("id", "symbol_id"), "id").select(F.col("symbol_id").alias("id")).distinct(), "symbols"))
     if nodes is not None:
         rows = rows.join(R.graph_scores(rows.select("query_id", "id", "symbol_id"), nodes, queries), ["query_id", "id"])
     else:

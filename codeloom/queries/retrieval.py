@@ -122,11 +122,14 @@ def _candidates(s, d):
     return R.rrf(shape(s, d, "ranked")).select("query_id", "id", F.col("score").alias("rrf"), F.col("id").alias("symbol_id"))
 
 
-def _nodes(s, d):
+def _nodes(s, d, ids=None):
+    """Methods with their scores; of ids (id), if given, alone: semi-joins go below what makes the edges."""
     from codeloom.operators.graph import in_degree
 
-    m = shape(s, d, "methods")
-    return m.select("id", "name", "class_name", "signature").join(shape(s, d, "ranks"), "id").join(in_degree(m, shape(s, d, "edges")), "id")
+    m, edges = shape(s, d, "methods"), shape(s, d, "edges")
+    if ids is not None:
+        m, edges = m.join(ids, "id", "left_semi"), edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return m.select("id", "name", "class_name", "signature").join(shape(s, d, "ranks"), "id").join(in_degree(m, edges), "id")
 
 
 def _intents(s, d):
@@ -172,6 +175,6 @@ QUERIES["top6_drop_overlaps"] = (lambda s, d: R.drop_overlaps(_ranked_chunks(s,
 QUERIES["join15_overlapping_pairs"] = (lambda s, d: P.overlapping_pairs(_ranked_chunks(s, d)), duck("SELECT a.language AS query_id, count(*) AS n FROM chunks a JOIN chunks b ON a.language = b.language AND a.file_path = b.file_path AND a.id < b.id AND a.line_start <= b.line_end AND b.line_start <= a.line_end AND (least(a.line_end, b.line_end) - greatest(a.line_start, b.line_start) + 1)::DOUBLE / greatest(least(a.line_end - a.line_start + 1, b.line_end - b.line_start + 1), 1) > 0.4 GROUP BY 1", "chunks"))
 QUERIES["ret11_deduplicate"] = (lambda s, d: R.deduplicate(_ranked_chunks(s, d)).select("query_id", "id", "score"), None)
 QUERIES["ret12_results"] = (lambda s, d: P.results(R.top(_scored(s, d).withColumn("score", F.col("rrf")), 10).withColumn("code", F.col("signature")), shape(s, d, "methods"), shape(s, d, "edges")).select("query_id", "id", "place", "snippet", "n_callers", "n_callees", *[F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["id"], x["name"])), ",").alias(c) for c in ("callers", "callees")]), duck(f"+{_ALL}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS place FROM sc) WHERE place <= 10), e AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type = 'CALLS'), u AS (SELECT e.dst AS id, count(*) AS n, string_agg(m.id || ':' || m.name, ',' ORDER BY m.id) AS names FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src) AS k FROM e) e JOIN methods m ON m.id = e.src WHERE k <= 50 GROUP BY 1), un AS (SELECT dst AS id, count(*) AS n FROM e GROUP BY 1), w AS (SELECT e.src AS id, string_agg(m.id || ':' || m.name, ',' ORDER BY m.id) AS names FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS k FROM e) e JOIN methods m ON m.id = e.dst WHERE k <= 50 GROUP BY 1), wn AS (SELECT src AS id, count(*) AS n FROM e GROUP BY 1) SELECT t.query_id, t.id, t.place, left(t.signature, 3000) AS snippet, coalesce(un.n, 0) AS n_callers, coalesce(wn.n, 0) AS n_callees, coalesce(u.names, '') AS callers, coalesce(w.names, '') AS callees FROM t LEFT JOIN u USING (id) LEFT JOIN un USING (id) LEFT JOIN w USING (id) LEFT JOIN wn USING (id)", *_GNAMES))
-QUERIES["ret13_search"] = (lambda s, d: P.search(_benchmark(s, d), checkpointed(P.index_of(shape(s, d, "chunks")), "index"), _nodes(s, d), 10, hypotheses=_hypotheses(s, d)).select("query_id", "id", "score"), None)
+QUERIES["ret13_search"] = (lambda s, d: P.search(_benchmark(s, d), checkpointed(P.index_of(shape(s, d, "chunks")), "index"), lambda ids: _nodes(s, d, ids), 10, hypotheses=_hypotheses(s, d)).select("query_id", "id", "score"), None)
 QUERIES["ret17_context_block"] = (lambda s, d: P.context_blocks(shape(s, d, "chunks").select(F.col("language").alias("query_id"), "id", (F.length("text") / 1e6).alias("score"), "file_path", "line_start", "line_end", "text"), 5, 700), duck("""+r AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY length(text) DESC, id) AS k FROM chunks) SELECT language AS query_id, string_agg('### ' || file_path || ':' || line_start || '-' || line_end || chr(10) || left(text, 2100), chr(10) || chr(10) ORDER BY k) AS block FROM r WHERE k <= 5 GROUP BY 1""", "chunks"))
 QUERIES["ret19_embedding"] = (lambda s, d: shape(s, d, "chunks").select("id", R.hashed_embedding(F.col("text"), 8).alias("v")).select("id", F.size("v").cast("long").alias("dim")), duck("SELECT id, 8::BIGINT AS dim FROM chunks", "chunks"))
