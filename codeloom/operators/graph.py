@@ -6,13 +6,20 @@ edge_type, confidence, call_count). All operators are joins and aggregates over
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.sources.work import checkpointed
+from codeloom.sources.work import checkpointed, discard
 
 #: Starts that walk together, each a bit of a word.
 WORD = 64
+#: Calls of a cell of the ranks' grid: least and most, about; those in one row of its table. Lanes in which a block is numbered.
+LEAST_CELL, MOST_CELL, SLICE, LANES = 50_000, 8_000_000, 4_000_000, 16
+SUMS = "block int, row int, given binary"
 CALLS, IMPLEMENTS, BELONGS_TO = "CALLS", "IMPLEMENTS", "BELONGS_TO"
 
 
@@ -114,21 +121,119 @@ def in_degree(methods: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(methods: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, keep: int = 5) -> DataFrame:
     """AGG-16: id and pagerank after rounds of `1 - damping + damping * sum(rank / out-degree)`; what reaches a method without calls is dropped.
 
-    One join and one aggregate a round; every keep-th round and the last are written, so that lineage stays short. Edges and their
-    out-degrees are written once and kept partitioned by their start, so that a round shuffles ranks and sums, never edges; a
-    lost executor's part of them is made again from what was written. Repeated edges count as often as they occur.
+    Methods are dealt to a few blocks and numbered there; the calls from a block to a block are a cell. Cells are written once and
+    kept where they are, and so are out-degrees; a round sends a block's ranks to the cells of its row, and a cell's sums to the
+    block of its column. So it shuffles a number a method and side of the grid, twice, however many calls there are. Every
+    keep-th round and the last are written, so that lineage stays short; a lost executor's part of the cells is made again from
+    what was written. Repeated edges count as often as they occur.
     """
-    calls = edges.where(F.col("edge_type") == CALLS).select("src", "dst")
-    weighted = checkpointed(calls.join(calls.groupBy("src").agg(F.count("*").alias("out")), "src"), "pagerank-edges").repartition("src").persist()
-    ids = checkpointed(methods.select("id").distinct(), "pagerank-ids")
-    ranks = ids.withColumn("rank", F.lit(1.0 - damping))
-    for k in range(rounds):
-        given = weighted.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("given"))
-        ranks = ids.join(given, "id", "left").select("id", (F.lit(1.0 - damping) + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
-        if k % keep == keep - 1 or k == rounds - 1:
+    calls = checkpointed(edges.where(F.col("edge_type") == CALLS).select("src", "dst"), "pagerank-calls")
+    side = _side(calls.count(), calls.sparkSession.sparkContext.defaultParallelism)
+    nodes = checkpointed(_numbered(methods.select("id").distinct(), side), "pagerank-nodes")
+    size = (nodes.agg(F.max("at")).first()[0] or 0) + 1
+    made = checkpointed(_placed(calls, nodes, side).groupBy("row", "col").applyInArrow(_cell(size), "row int, col int, src binary, dst binary, degrees binary"), "pagerank-cells")
+    cells = made.select("row", "col", "src", "dst").repartition(side * side, "row", "col").persist()
+    blocks = calls.sparkSession.range(side).select(F.col("id").cast("int").alias("row"), F.lit(None).cast("binary").alias("degrees"))
+    degrees = blocks.unionByName(made.where("degrees IS NOT NULL").select("row", "degrees")).groupBy("row").applyInArrow(_degrees(size), "block int, degrees binary").repartition(side, "block").persist()
+    sums = calls.sparkSession.createDataFrame([], SUMS)
+    for k in range(rounds + 1):
+        given = _given(size, damping, shared=k < rounds)
+        ranks = degrees.groupBy("block").cogroup(sums.repartition(side, "block").groupBy("block")).applyInArrow(given, "block int, lane int, rank binary")
+        if k == rounds or k and k % keep == 0:
             ranks = checkpointed(ranks, "pagerank")
-    weighted.unpersist()
-    return ranks.withColumnRenamed("rank", "pagerank")
+        if k < rounds:
+            sent = ranks.select(F.col("block").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("col"), "rank").repartition(side * side, "row", "col")
+            sums = cells.groupBy("row", "col").cogroup(sent.groupBy("row", "col")).applyInArrow(_sums(size), SUMS)
+    cells.unpersist()
+    degrees.unpersist()
+    discard(calls, made)
+    kind = nodes.schema["id"].dataType.simpleString()
+    named = nodes.select("id", "block", (F.col("at") % LANES).alias("lane"), F.floor(F.col("at") / LANES).alias("place"))
+    return named.groupBy("block", "lane").cogroup(ranks.groupBy("block", "lane")).applyInArrow(_ranked, f"id {kind}, pagerank double")
+
+
+def _side(calls: int, cores: int) -> int:
+    """Blocks of the grid: about three cells a core, fewer for few calls, and more where a cell would have over MOST_CELL calls. Between those it is fixed, so that what a round sends grows as the methods do."""
+    return max(min(math.ceil(math.sqrt(3 * cores)), math.ceil(math.sqrt(calls / LEAST_CELL))), math.ceil(math.sqrt(calls / MOST_CELL)), 1)
+
+
+def _numbered(ids: DataFrame, side: int) -> DataFrame:
+    """id, block, at: ids dealt to side blocks, and nearly gapless numbers there. A block is numbered in LANES lanes, none of which waits for another."""
+    lane = F.pmod(F.xxhash64("id"), F.lit(side * LANES)).cast("int")
+    placed = ids.withColumn("lane", lane).withColumn("place", F.row_number().over(Window.partitionBy("lane").orderBy("id")) - 1)
+    return placed.select("id", (F.col("lane") % side).alias("block"), (F.col("place") * LANES + F.floor(F.col("lane") / side)).cast("int").alias("at"))
+
+
+def _placed(calls: DataFrame, nodes: DataFrame, side: int) -> DataFrame:
+    """row, col, src, dst: a call's cell and its ends' numbers. One to no method has -1 and any cell of its row, since it counts for its start's out-degree; one from no method has no row."""
+    start = nodes.select(F.col("id").alias("src"), F.col("block").alias("row"), F.col("at").alias("from"))
+    end = nodes.select(F.col("id").alias("dst"), F.col("block").alias("col"), F.col("at").alias("to"))
+    met = calls.join(start, "src").select("dst", "row", "from").join(end, "dst", "left")
+    return met.select("row", F.coalesce("col", F.pmod("from", F.lit(side))).alias("col"), F.col("from").alias("src"), F.coalesce("to", F.lit(-1)).alias("dst"))
+
+
+def _cell(size: int):
+    """A cell's calls, in order of their ends, up to SLICE of them a row, and in its first row how many calls each start has."""
+
+    def run(t: pa.Table) -> pa.Table:
+        row, col = t.column("row")[0].as_py(), t.column("col")[0].as_py()
+        src, dst = t.column("src").to_numpy(), t.column("dst").to_numpy()
+        degrees = np.bincount(src, minlength=size).astype(np.int32).tobytes()
+        order = np.sort(dst[dst >= 0].astype(np.int64) << 32 | src[dst >= 0])
+        out = [(row, col, (part & 0xFFFFFFFF).astype(np.int32).tobytes(), (part >> 32).astype(np.int32).tobytes(), None if i else degrees) for i, part in enumerate(np.split(order, range(SLICE, len(order), SLICE)))]
+        return pa.table(list(zip(*out, strict=True)), pa.schema([("row", pa.int32()), ("col", pa.int32()), ("src", pa.binary()), ("dst", pa.binary()), ("degrees", pa.binary())]))
+
+    return run
+
+
+def _degrees(size: int):
+    """A block's out-degrees, of those that its cells count."""
+
+    def run(t: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.int32)
+        for x in t.column("degrees").drop_null():
+            total += np.frombuffer(x.as_buffer(), np.int32)
+        return pa.table({"block": t.column("row").slice(0, 1), "degrees": [total.tobytes()]})
+
+    return run
+
+
+def _given(size: int, damping: float, shared: bool):
+    """A block's ranks from what its column's cells give; shared: over their out-degrees, as the next round sends them; else by lane."""
+
+    def run(degrees: pa.Table, sums: pa.Table) -> pa.Table:
+        total = np.zeros(size)
+        for x in sums.sort_by("row").column("given"):
+            total += np.frombuffer(x.as_buffer())
+        rank = 1.0 - damping + damping * total
+        if shared:
+            calls = np.frombuffer(degrees.column("degrees")[0].as_buffer(), np.int32)
+            rank = np.divide(rank, calls, out=np.zeros(size), where=calls > 0)
+        lanes = 1 if shared else LANES
+        block = pa.array(degrees.column("block").to_pylist() * lanes, pa.int32())
+        return pa.table({"block": block, "lane": pa.array(range(lanes), pa.int32()), "rank": [rank[k::lanes].tobytes() for k in range(lanes)]})
+
+    return run
+
+
+def _sums(size: int):
+    """What a cell's calls give to each method of its column."""
+
+    def run(cell: pa.Table, sent: pa.Table) -> pa.Table:
+        if not cell.num_rows:
+            return pa.table([[], [], []], pa.schema([("block", pa.int32()), ("row", pa.int32()), ("given", pa.binary())]))
+        share, total = np.frombuffer(sent.column("rank")[0].as_buffer()), np.zeros(size)
+        for src, dst in zip(cell.column("src"), cell.column("dst"), strict=True):
+            total += np.bincount(np.frombuffer(dst.as_buffer(), np.int32), share[np.frombuffer(src.as_buffer(), np.int32)], size)
+        return pa.table({"block": cell.column("col").slice(0, 1), "row": cell.column("row").slice(0, 1), "given": [total.tobytes()]})
+
+    return run
+
+
+def _ranked(nodes: pa.Table, ranks: pa.Table) -> pa.Table:
+    if not nodes.num_rows:
+        return pa.table({"id": nodes.column("id"), "pagerank": pa.array([], pa.float64())})
+    return pa.table({"id": nodes.column("id"), "pagerank": np.frombuffer(ranks.column("rank")[0].as_buffer())[nodes.column("place").to_numpy()]})
 
 
 def reach(starts: DataFrame, edges: DataFrame, depth: int, backwards: bool = True) -> DataFrame:

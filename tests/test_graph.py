@@ -35,6 +35,61 @@ def test_pagerank(spark):
     assert found == pytest.approx({"A": 0.15, "B": 0.21375, "C": 0.3954375, "D": 0.15})
 
 
+def _ranks(ids, calls, damping=0.85, rounds=20):
+    out, rank = {}, {i: 1.0 - damping for i in ids}
+    for a, _ in calls:
+        out[a] = out.get(a, 0) + 1
+    for _ in range(rounds):
+        given = {}
+        for a, b in calls:
+            given[b] = given.get(b, 0.0) + rank.get(a, 0.0) / out[a]
+        rank = {i: 1.0 - damping + damping * given.get(i, 0.0) for i in ids}
+    return rank
+
+
+def test_pagerank_over_a_grid_equals_brute_force(spark, monkeypatch):
+    import random
+
+    rng = random.Random(11)
+    ids = [str(i) for i in range(300)]
+    ends = [*ids[:200], "unknown", "other", "7", "7", "7"]  # 200 and beyond are isolated, unknown ends are no methods
+    calls = [(rng.choice(ends), rng.choice(["7", *ends])) for _ in range(1500)] + [("3", "3"), ("3", "3"), ("4", "unknown")]
+    calls += calls[:200]
+    m = methods(spark, *[(x, x, "C", "method") for x in [*ids, *ids[:9]]])
+    e = edges(spark, *calls).unionByName(edges(spark, ("250", "7"), kind="IMPLEMENTS"))
+    monkeypatch.setattr(G, "LEAST_CELL", 100)
+    for most, piece, side, rounds in ((8_000_000, 7, 4, 20), (50, 1000, 6, 2)):
+        monkeypatch.setattr(G, "MOST_CELL", most)
+        monkeypatch.setattr(G, "SLICE", piece)
+        assert G._side(len(calls), 4) == side
+        found = [(r.id, r.pagerank) for r in G.pagerank(m, e, rounds=rounds).collect()]
+        assert len(found) == 300 and dict(found) == pytest.approx(_ranks(ids, calls, rounds=rounds), rel=1e-12)
+    found = {r.id: r.pagerank for r in G.pagerank(m, e.limit(0), rounds=2).collect()}
+    assert found == pytest.approx({i: 0.15 for i in ids})
+
+
+def test_pagerank_shuffles_no_row_for_each_call(spark, monkeypatch):
+    sc, at = spark.sparkContext, []
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    def watched(df, name, real=G.checkpointed):
+        out = real(df, name)
+        if name == "pagerank":
+            at.append(written())
+        return out
+
+    monkeypatch.setattr(G, "checkpointed", watched)
+    monkeypatch.setattr(G, "LEAST_CELL", 100, raising=False)
+    m = methods(spark, *[(str(x), "f", "C", "method") for x in range(300)])
+    e = edges(spark, *[(str(x), str(x * y % 300)) for x in range(300) for y in range(1, 11)])
+    assert G.pagerank(m, e).count() == 300
+    assert at[-1] - at[0] < 15 * 300  # fifteen rounds: fewer than a row a method, let alone a call
+
+
 def test_impact(spark):
     m = methods(spark, *[(x, x, "C", "method") for x in "abcd"])
     e = edges(spark, ("a", "b"), ("b", "c"), ("c", "a"), ("d", "b"))
