@@ -6,6 +6,11 @@ ranges, to the tasks that count a range, and gets back their frequencies in the
 draw the same one with the probability of their weighted Jaccard similarity. ROWS samples make a band; documents that share
 a band are candidates, and candidates are verified by the exact weighted Jaccard similarity of their whole texts.
 
+Where a group has very many copies, its shingles have high document frequencies for no other reason, and weigh the less against
+a changed word the larger the group and the table are. So what two documents share, if it occurs in more than LARGE documents on
+the average, is also held against the threshold by counts alone. Documents of such shingles have BANDS bands more, of samples by
+counts; of a pair of which one has none, the bands by weight find nearly as many as the others.
+
 Equal texts are one class from the start, known by a number. What is shuffled to find candidates are these numbers alone. In
 each bucket every class is compared with the bucket's first one, in blocks, once whatever the number of buckets that the two
 share; only classes that this does not link are compared with the others of their buckets. So a bucket of n near copies costs
@@ -31,6 +36,10 @@ from codeloom.llm.decontaminate import words
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
+#: Documents of a group beyond which its copies are compared by counts as well. Part of the highest inverse document frequency
+#: below which a document, on the average of its shingles, has bands by counts: at 0.9 or more, a pair that reaches the threshold
+#: by counts has 0.77 by weight.
+LARGE, COMMON = 8, 0.9
 #: Every 64-bit shingle is a feature of its own.
 FEATURES = 1 << 64
 #: Documents of a chunk, about, and the least number of ranges that chunks send their shingles to (a power of two).
@@ -97,35 +106,73 @@ def worker_shingler() -> Shingler:
 
 def _uniform(bits: np.ndarray, shift: int) -> np.ndarray:
     """24 of the bits as a number between 0 and 1, both excluded."""
-    return ((bits >> np.uint64(shift)) & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(2**-24) + np.float32(2**-25)
+    x = (bits >> np.uint64(shift)).astype(np.uint32)
+    x &= np.uint32(0xFFFFFF)
+    out = x.view(np.int32).astype(np.float32)  # 32-bit numbers become floats several at a time
+    out *= np.float32(2**-24)
+    out += np.float32(2**-25)
+    return out
 
 
 def samples(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """(documents, n) consistent weighted samples; document i has the shingles from starts[i] up to the next start."""
     log_w = np.log(weights).astype(np.float32)
-    out = np.empty((len(starts), n), np.uint32)
-    ends = np.append(starts[1:], len(shingles))
+    out = np.zeros((len(starts), n), np.uint32)
+    if not (np.append(starts[1:], len(shingles)) > starts).all():
+        return out
+    packed, steps, number = np.empty(len(shingles), np.uint64), np.empty(len(shingles), np.float32), np.arange(len(shingles), dtype=np.uint64)
     for k in range(n):
         salt = mix(np.array([k + 1], np.uint64) * _P)[0]
-        packed = np.empty(len(shingles), np.uint64)
         for i in range(0, len(shingles), TOGETHER):
-            s, lw = shingles[i : i + TOGETHER], log_w[i : i + TOGETHER]
-            one = mix(s ^ salt)
+            here = slice(i, i + TOGETHER)
+            one = mix(shingles[here] ^ salt)
             two = mix(one + _P)
-            r = -np.log(_uniform(one, 0) * _uniform(one, 24))
-            c = -np.log(_uniform(two, 0) * _uniform(two, 24))
-            beta = ((one >> np.uint64(48)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-16)
-            t = np.floor(lw / r + beta)
-            a = np.log(c) - r * (t - beta) - r
-            bits = a.view(np.int32)
-            rank = (bits ^ ((bits >> 31) | np.int32(-(2**31)))).view(np.uint32)  # ordered as a is
-            drawn = mix(s + t.astype(np.int64).view(np.uint64) * _M1) & np.uint64(0xFFFFFFFF)
-            packed[i : i + TOGETHER] = rank.astype(np.uint64) << np.uint64(32) | drawn
-        if len(starts):
-            out[:, k] = np.minimum.reduceat(packed, starts).astype(np.uint32) if (ends > starts).all() else 0
+            r, c = _uniform(one, 0), _uniform(two, 0)
+            r *= _uniform(one, 24)
+            np.log(r, out=r)  # below 0
+            c *= _uniform(two, 24)
+            np.log(c, out=c)
+            np.negative(c, out=c)
+            np.log(c, out=c)
+            one >>= np.uint64(48)
+            beta = one.astype(np.float32)
+            beta += np.float32(0.5)
+            beta *= np.float32(2**-16)
+            t = np.divide(log_w[here], r)
+            np.subtract(beta, t, out=t)
+            np.floor(t, out=t)
+            steps[here] = t
+            t -= beta
+            t += np.float32(1)
+            t *= r
+            t += c
+            bits = t.view(np.int32)
+            rank = (bits ^ ((bits >> 31) | np.int32(-(2**31)))).view(np.uint32)  # ordered as t is
+            packed[here] = rank.astype(np.uint64) << np.uint64(32) | number[here]
+        least = (np.minimum.reduceat(packed, starts) & np.uint64(0xFFFFFFFF)).astype(np.int64) if len(starts) else np.zeros(0, np.int64)
+        out[:, k] = mix(shingles[least] + steps[least].astype(np.int64).view(np.uint64) * _M1).astype(np.uint32)
     return out
 
 
+def samples_by_count(shingles: np.ndarray, counts: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """samples() where each occurrence of a shingle weighs the same: two documents draw the same with the probability of their Jaccard similarity by counts."""
+    first = np.cumsum(counts) - counts
+    at = np.repeat(np.arange(len(shingles)), counts)
+    nth = (np.arange(len(at)) - first[at]).astype(np.uint64)
+    own = mix(shingles[at] + nth * _M2)
+    salts = mix(np.arange(1, n + 1).astype(np.uint64) * _P)
+    return np.stack([np.minimum.reduceat(mix(own ^ salt), first[starts]) for salt in salts], 1).astype(np.uint32)
+
+
+def _keys(drawn: np.ndarray, first: int) -> np.ndarray:
+    """The keys of the bands, numbered from first, that samples make."""
+    drawn = drawn.astype(np.uint64).reshape(len(drawn), -1, ROWS)
+    key = np.tile(np.arange(first, first + drawn.shape[1], dtype=np.uint64), (len(drawn), 1))
+    for r in range(ROWS):
+        key = mix(key * _P + drawn[:, :, r])
+    return key.view(np.int64)
+
+
 def idf(df: np.ndarray, n: int) -> np.ndarray:
     """Inverse document frequency of shingles that df of n documents have."""
     return (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
@@ -262,37 +309,43 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return low / high if high else 0.0
 
 
-def _sets(t: pa.Table, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles (numbered from 0) and weights of the rows of t (text, df), and where each row's begin and the last ends."""
+def _sets(t: pa.Table, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Shingles (numbered from 0), weights and counts of the rows of t (text, df), where each row's begin and the last ends, and the inverse document frequency of LARGE."""
     d, h, m = worker_shingler()(t.column("text").to_pylist())
     w = m * idf(np.frombuffer(b"".join(map(zlib.decompress, t.column("df").to_pylist())), np.uint32), n_docs).astype(np.float64)
     if len(np.unique(d)) < t.num_rows:
         raise ValueError("a document with bands has no shingles")
-    return np.unique(h, return_inverse=True)[1], w, np.searchsorted(d, np.arange(t.num_rows + 1))
+    return np.unique(h, return_inverse=True)[1], w, m.astype(np.float64), np.searchsorted(d, np.arange(t.num_rows + 1)), float(idf(np.array(LARGE), n_docs))
+
 
+def _similar(sets: tuple, own: np.ndarray, i: int, before: int, threshold: float) -> np.ndarray:
+    """Whether the first `before` rows reach the threshold with row i, by weight or, where what they share is in over LARGE documents, by counts. own: room for all shingles, all 0."""
+    shingle, w, m, starts, large = sets
+    a, b, end = starts[i], starts[i + 1], starts[before]
 
-def _similar(shingle: np.ndarray, w: np.ndarray, starts: np.ndarray, own: np.ndarray, i: int, before: int, threshold: float) -> np.ndarray:
-    """Whether the first `before` rows reach the threshold with row i. own: room for all shingles, all 0."""
-    a, b = starts[i], starts[i + 1]
-    own[shingle[a:b]] = w[a:b]
-    end = starts[before]
-    common = np.add.reduceat(np.minimum(w[:end], own[shingle[:end]]), starts[:before])
-    own[shingle[a:b]] = 0
-    total = np.add.reduceat(w[:end], starts[:before])
-    return common >= threshold * (total + w[a:b].sum() - common)
+    def shared(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own[shingle[a:b]] = x[a:b]
+        common = np.add.reduceat(np.minimum(x[:end], own[shingle[:end]]), starts[:before])
+        own[shingle[a:b]] = 0
+        return common, common >= threshold * (np.add.reduceat(x[:end], starts[:before]) + x[a:b].sum() - common)
 
+    weight, hit = shared(w)
+    if not hit.all() and (w[a:b] < large * m[a:b]).any():
+        count, by_count = shared(m)
+        hit |= by_count & (weight < large * count)
+    return hit
 
-def _links(sets: tuple, bands: np.ndarray, band: int, asks: np.ndarray, answers: np.ndarray, root: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+
+def _links(sets: tuple, bands: np.ndarray, asks: np.ndarray, answers: np.ndarray, root: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """Links that join rows 0, 1, ... of a bucket into components, of pairs of a row that asks and one that answers.
 
-    root: a smallest member of what is known to be linked. A pair that shares an earlier band is that bucket's to compare.
+    root: a smallest member of what is known to be linked. bands: those before the bucket's; a pair that shares one is that one's to compare.
     """
-    shingle, w, starts = sets
-    own, out = np.zeros(int(shingle.max()) + 1), []
+    own, out = np.zeros(int(sets[0].max()) + 1), []
     for i in range(1, len(bands)):
-        others = (root[:i] != root[i]) & ~(bands[:i, :band] == bands[i, :band]).any(1) & (asks[i] & answers[:i] | answers[i] & asks[:i])
+        others = (root[:i] != root[i]) & ~(bands[:i] == bands[i]).any(1) & (asks[i] & answers[:i] | answers[i] & asks[:i])
         if others.any():
-            for j in np.flatnonzero(others & _similar(shingle, w, starts, own, i, i, threshold)).tolist():
+            for j in np.flatnonzero(others & _similar(sets, own, i, i, threshold)).tolist():
                 if root[j] != root[i]:
                     out.append((j, i))
                     root[root == max(root[i], root[j])] = min(root[i], root[j])
@@ -338,9 +391,9 @@ def _star_links(stars: DataFrame, texts: DataFrame, n_docs: int, threshold: floa
     def run(batches: Iterator[pa.RecordBatch]):
         for t in _whole_groups(batches, "first", "block"):
             node, first = t.column("node").to_numpy(), t.column("first")[0].as_py()
-            shingle, w, starts = _sets(t, n_docs)
-            own = np.zeros(int(shingle.max()) + 1)
-            hit = node[_similar(shingle, w, starts, own, int(np.flatnonzero(node == first)[0]), len(node), threshold)]
+            sets = _sets(t, n_docs)
+            own = np.zeros(int(sets[0].max()) + 1)
+            hit = node[_similar(sets, own, int(np.flatnonzero(node == first)[0]), len(node), threshold)]
             hit = hit[hit != first]
             if len(hit):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), first)), pa.array(hit)], names=["first", "node"])
@@ -368,7 +421,9 @@ def _other_links(met: DataFrame, linked: DataFrame, texts: DataFrame, n_docs: in
                 continue
             node, asks, answers, known = (t.column(c).to_numpy() for c in ("node", "asks", "answers", "open"))
             root = np.where(known, np.arange(len(node)), np.argmin(known))  # what is linked with the first is linked
-            found = _links(_sets(t, n_docs), np.array(t.column("bands").to_pylist(), np.int64), t.column("band")[0].as_py(), asks, answers, root, threshold)
+            band = t.column("band")[0].as_py()  # whoever has it has all before it
+            bands = np.array([x[:band] for x in t.column("bands").to_pylist()], np.int64)
+            found = _links(_sets(t, n_docs), bands, asks, answers, root, threshold)
             if found:
                 a, b = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
@@ -378,7 +433,7 @@ def _other_links(met: DataFrame, linked: DataFrame, texts: DataFrame, n_docs: in
 
 
 def signatures(docs: DataFrame, n_docs: int) -> DataFrame:
-    """id, k1, k2, bands (null without words) and df, the packed document frequencies of the shingles, of every row of keyed docs with text."""
+    """id, k1, k2, bands (null without words; those by counts at the end, where it has any) and df, the packed document frequencies of the shingles, of every row of keyed docs with text."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found, _, df = _of_chunk(left.column("text").to_pylist(), worker_shingler(), right)
@@ -387,11 +442,17 @@ def signatures(docs: DataFrame, n_docs: int) -> DataFrame:
         for start, (d, h, m) in found:
             n, df = df[: len(h)], df[len(h) :]
             own, starts = np.unique(d, return_index=True)
-            drawn = samples(h, m * idf(n, n_docs), starts, BANDS * ROWS).astype(np.uint64).reshape(len(own), BANDS, ROWS)
-            key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(own), 1))
-            for r in range(ROWS):
-                key = mix(key * _P + drawn[:, :, r])
-            for i, k, x, y in zip((own + start).tolist(), key.view(np.int64).tolist(), starts.tolist(), [*starts[1:].tolist(), len(h)][: len(starts)], strict=True):
+            if not len(own):
+                continue
+            w = m * idf(n, n_docs)
+            keys = _keys(samples(h, w, starts, BANDS * ROWS), 1).tolist()
+            common = np.add.reduceat(w, starts) < COMMON * idf(np.array(1), n_docs) * np.add.reduceat(m, starts)
+            if common.any():
+                some = np.repeat(common, np.diff(np.append(starts, len(h))))
+                at = np.cumsum(some)[starts[common]] - 1
+                for i, k in zip(np.flatnonzero(common).tolist(), _keys(samples_by_count(h[some], m[some], at, BANDS * ROWS), BANDS + 1).tolist(), strict=True):
+                    keys[i] += k
+            for i, k, x, y in zip((own + start).tolist(), keys, starts.tolist(), [*starts[1:].tolist(), len(h)], strict=True):
                 bands[i], packed[i] = k, zlib.compress(n[x:y].tobytes(), 1)
         return pa.table([*(left.column(c) for c in ("id", "k1", "k2")), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())], names=["id", "k1", "k2", "bands", "df"])
 
@@ -425,13 +486,14 @@ def _named(df: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple
 
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups documents that are linked by equal texts or by a weighted Jaccard similarity of threshold or more.
+    """Groups documents that are linked by equal texts or by a weighted Jaccard similarity of threshold or more; where what two share occurs in over LARGE documents on the average, also by one of counts.
 
     Returns id_col, class_id (the smallest id of the group) and kept (id_col = class_id), a row for each input row. A null
     text links with nothing; texts without words link only with equal ones; texts of fewer than five words are one shingle.
     Ids are integers or null. Every row is a document of its own, also where rows repeat an id or have none; a null id is
     no smallest id. Other columns are not read; an empty table gives an empty table. A pair at the threshold is missed by all
-    bands once in 1,300, one of similarity 0.9 once in 470,000; no pair below the threshold is linked.
+    bands once in 1,300, one of similarity 0.9 once in 470,000 (one that only counts link once in 500, if just one of the two
+    has bands by counts); no pair below the threshold is linked.
     """
     known, named = _named(df, threshold, id_col, text_col)
     out = known.join(named.select("k1", "k2", "class_id"), ["k1", "k2"]).select("id", "class_id")

@@ -184,3 +184,29 @@ def test_recall_at_the_threshold():
 
 def test_no_text_has_words(frame):
     assert found(frame([(1, "!!"), (2, ""), (3, "!!"), (4, "?"), (5, None)])) == {1: (1, True), 2: (2, True), 3: (1, False), 4: (4, True), 5: (5, True)}
+
+
+def test_copies_in_a_large_group_are_linked(frame):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.getrandbits(60)}"
+    text = lambda: [word() for _ in range(300)]
+    base, docs = text(), []
+    for i in range(150):
+        copy = list(base)
+        for at in rng.sample(range(5, 295, 10), 5 if i else 0):
+            copy[at] = word()
+        docs.append((i, " ".join(copy)))
+    docs += [(i, " ".join(text())) for i in range(150, 450)]
+    # 271 of 321 shingles are those of the first text: 0.84 by counts, but below the threshold by weight, since 150 texts have them.
+    table = M.idf_table(frame(docs))
+    d, h, m = M.Shingler()([docs[0][1], docs[1][1]])
+    a, b = ((h[d == k], m[d == k] * table[h[d == k]]) for k in (0, 1))
+    assert M.weighted_jaccard(a, b) < 0.79
+    assert {k: v[0] for k, v in found(frame(docs)).items()} == {i: 0 if i < 150 else i for i, _ in docs}
+
+
+def test_samples_by_count_agree_as_often_as_sets_are_similar():
+    rng = np.random.default_rng(1)
+    h, m, n = rng.integers(0, 2**63, 300).astype(np.uint64), rng.integers(1, 4, 300), 1500
+    a, b = M.samples_by_count(np.append(h[:260], h[40:]), np.append(m[:260], m[40:] + 1), np.array([0, 260]), n)
+    assert abs((a == b).mean() - m[40:260].sum() / (m.sum() + 260)) < 0.04
