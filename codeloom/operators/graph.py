@@ -19,6 +19,8 @@ from codeloom.sources.work import checkpointed, discard
 WORD = 64
 #: Calls of a cell of the ranks' grid: least and most, about; those in one row of its table. Lanes in which a block is numbered.
 LEAST_CELL, MOST_CELL, SLICE, LANES = 50_000, 8_000_000, 4_000_000, 16
+#: Rows that the references of a piece make, about; names whose references go in pieces are broadcast up to so many.
+PIECE, FEW = 4_000_000, 100_000
 SUMS = "block int, row int, given binary"
 CALLS, IMPLEMENTS, BELONGS_TO = "CALLS", "IMPLEMENTS", "BELONGS_TO"
 
@@ -30,39 +32,53 @@ def name_map(methods: DataFrame) -> DataFrame:
     return rows.select("id", F.explode(F.array_compact(names)).alias("key"))
 
 
-def resolve_calls(calls: DataFrame, methods: DataFrame) -> DataFrame:
-    """JOIN-3: callees of each call (caller, ref, pos): caller, ref, pos, callee, confidence.
+def resolve_calls(calls: DataFrame, methods: DataFrame, digits: int | None = None) -> DataFrame:
+    """JOIN-3: callees of each call (caller, ref, pos): caller, ref, pos, callee, confidence (rounded to digits, if given).
 
     A reference goes to every method of that key but the caller. If no method has the key and the reference is dotted, it
     goes to the one method of its last name, if there is just one and it is not the caller. Confidence is 1.0 for dotted
     references and 0.7 for bare ones, shared evenly by the callees.
+
+    The references of a name that many methods share are few bytes and make very many rows. So they are dealt by the rows that they
+    will make, about PIECE together, and meet all methods of the name in each piece.
     """
     keys = name_map(methods)
-    known = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("only"))
-    refs = _references(calls, keys, known)
-    exact = refs.where("exact").join(keys.withColumnRenamed("key", "ref"), "ref").where("id <> caller").select("caller", "ref", "pos", F.col("id").alias("callee"), "confidence", "times")
-    out = exact.unionByName(_last_names(refs, known))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("caller", "ref", "pos", "callee", "confidence")
-
-
-def _references(calls: DataFrame, keys: DataFrame, known: DataFrame) -> DataFrame:
-    """Each (caller, ref, pos) once, with its repetitions (times), whether a method has the key (exact), and the confidence of each of its callees.
+    refs = checkpointed(_references(calls, keys, digits), "references")
+    reached = _reached(keys)
+    made = reached.groupBy("exact", "key").agg(F.count("*").alias("n")).join(refs.groupBy("exact", "key").agg(F.count("*").alias("m")).hint("merge"), ["exact", "key"])
+    dealt = made.select("exact", "key", F.ceil(F.col("n") * F.col("m") / PIECE).cast("int").alias("pieces")).where("pieces > 1")
+    dealt = checkpointed(dealt, "reference-pieces")
+    dealt = F.broadcast(dealt) if dealt.count() <= FEW else dealt.hint("merge")
+    parts = max(int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * calls.sparkSession.sparkContext.defaultParallelism)
+    at, pieces = ["exact", "key", "piece"], F.coalesce("pieces", F.lit(1))
+    refs = refs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).join(dealt, ["exact", "key"], "left")
+    refs = refs.select("exact", "key", F.pmod(F.xxhash64("caller", "ref", "pos"), pieces).cast("int").alias("piece"), "caller", "ref", "pos", "confidence")
+    reached = reached.join(dealt, ["exact", "key"], "left").select("exact", "key", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), F.col("id").alias("callee"))
+    met = refs.repartition(parts, *at).join(reached.repartition(parts, *at).hint("merge"), at)
+    return met.where("callee <> caller").select("caller", "ref", "pos", "callee", "confidence")
+
+
+def _references(calls: DataFrame, keys: DataFrame, digits: int | None = None) -> DataFrame:
+    """Each (caller, ref, pos) that a method may answer once, with its repetitions (times), the key that it goes by and whether that is the whole reference (exact) or its last name, and the confidence of each of its callees.
 
     A reference's callees are counted from its key's methods less the caller's own, so that no row for each callee is shuffled or sorted.
+    Tables of methods are not broadcast: their files tell little of how many there are.
     """
+    known = keys.groupBy(F.col("key").alias("ref")).agg(F.count("*").alias("n"), F.lit(True).alias("exact"))
     refs = calls.groupBy("caller", "ref", "pos").agg(F.count("*").alias("times"))
-    own = keys.groupBy(F.col("key").alias("ref"), F.col("id").alias("caller")).agg(F.count("*").alias("own"))
-    seen = refs.join(known.select(F.col("key").alias("ref"), F.col("n"), F.lit(True).alias("exact")), "ref", "left").join(own, ["ref", "caller"], "left")
+    own = keys.groupBy(F.col("id").alias("caller"), F.col("key").alias("ref")).agg(F.count("*").alias("own"))
+    seen = refs.join(own.hint("merge"), ["caller", "ref"], "left").join(known.hint("merge"), "ref", "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+    dotted = F.col("ref").contains(".")
     callees = (F.col("n") - F.coalesce("own", F.lit(0).cast("long"))) * F.col("times")
-    share = F.when(F.col("ref").contains("."), 1.0).otherwise(0.7) / F.when(callees > 0, callees)
-    return seen.select("caller", "ref", "pos", "times", F.coalesce("exact", F.lit(False)).alias("exact"), share.alias("confidence"))
+    share = F.when(F.col("exact"), F.when(dotted, 1.0).otherwise(0.7) / F.when(callees > 0, callees)).otherwise(1.0 / F.col("times"))
+    key = F.when(F.col("exact"), F.col("ref")).otherwise(F.substring_index("ref", ".", -1))
+    return seen.where(F.col("exact") | dotted).select("caller", "ref", "pos", "times", "exact", key.alias("key"), (share if digits is None else F.round(share, digits)).alias("confidence"))
 
 
-def _last_names(refs: DataFrame, known: DataFrame) -> DataFrame:
-    """The one callee, by last name, of dotted references whose key no method has."""
-    bare = refs.where(~F.col("exact") & F.col("ref").contains(".")).withColumn("key", F.substring_index("ref", ".", -1))
-    found = bare.join(known.where("n = 1"), "key").where("only <> caller")
-    return found.select("caller", "ref", "pos", F.col("only").alias("callee"), (1.0 / F.col("times")).alias("confidence"), "times")
+def _reached(keys: DataFrame) -> DataFrame:
+    """exact, key, id: the methods that whole references reach, and those that last names do, which are the only ones of their key."""
+    only = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    return keys.select(F.lit(True).alias("exact"), "key", "id").unionByName(only.select(F.lit(False).alias("exact"), "key", "id"))
 
 
 def call_edges(resolved: DataFrame) -> DataFrame:
@@ -70,25 +86,21 @@ def call_edges(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy(F.col("caller").alias("src"), F.col("callee").alias("dst")).agg(F.count("*").alias("call_count"), F.min_by("confidence", F.struct("pos", "ref")).alias("confidence")).withColumn("edge_type", F.lit(CALLS))
 
 
-def resolved_edges(calls: DataFrame, methods: DataFrame) -> DataFrame:
-    """call_edges(resolve_calls(calls, methods)), for names that very many methods share.
+def resolved_edges(calls: DataFrame, methods: DataFrame, digits: int | None = None) -> DataFrame:
+    """call_edges(resolve_calls(calls, methods, digits)), for names that very many methods share.
 
     Methods of the same keys are one group: a caller's references are added up by group, and only then do its methods, but the caller
     itself, take the place of the group. So what is shuffled grows with references and groups, and edges are only written.
     """
     keys = name_map(methods)
-    known = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("only"))
-    refs = _references(calls, keys, known)
-    last = _last_names(refs, known).select("caller", F.col("callee").alias("one"), "ref", "pos", "confidence", "times")
-    groups = keys.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    group_of_key = groups.select("keys").distinct().select("keys", F.explode("keys").alias("ref"))
-    exact = refs.where("exact").join(group_of_key, "ref")
-    single = last.join(groups.withColumnRenamed("id", "one"), "one")
-    # A group that a caller reaches by a last name has one method with that name, and so one method.
-    columns = ["caller", "keys", "ref", "pos", "confidence", "times"]
-    found = exact.select(columns).unionByName(single.select(columns))
-    added = found.groupBy("caller", "keys").agg(F.sum("times").alias("call_count"), F.min_by("confidence", F.struct("pos", "ref")).alias("confidence"))
-    out = added.join(groups, "keys").where("id <> caller")
+    of = keys.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    names = of.groupBy("keys").agg(F.min("id").alias("group"))  # a group goes by its smallest method
+    members = of.join(names.hint("merge"), "keys").select("group", "id")
+    # A group that a caller reaches by a last name has one method with that name, and so one method, by whose id it goes.
+    groups = names.select(F.explode("keys").alias("key"), F.lit(True).alias("exact"), "group").unionByName(_reached(keys).where("not exact").withColumnRenamed("id", "group"))
+    found = _references(calls, keys, digits).join(groups.hint("merge"), ["exact", "key"])
+    added = found.groupBy("caller", "group").agg(F.sum("times").alias("call_count"), F.min_by("confidence", F.struct("pos", "ref")).alias("confidence"))
+    out = added.join(members.hint("merge"), "group").where("id <> caller")
     return out.select(F.col("caller").alias("src"), F.col("id").alias("dst"), "call_count", "confidence", F.lit(CALLS).alias("edge_type"))
 
 

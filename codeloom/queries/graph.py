@@ -40,8 +40,7 @@ def join2(spark, d):
 
 @query("join3_call_resolution", duck(f"+{_RESOLVED} SELECT caller, ref, pos, callee, round(confidence, 9) AS confidence FROM resolved", "methods", "calls"))
 def join3(spark, d):
-    found = G.resolve_calls(shape(spark, d, "calls"), shape(spark, d, "methods"))
-    return found.select("caller", "ref", "pos", "callee", F.round("confidence", 9).alias("confidence"))
+    return G.resolve_calls(shape(spark, d, "calls"), shape(spark, d, "methods"), digits=9)
 
 
 @query("join4_name_map", duck("SELECT name AS key, id FROM methods WHERE coalesce(chunk_type, 'method') <> 'sql' AND is_primary UNION ALL SELECT class_name || '.' || name, id FROM methods WHERE coalesce(chunk_type, 'method') <> 'sql' AND is_primary AND class_name <> ''", "methods"))
@@ -51,8 +50,7 @@ def join4(spark, d):
 
 @query("agg7_call_edges", duck(f"+{_RESOLVED} SELECT caller AS src, callee AS dst, count(*) AS call_count, round(arg_min(confidence, (pos, ref)), 9) AS confidence, 'CALLS' AS edge_type FROM resolved GROUP BY 1, 2", "methods", "calls"))
 def agg7(spark, d):
-    edges = G.resolved_edges(shape(spark, d, "calls"), shape(spark, d, "methods"))
-    return edges.withColumn("confidence", F.round("confidence", 9))
+    return G.resolved_edges(shape(spark, d, "calls"), shape(spark, d, "methods"), digits=9)
 
 
 @query("join5_existing_edges", duck("SELECT e.src, e.dst, e.call_count FROM edges e WHERE e.src IN (SELECT id FROM methods WHERE is_primary) AND e.dst IN (SELECT id FROM methods WHERE is_primary)", "methods", "edges"))

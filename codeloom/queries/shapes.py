@@ -72,7 +72,8 @@ def _needs(name: str) -> list[str]:
 def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(SHAPES[name], **{x: shape(spark, sf_dir, x) for x in _needs(name)})
+    # Methods that a shape joins are not broadcast: by the size of their file Spark would send a million rows through the driver.
+    return spark.sql(SHAPES[name], **{x: shape(spark, sf_dir, x).hint("merge") if x == "methods" else shape(spark, sf_dir, x) for x in _needs(name)})
 
 
 def duck(sql: str, *names: str) -> str:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import graph as G
+from codeloom.queries.shapes import shape
 
 METHODS = "id string, name string, class_name string, file_path string, chunk_type string, signature string, is_primary boolean"
 EDGES = "src string, dst string, edge_type string, confidence double, call_count bigint"
@@ -245,3 +246,29 @@ def test_induced_edges_are_made_of_the_nodes_alone(spark, tmp_path):
     assert sorted((r.group, r.src, r.dst) for r in out.collect()) == [("g", "a", "b"), ("g", "b", "b"), ("h", "c", "c")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftSemi") == 2 and plan.index("Aggregate [src") < plan.index("LeftSemi")
+
+
+@pytest.mark.parametrize(("piece", "few"), [(2, 100_000), (2, 0), (4_000_000, 100_000)])
+def test_references_of_shared_names_go_in_pieces(spark, monkeypatch, piece, few):
+    monkeypatch.setattr(G, "PIECE", piece)
+    monkeypatch.setattr(G, "FEW", few)
+    m = spark.createDataFrame([(str(i), "f" if i < 7 else f"g{i}", "C" if i % 2 else "", "method", True) for i in range(10)], "id string, name string, class_name string, chunk_type string, is_primary boolean")
+    calls = [(str(i % 10), ref, i) for i in range(20) for ref in ("f", "C.f", "x.g8", "x.f", "h", None)]
+    found = G.resolve_calls(spark.createDataFrame(calls * 2, "caller string, ref string, pos int"), m, digits=3)
+    ends = {"f": range(7), "C.f": (1, 3, 5), "x.g8": (8,)}
+    want = [(c, ref, pos, str(i)) for c, ref, pos in calls for i in ends.get(ref, ()) if str(i) != c]
+    share = lambda r: round((1.0 if "." in r.ref else 0.7) / (2 * sum(x[:3] == (r.caller, r.ref, r.pos) for x in want)), 3)
+    rows = found.collect()
+    assert sorted((r.caller, r.ref, r.pos, r.callee) for r in rows) == sorted(want * 2)
+    assert all(r.confidence == share(r) for r in rows)
+
+
+@pytest.mark.parametrize("name", ["join3_call_resolution", "agg7_call_edges"])
+def test_methods_do_not_go_through_the_driver(spark, name):
+    from codeloom.queries.graph import QUERIES
+
+    methods, calls = (shape(spark, "/root/testdata/sf0.001", x) for x in ("methods", "calls"))
+    assert "Broadcast" not in calls._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in G.resolved_edges(calls, methods)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in G._references(calls, G.name_map(methods))._jdf.queryExecution().executedPlan().toString()
+    assert "round" not in QUERIES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
