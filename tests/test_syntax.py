@@ -167,3 +167,46 @@ def test_any_text_is_read_to_its_end(script):
 def test_a_large_file_takes_linear_time():
     source = "class S {\n" + "\n".join(f"  public Map<String, List<T{i}>> m{i}(int a) {{ return repo.f{i}(g(a < {i}), b > c); }}" for i in range(5000)) + "\n}"
     assert len(functions(Tokens(source, False))) == 5000
+
+
+class Counting:
+    """A pattern that counts how often it is asked."""
+
+    def __init__(self, pattern):
+        self.pattern, self.asked = pattern, 0
+
+    def __getattr__(self, name):
+        self.asked += 1
+        return getattr(self.pattern, name)
+
+
+def test_equal_lines_are_cut_and_counted_once(monkeypatch):
+    from codeloom.operators import parse as P
+    from codeloom.operators import syntax as S
+
+    source = "class A {\n" + "".join(f"  void f{i}() {{\n" + "    step(one, two);\n" * 500 + "  }\n" for i in range(4)) + "}\n"
+    tokens, words = Counting(S._TOKEN), Counting(P._WORDS)
+    monkeypatch.setattr(S, "_TOKEN", tokens)
+    monkeypatch.setattr(P, "_WORDS", words)
+    P._line_tokens.cache_clear()
+    found = P.parse_chunks(source, "java", "A.java")
+    assert [sum(c.symbol == f"f{i}" and c.is_primary for c in found) for i in range(4)] == [1] * 4
+    assert tokens.asked < 20 and words.asked < 100
+
+
+def test_lines_are_cut_as_the_whole_text_is():
+    from codeloom.operators import syntax as S
+
+    rng = random.Random(11)
+    parts = ['"', "'", '"""', "\\", "\n", "\r\n", "\u2028", "/*", "*/", "//", "/", "*", "a", " ", "\t", "1.5", ".", "...", "(", ")", "{", "}", "->", "::", "\n  x(y);\n"]
+    for _ in range(3000):
+        source = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        want, broken = [], True
+        for m in S._TOKEN.finditer(source):
+            if m.lastgroup == "space":
+                broken = broken or "\n" in m[0]
+            else:
+                want.append((m[0], m.lastgroup, m.start(), broken))
+                broken = False
+        t = Tokens(source, False)
+        assert list(zip(t.x, t.kind, t.start, map(bool, t.broken), strict=True)) == [*want, ("", "end", len(source), True)]
